@@ -2,9 +2,9 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked in turn to the
 target marginals of the three until every marginal is met within ``TOLERANCE`` or ``ROUNDS`` rounds have passed.
-A cell's ratio of fitted to present weight, divided by the largest such ratio, is the probability with which each
-of its documents is sampled: expected token shares follow the fitted weights, and no probability exceeds 1. The
-draw is a hash of id and text, so reruns and copies agree.
+A cell's documents are sampled with a probability in proportion to its ratio of fitted to present weight, scaled so
+that the expected sample holds ``FRACTION`` of all tokens. Where that would exceed 1 the cell is taken whole and
+the rest is scaled up anew. The draw is a hash of id and text, so reruns and copies agree.
 
 Targets are tables (key, share); by default each marginal's present shares to the power ``ALPHA``, normalised,
 which lifts small sources, languages and topics. A key missing from a target, or with share 0, gets no weight.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
-ALPHA, TOPICS, LONG, TOLERANCE, ROUNDS, SEED = 0.5, 8, 5, 1e-3, 25, 20260
+ALPHA, TOPICS, LONG, TOLERANCE, ROUNDS, FRACTION, SEED = 0.5, 8, 5, 1e-3, 25, 0.5, 20260
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -100,9 +100,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             worst = max(worst, off or 0.0)
         if worst <= tolerance:
             break
-    ratio = fitted.withColumn("ratio", F.col("weight") / F.col("mass"))
-    top = ratio.agg(F.max("ratio").alias("top"))
-    return ratio.join(F.broadcast(top)).withColumn("p", F.coalesce(F.try_divide("ratio", "top"), F.lit(0.0))).drop("top", "ratio")  # one row is broadcast
+    return calibrated(fitted)
+
+
+def calibrated(fitted: DataFrame, fraction: float = FRACTION) -> DataFrame:
+    """``fitted`` with p: the scale settles as cells reach 1, a few sums over the cells each time."""
+    x = fitted.withColumn("ratio", F.col("weight") / F.col("mass"))
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("ratio") * scale >= 1
+        n, taken, rest, mass = x.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("mass"))), F.sum(F.when(~full, F.col("weight"))), F.sum("mass")).first()
+        if n <= whole or not rest:
+            break
+        scale, whole = max(scale, (fraction * mass - (taken or 0.0)) / rest), n
+    return x.withColumn("p", F.least(F.lit(1.0), F.col("ratio") * scale)).drop("ratio")
 
 
 def draw(*columns: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lang_id, mixing, pii, tokens, url_tree
+from . import decontam, jaccard, lang_id, mixing, pii, tokens, url_tree
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op8_url_filter, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op8_url_filter, op10_source_mixing)}
 
 SQL = {"op8_url_filter": url_tree.sql()}
