@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fm_dedup, jaccard, lang_id, mixing, pii, suffix_dedup, tokens, url_tree
+from . import decontam, fm_dedup, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.over_budget(table(spark, sf_dir, "documents"))
 
 
+def op6_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing)}
 
-SQL = {"op8_url_filter": url_tree.sql()}
+SQL = {"op6_mtree_top_k": mtree.sql(), "op8_url_filter": url_tree.sql()}
