@@ -1,0 +1 @@
+"""Access-graph analytics on Spark: who can reach what, through which groups, policies, tags and lineage."""
