@@ -25,7 +25,7 @@ def future_grants_to_defaults(grants: DataFrame) -> DataFrame:
     The name ends with the kind in angle brackets (DB.SCHEMA.<TABLE>). What is granted on tables or views of a whole
     database lies two levels below it.
     """
-    root = F.rtrim(F.lit("."), F.substring_index("name", "<", 1))
+    root = F.rtrim(F.substring_index("name", "<", 1), F.lit("."))
     deep = ~F.contains(root, F.lit(".")) & ~F.col("target").isin("SCHEMA")
     x = grants.where(F.col("target").isin(*KINDS)).select("role", root.alias("root"), F.when(deep, "/*/*").otherwise("/*").alias("path"), F.col("target").alias("target_type"), privilege_name(F.col("privilege")).alias("privilege"))
     return x.groupBy("role", "root", "path", "target_type").agg(F.array_sort(F.collect_set("privilege")).alias("privileges"))
