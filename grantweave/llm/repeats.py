@@ -6,7 +6,7 @@ A window is ``W`` consecutive symbols of one text. Each window has an anchor, th
 1. ``anchor_counts``: one pass counts, over all texts, the segments of each anchor and whether their contents are all
    equal. Most anchors occur once and are done.
 2. A second pass cuts the segments of anchors that recur. Where all contents of an anchor are equal, its windows are
-   repeated. Otherwise the segment's windows are cut into blocks of ``B`` neighbouring places relative to the anchor;
+   repeated. Otherwise (or where the filter errs) the segment's windows are cut into blocks of ``B`` neighbouring places relative to the anchor;
    a block's windows all hold a common core, and equal windows have equal cores, so blocks meet by core. This splits an
    anchor that a large part of all texts share (a common line, say) by its surroundings. A Bloom filter of ``BITS`` bits,
    whatever the input's size, keeps most other segments from being cut; its errors only cost work.
@@ -20,7 +20,7 @@ Texts are known by two 64-bit hashes, so copies, null ids and repeated rows need
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, text_key
-from .jaccard import groups_in, whole_groups
+from .jaccard import whole_groups
 from .words import gram_hashes
 
 BITS, PIECE = 1 << 26, 1 << 22
 #: Bytes of contents that one index is built over, unless a single core has more.
-SHARD = 1 << 20
+SHARD = 1 << 19
 
 
 class Windows:
@@ -63,13 +63,15 @@ class Windows:
     def content(self, data: bytes, width: int, first: int, n: int) -> bytes:
         return data[first * width : (first + n - 1 + self.w) * width]
 
-    def blocks(self, first: int, n: int, place: int) -> Iterator[tuple[int, int, int]]:
-        """(block, first window, number of windows): windows whose distance to the anchor falls in one block."""
-        low, high = place - (first + n - 1), place - first  # distances of the last and the first window
-        for block in range(low // self.b, high // self.b + 1):
-            a = max(first, place - (block * self.b + self.b - 1))
-            z = min(first + n - 1, place - block * self.b)
-            yield block, a, z - a + 1
+    def blocks(self, first: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(segment, block, first window, number of windows): windows whose distance to the anchor falls in one block."""
+        low, high = (place - (first + n - 1)) // self.b, (place - first) // self.b  # blocks of the last and the first window
+        count = high - low + 1
+        segment = np.repeat(np.arange(len(first)), count)
+        block = np.repeat(low, count) + np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
+        a = np.maximum(first[segment], place[segment] - (block * self.b + self.b - 1))
+        z = np.minimum(first[segment] + n[segment] - 1, place[segment] - block * self.b)
+        return segment, block, a, z - a + 1
 
     def core(self, data: bytes, width: int, place: int, block: int) -> bytes:
         """What all windows of the block hold, whether or not the segment has all of the block's windows."""
@@ -80,10 +82,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def as_long(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = np.asarray(keys).view(np.uint64)
     return k & np.uint64(BITS - 1), (k >> np.uint64(32)) & np.uint64(BITS - 1)
@@ -146,38 +144,51 @@ def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.nda
     filters = spark.sparkContext.broadcast((bloom(anchors), bloom(anchors.where("NOT pure"))))  # twice BITS / 8 bytes
 
     def cut(batches):
-        """Segments of recurring anchors (q null), and for impure anchors their blocks (q the core's hash)."""
-        recur, mixed_ = filters.value
-        for b in batches:
-            out: list[tuple] = []
-            for k1, k2, text in zip(b["k1"], b["k2"], b["text"], strict=True):
+        """Segments of recurring anchors: whole ones (q null), or where an anchor's contents differ, blocks (q the core's hash)."""
+        recur, mixed = filters.value
+        names = ("k1", "k2", "first", "n", "m", "q", "c")
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in names}
+            contents: list = []
+
+            def add(k1, k2, *columns, out=out):
+                for c, v in zip(names, (np.full(len(columns[0]), k1), np.full(len(columns[0]), k2), *columns), strict=True):
+                    out[c].append(v)
+
+            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
                 s = kind.symbols(text)
                 first, n, place, g = kind.segments(s)
                 m = signed(g)
                 hit = np.flatnonzero(in_bloom(recur, m))
                 if not len(hit):
                     continue
-                split = in_bloom(mixed_, m[hit])
-                data, width = s.tobytes(), s.itemsize
-                for i, impure in zip(hit.tolist(), split.tolist(), strict=True):
-                    f, k, p, mi = int(first[i]), int(n[i]), int(place[i]), int(m[i])
-                    out.append((k1, k2, f, k, mi, None, None, None))
-                    if impure:
-                        for block, a, count in kind.blocks(f, k, p):
-                            core = kind.core(data, width, p, block)
-                            q = as_long(xxhash.xxh3_64_intdigest(core, seed=block & 0xFFFF))
-                            content = kind.content(data, width, a, count)
-                            out.append((k1, k2, a, count, mi, q, as_long(xxhash.xxh3_64_intdigest(content)), content))
-            yield pd.DataFrame(out, columns=["k1", "k2", "first", "n", "m", "q", "c", "content"]).astype({"q": "Int64", "c": "Int64"})
-
-    rows = materialize(docs.mapInPandas(cut, "k1 long, k2 long, first int, n int, m long, q long, c long, content binary").join(anchors, "m").where("pure = (q IS NULL)"))
+                split = in_bloom(mixed, m[hit])
+                one, hit = hit[~split], hit[split]
+                zero = np.zeros(len(one), np.int64)
+                add(k1, k2, first[one], n[one], m[one], zero, zero)
+                contents += [None] * len(one)
+                if len(hit):
+                    data, width = s.tobytes(), s.itemsize
+                    segment, block, a, count = kind.blocks(first[hit], n[hit], place[hit])
+                    anchor = place[hit][segment].tolist()
+                    cores = [kind.core(data, width, p, x) for p, x in zip(anchor, block.tolist(), strict=True)]
+                    own = [kind.content(data, width, x, y) for x, y in zip(a.tolist(), count.tolist(), strict=True)]
+                    q = np.array([xxhash.xxh3_64_intdigest(x) for x in cores], np.uint64) + block.astype(np.uint64)
+                    c = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
+                    add(k1, k2, a, count, m[hit][segment], signed(q), signed(c))
+                    contents += own
+            if contents:
+                frame = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+                yield frame.astype({"first": "int32", "n": "int32"}).assign(content=contents)
+
+    rows = materialize(docs.mapInPandas(cut, "k1 long, k2 long, first int, n int, m long, q long, c long, content binary"))
     run = ["k1", "k2", "first", "n"]
-    whole = rows.where("q IS NULL").select(*run)
-    blocks = rows.where("q IS NOT NULL")
+    whole = rows.where("content IS NULL").join(anchors.where("pure"), "m", "left_semi").select(*run)
+    blocks = rows.where("content IS NOT NULL")
     cores = blocks.groupBy("m", "q").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).where("times > 1")
-    blocks = materialize(blocks.join(cores, ["m", "q"]).withColumn("pure", F.col("low") == F.col("high")).drop("times", "low", "high"))
-    equal = blocks.where("pure").select(*run)
-    mixed_rows = blocks.where("NOT pure")
+    cores = materialize(cores.select("m", "q", (F.col("low") == F.col("high")).alias("pure")))
+    equal = blocks.join(cores.where("pure"), ["m", "q"], "left_semi").select(*run)
+    mixed_rows = materialize(blocks.join(cores.where("NOT pure"), ["m", "q"], "left_semi"))
     contents = mixed_rows.groupBy("m", "q", "c").agg(F.count("*").alias("times"), F.first("content").alias("content"))
     ready = contents.repartition(parts, "m", "q").sortWithinPartitions("m", "q", "c")
 
@@ -190,13 +201,11 @@ def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.nda
             return pd.DataFrame([(m, q, c, a, n) for (m, q, c, _, _), runs in zip(held, found, strict=True) for a, n in runs], columns=["m", "q", "c", "at", "count"])
 
         for frame in whole_groups(batches, ["m", "q"]):
-            for a, b in groups_in(frame, ["m", "q"]):
-                part = frame.iloc[a:b]
-                held += list(zip(part["m"], part["q"], part["c"], part["content"], part["times"], strict=True))
-                size += int(part["content"].str.len().sum())
-                if size >= SHARD:
-                    yield flush()
-                    held, size = [], 0
+            held += list(zip(frame["m"], frame["q"], frame["c"], frame["content"], frame["times"], strict=True))
+            size += int(frame["content"].str.len().sum())
+            if size >= SHARD:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 

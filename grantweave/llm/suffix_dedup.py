@@ -35,9 +35,14 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 def repeated_windows(contents: list[bytes], counts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """Runs of windows, per content, that occur more than once among the contents."""
     data = bytes([END]).join(contents) + bytes([END])
+    starts = np.zeros(len(data), bool)
+    at = 0
+    for content in contents:
+        starts[at : at + len(content) - window + 1] = True
+        at += len(content) + 1
     order = suffix_array(np.frombuffer(data, np.uint8))
+    order = order[starts[order]]  # only whole windows; equal ones stand side by side, for others don't begin like them
     long = permuted_prefixes(data, order, window) >= window
-    # long suffixes may run over an end, but then both do so at the same place and neither is a window of a content
     repeated = long.copy()
     repeated[order[:-1][long[order[1:]]]] = True
     out, at = [], 0

@@ -19,7 +19,7 @@ def by_rank_doubling(s: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-span] = rank[span:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         sorted_key = key[order]
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
@@ -74,8 +74,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``symbols`` (small integers from 0 on); the end counts as smaller than any symbol."""
     if not len(symbols):
         return np.empty(0, np.int64)
-    s = np.concatenate([symbols.astype(np.int64) + 1, [0]])
-    n, sigma = len(s), int(s.max()) + 1
+    sigma = int(symbols.max()) + 2
+    s = np.zeros(len(symbols) + 1, np.uint16 if sigma < 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    s[:-1] = symbols
+    s[:-1] += 1
+    n = len(s)
     # a suffix is smaller than its right neighbour if the next unlike symbol is larger
     unlike = np.concatenate([s[1:] != s[:-1], [True]])
     following = np.minimum.accumulate(np.where(unlike, np.arange(n), n)[::-1])[::-1]
@@ -115,7 +118,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 def permuted_prefixes(data: bytes, order: np.ndarray, cap: int) -> np.ndarray:
-    """For each position, the length up to ``cap`` of the prefix its suffix shares with the suffix before it in order."""
+    """For each position in ``order``, the length up to ``cap`` of the prefix its suffix shares with the suffix before it in order; 0 elsewhere."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
