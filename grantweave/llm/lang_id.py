@@ -77,7 +77,7 @@ def score(df: DataFrame, text: Column, model: tuple[list[str], np.ndarray]) -> D
 
 def softmax(parts: list[Column], names: list[str]) -> Column:
     """The posterior as struct(p, lang), the most probable one; ties go to the first name."""
-    top = F.greatest(*parts)
+    top = F.array_max(F.array(*parts))
     weights = [F.exp(p - top) for p in parts]
     total = sum(weights[1:], weights[0])
     # smaller names win ties: structs compare by p, then by the negated place

@@ -137,7 +137,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFra
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled documents, with their own columns and the probability they were drawn with."""
-    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), draw(F.col("doc_id"), F.col("text")).alias("u"))
+    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "sampling_p"]).alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), draw(F.col("doc_id"), F.col("text")).alias("u"))
     small_batches(docs.sparkSession)
     x = with_probability(materialize(carried.withColumn("w", _words(F.col("row.text")))), targets)
     return x.where("selected").select("row.*", F.col("p").alias("sampling_p"))
