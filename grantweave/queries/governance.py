@@ -367,7 +367,8 @@ def op_f04_build_cual(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", cual.build(F.lit("dw://host"), F.array("p_brand", "p_name"), F.col("p_type")).alias("cual"))
 
 
-@query()
+@query("""WITH h AS (SELECT n_name, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n_name)) AS d FROM {nation})
+  SELECT n_name, concat_ws('-', d[1:8], d[9:12], '5' || d[14:16], ['8', '9', 'a', 'b'][((instr('0123456789abcdef', d[17]) - 1) & 3) + 1] || d[18:20], d[21:32]) AS id FROM h""")
 def op_f06_uuid5(t: Tables) -> DataFrame:
     return t.nation.select("n_name", names.uuid5(F.col("n_name")).alias("id"))
 
