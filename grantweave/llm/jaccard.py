@@ -8,7 +8,7 @@ hashes, and only one of each takes part in what follows.
    of ``BLOCK`` classes and its pairs of blocks become tasks, so no task holds more than two blocks however hot
    the bucket is.
 2. A pair belongs to the first band in which it agrees. A task keeps the members that own a pair in it; only their
-   texts are fetched.
+   texts are fetched, others being left out by a Bloom filter before the exact join.
 3. The task computes the shared shingles of all its pairs at once and returns, per text, the number of its links
    and, per connected part, a star of links: never all pairs.
 4. Stars meet in connected components by least labels and pointer jumping, stored after each round.
@@ -27,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_key
+from .bloom import bloom, in_bloom
+from .common import materialize, small_batches, text_key, whole_groups
 from .words import gram_hashes, mixed, word_hashes, words_of
 
-SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.9999, 128, 128
+SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -67,27 +68,6 @@ def band_hashes(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches of a partition sorted by ``keys``, cut again so that each group is whole; a group lies in one frame."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        k = b[keys].to_numpy()
-        changes = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        if held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any():
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        if len(changes):
-            cut = int(changes[-1])
-            yield pd.concat([*held, b.iloc[:cut]], ignore_index=True)
-            held = [b.iloc[cut:]]
-        else:
-            held.append(b)
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def groups_in(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, int]]:
     k = frame[keys].to_numpy()
     edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
@@ -174,8 +154,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
             yield frame.loc[keep, [*TASK, "own", *NODE]]
 
     held = materialize(tasks.mapInPandas(active, "h long, i int, j int, own int, k1 long, k2 long"))
-    wanted = held.select(*NODE).distinct()
-    fetched = docs.join(wanted, NODE, "left_semi").dropDuplicates(NODE)
+    wanted = materialize(held.select(*NODE).distinct())
+    filters = spark.sparkContext.broadcast(bloom(wanted, "k1"))  # of a fixed size; most texts are left out before they shuffle
+
+    @F.pandas_udf("boolean")
+    def likely(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(filters.value, keys.to_numpy(np.int64)))
+
+    fetched = docs.where(likely("k1")).join(wanted, NODE, "left_semi").dropDuplicates(NODE)
     ready = held.join(fetched, NODE).repartition(parts, *TASK).sortWithinPartitions(*TASK, *NODE)
 
     def verify(batches):
@@ -223,11 +209,26 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least doc_id (nulls last), with its own columns."""
     _, roots = labelled(docs, text_key(), threshold)
-    k1, k2 = text_key()
-    x = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), k1, k2).join(roots, NODE, "left")
-    x = x.select("row", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2"))
-    # least id of each class first, then one row of those with that id: both aggregate before they shuffle
-    order = F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.xxhash64("row").alias("c"))
-    best = x.groupBy("r1", "r2").agg(F.min(order).alias("best"))
-    kept = x.withColumn("o", order).join(best, ["r1", "r2"]).where(F.col("o").eqNullSafe(F.col("best")))
-    return kept.dropDuplicates(["r1", "r2"]).select("row.*")
+    d = F.col("row.doc_id")
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *text_key())
+    keyed = keyed.withColumns({"a": d.isNull(), "b": F.coalesce(d.cast("long"), F.lit(0).cast("long")), "c": F.xxhash64("row")})
+    # which row stays is settled on keys alone; whole rows then shuffle once, on keys that only repeated rows share
+    key = ["a", "b", "c", *NODE]
+    x = keyed.select(*key).join(roots, NODE, "left").select(F.struct(*key).alias("o"), F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2"))
+    best = x.groupBy("r1", "r2").agg(F.min("o").alias("o")).select("o.*")
+    return keyed.join(best.hint("merge"), key).dropDuplicates(key).select("row.*")
+
+
+def sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
+    """The same result by joining all shingles, in DuckDB's SQL."""
+    return rf"""WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS least, row_number() OVER (ORDER BY coalesce(text, '')) AS k FROM {table} GROUP BY coalesce(text, '')),
+w AS (SELECT k, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM t),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(k, m) AS (SELECT k, k FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.m),
+m AS (SELECT r.k, min(t.least) AS class_id FROM r JOIN t ON t.k = r.m GROUP BY r.k),
+d AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY a)
+SELECT x.doc_id, m.class_id, coalesce(d.n_links, 0)::BIGINT AS n_links FROM {table} x JOIN t ON t.text = coalesce(x.text, '') JOIN m ON m.k = t.k LEFT JOIN d ON d.k = t.k"""

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
-from .jaccard import groups_in, whole_groups
+from .common import materialize, whole_groups
+from .jaccard import groups_in
 
 SCALE, K, EVERY, PIVOTS, SHARD, PAGE, BLOCK = 256, 5, 50, 256, 8192, 64, 4096
 

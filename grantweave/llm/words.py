@@ -14,7 +14,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
-            if len(self) > 1 << 19:
+            if len(self) > 1 << 17:
                 self.clear()
             self[word] = h
         return h
