@@ -116,3 +116,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return removal(docs, WORDS, repeated_windows, kept, "n_words long, n_removed long, kept_sha256 string", ["n_words", "n_removed", "kept_sha256"])
+
+
+def sql(table: str = "documents") -> str:
+    """The same result by grouping all windows, in DuckDB's SQL."""
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM {table}),
+h AS (SELECT rid, generate_subscripts(l, 1) AS i, unnest(l) AS h FROM (SELECT rid, list_transform(range(1, len(w) - {WINDOW - 2}), lambda s: hash(array_to_string(w[s:s + {WINDOW - 1}], ' '))) AS l FROM d WHERE len(w) >= {WINDOW}) q),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+f AS (SELECT rid, i FROM h JOIN again USING (h)),
+x AS (SELECT rid, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
+y AS (SELECT x.rid, x.i, x.word, max(CASE WHEN f.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY x.rid ORDER BY x.i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN f ON f.rid = x.rid AND f.i = x.i),
+k AS (SELECT rid, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM y GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)"""

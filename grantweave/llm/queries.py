@@ -55,4 +55,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing)}
 
-SQL = {"op6_mtree_top_k": mtree.sql(), "op8_url_filter": url_tree.sql()}
+SQL = {
+    "op2_ngram_jaccard": jaccard.sql(),
+    "op6_mtree_top_k": mtree.sql(),
+    "op7_suffix_array_dedup": suffix_dedup.sql(),
+    "op8_url_filter": url_tree.sql(),
+    "op9_substring_dedup": fm_dedup.sql(),
+}

@@ -8,8 +8,8 @@ A window is ``W`` consecutive symbols of one text. Each window has an anchor, th
 2. A second pass cuts the segments of anchors that recur. Where all contents of an anchor are equal, its windows are
    repeated. Otherwise (or where the filter errs) the segment's windows are cut into blocks of ``B`` neighbouring places relative to the anchor;
    a block's windows all hold a common core, and equal windows have equal cores, so blocks meet by core. This splits an
-   anchor that a large part of all texts share (a common line, say) by its surroundings. A Bloom filter of ``BITS`` bits,
-   whatever the input's size, keeps most other segments from being cut; its errors only cost work.
+   anchor that a large part of all texts share (a common line, say) by its surroundings. A Bloom filter of a fixed size
+   (``bloom``) keeps most other segments from being cut; its errors only cost work.
 3. Blocks of a core with more than one content go to shards, each content once with its count; a shard's index (a
    suffix array or an FM-index, see the callers) tells which windows occur twice.
 4. Intervals of repeated windows return to the texts; covered symbols are removed.
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_key
-from .jaccard import whole_groups
+from .bloom import bloom, in_bloom
+from .common import materialize, small_batches, text_key, whole_groups
 from .words import gram_hashes
 
-BITS, PIECE = 1 << 26, 1 << 22
+PIECE = 1 << 22
 #: Bytes of contents that one index is built over, unless a single core has more.
 SHARD = 1 << 19
 
@@ -82,36 +82,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = np.asarray(keys).view(np.uint64)
-    return k & np.uint64(BITS - 1), (k >> np.uint64(32)) & np.uint64(BITS - 1)
-
-
-def bloom(keys: DataFrame, column: str = "m") -> np.ndarray:
-    """A Bloom filter of BITS bits: each task sends the part of it that its key range covers, BITS / 8 bytes in all."""
-    slots = keys.select(F.explode(F.array(F.col(column).bitwiseAND(BITS - 1), F.shiftrightunsigned(column, 32).bitwiseAND(BITS - 1))).alias("x")).distinct()
-    part = slots.select((F.col("x") / (1 << 20)).cast("int").alias("p"), F.col("x").bitwiseAND((1 << 20) - 1).cast("int").alias("x"))
-
-    def fold(batches):
-        seen: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, rows in b.groupby("p"):
-                seen.setdefault(p, np.zeros(1 << 20, np.uint8))[rows["x"].to_numpy()] = 1
-        yield pd.DataFrame({"p": list(seen), "bits": [np.packbits(v).tobytes() for v in seen.values()]})
-
-    full = np.zeros(BITS // 8, np.uint8)
-    for row in part.repartition(BITS >> 20, "p").mapInPandas(fold, "p int, bits binary").toLocalIterator():
-        full[row.p << 17 : (row.p + 1) << 17] |= np.frombuffer(row.bits, np.uint8)
-    return full
-
-
-def in_bloom(full: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(keys), bool)
-    for slot in bits_of(keys):
-        hit &= (full[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return hit
-
-
 def anchor_counts(docs: DataFrame, kind: Windows) -> DataFrame:
     """(m, pure) for each anchor hash m that more than one segment has; pure: their contents are all equal."""
 

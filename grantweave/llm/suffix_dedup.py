@@ -70,3 +70,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return removal(docs, BYTES, repeated_windows, kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def sql(table: str = "documents") -> str:
+    """The same result by grouping all windows, in DuckDB's SQL; bytes are pairs of hexadecimal digits there."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM {table}),
+n AS (SELECT rid, doc_id, x, len(x) // 2 AS n FROM d),
+h AS (SELECT rid, generate_subscripts(l, 1) AS i, unnest(l) AS h FROM (SELECT rid, list_transform(range(0, n - {WINDOW - 1}), lambda s: hash(substring(x, 2 * s + 1, {2 * WINDOW}))) AS l FROM n WHERE n >= {WINDOW}) q),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+f AS (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM h JOIN again USING (h)),
+runs AS (SELECT rid, min(i) - 1 AS a, max(i) - 1 + {WINDOW} AS z FROM f GROUP BY rid, run),
+marked AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY rid ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM runs),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY a) AS s FROM marked),
+spans AS (SELECT rid, min(a) AS a, max(z) AS z FROM numbered GROUP BY rid, s),
+gaps AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+k AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(z) + 1) AS kept FROM gaps JOIN n USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM n LEFT JOIN k USING (rid)"""

@@ -433,3 +433,88 @@ def op_w01_config_stream(t: Tables) -> DataFrame:
     watcher = Watcher(t.spark, "user_id", "event_id")
     watcher.start(changes).awaitTermination()
     return watcher.state().select("user_id", "event_id", "event_type")
+
+
+# Names, observed state and checks
+
+
+@query("SELECT c_custkey, concat('user:', c_custkey) AS user_name FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, NULL FROM {customer} WHERE c_custkey % 2 <> 0")
+def op_j01_global_names(t: Tables) -> DataFrame:
+    known = t.customer.where("c_custkey % 2 = 0").select(F.lit("crm").alias("connector"), F.col("c_name").alias("local_name"), F.concat(F.lit("user:"), "c_custkey").alias("user_name"))
+    return build.global_names(t.customer.select("c_custkey", F.lit("crm").alias("connector"), F.col("c_name").alias("local_name")), known).select("c_custkey", "user_name")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https') THEN 'secure' ELSE 'plain' END AS connector FROM {pages}")
+def op_j02_prefix_resolution(t: Tables) -> DataFrame:
+    spaces = t.pages.select(cual.prefix(F.col("url")).alias("prefix")).distinct().withColumn("connector", F.when(F.startswith("prefix", F.lit("https")), "secure").otherwise("plain"))
+    return build.resolve_prefix(t.pages.select("page_id", F.col("url").alias("cual")), spaces).select("page_id", "connector")
+
+
+@query("SELECT concat('user:', c_custkey) AS user_id, concat('nation:', c_nationkey) AS asset_id FROM {customer} WHERE c_nationkey < 20")
+def op_j05_permissions_by_id(t: Tables) -> DataFrame:
+    users = t.customer.select(F.col("c_name").alias("name"), F.concat(F.lit("user:"), "c_custkey").alias("node_id"))
+    assets = t.nation.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.concat(F.lit("nation:"), "n_nationkey").alias("node_id"))
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("user"), F.col("n_name").alias("asset"))
+    return permissions.by_id(named, users, assets)
+
+
+POLICY_GRAPH = """WITH g AS (SELECT concat('policy:', c_custkey % 300) AS p, concat('user:', c_custkey) AS agent, concat('nation:', c_nationkey) AS asset FROM {customer})"""
+
+
+@query(POLICY_GRAPH + " SELECT a.asset, g.agent, string_agg(DISTINCT g.p, ',' ORDER BY g.p) AS privileges FROM (SELECT DISTINCT p, asset FROM g) a JOIN g ON g.p = a.p GROUP BY a.asset, g.agent")
+def op_j12_observed_policies(t: Tables) -> DataFrame:
+    from ..operators import state as S
+
+    rows = t.customer.select(F.concat(F.lit("policy:"), F.col("c_custkey") % 300).alias("p"), F.concat(F.lit("user:"), "c_custkey").alias("agent"), F.concat(F.lit("nation:"), "c_nationkey").alias("asset"))
+    edge = lambda kind, c, name: rows.select(F.lit("policy").alias("src_type"), F.col("p").alias("src_id"), F.lit(kind).alias("dst_type"), F.col(c).alias("dst_id"), F.lit(name).alias("edge_type"))
+    nodes = rows.select(F.lit("policy").alias("node_type"), F.col("p").alias("node_id"), F.array("p").alias("privileges")).distinct()
+    return S.observed_policies(nodes, edge("user", "agent", "granted_to").union(edge("asset", "asset", "governs"))).select("asset", "agent", joined("privileges"))
+
+
+@query("SELECT concat('user:', c.c_custkey) AS name, coalesce(string_agg(DISTINCT o.o_orderpriority, ',' ORDER BY o.o_orderpriority), '') AS groups FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey")
+def op_j28_observed_memberships(t: Tables) -> DataFrame:
+    from ..operators import state as S
+
+    edges = t.orders.where("o_orderstatus = 'F'").select(F.lit("user").alias("src_type"), F.concat(F.lit("user:"), "o_custkey").alias("src_id"), F.lit("group").alias("dst_type"), F.col("o_orderpriority").alias("dst_id"), F.lit("member_of").alias("edge_type"))
+    return S.observed_memberships(t.customer.select(F.concat(F.lit("user:"), "c_custkey").alias("name")), edges).select("name", joined("groups"))
+
+
+@query("WITH RECURSIVE g AS (SELECT src AS grp, dst AS parent FROM {members} WHERE src NOT LIKE 'user:%'), w(grp, ancestor) AS (SELECT grp, grp FROM g UNION SELECT w.grp, g.parent FROM w JOIN g ON g.grp = w.ancestor) SELECT grp AS \"group\", ancestor FROM w")
+def op_t21_nested_groups(t: Tables) -> DataFrame:
+    from ..operators import state as S
+
+    return S.expand_nested(t.members.where("src NOT LIKE 'user:%'").select(F.col("src").alias("group"), F.col("dst").alias("parent")))
+
+
+@query("SELECT src AS parent, dst AS child FROM {shallow}")
+def op_a18_children(t: Tables) -> DataFrame:
+    assets = t.shallow.groupBy(F.col("dst").alias("asset")).agg(F.collect_set("src").alias("child_of")).withColumn("kind", F.lit("asset"))
+    return warehouse.children(assets).select("parent", "child")
+
+
+@query("SELECT p_brand AS root, count(DISTINCT p_type) AS values FROM {part} WHERE p_size < 10 GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
+def op_m12_content_permissions(t: Tables) -> DataFrame:
+    from ..operators import state as S
+
+    return S.content_permission_conflicts(t.part.select(F.col("p_brand").alias("root"), F.when(F.col("p_size") < 10, "project").otherwise("view").alias("target_type"), F.col("p_type").alias("content_permissions")))
+
+
+@query("SELECT asset, privilege FROM {grants} WHERE kind IN ('TABLE', 'VIEW') AND privilege NOT IN ('SELECT', 'INSERT') GROUP BY asset, privilege")
+def op_a17_illegal_privileges(t: Tables) -> DataFrame:
+    from .. import capabilities
+    from ..operators import state as S
+
+    rows = t.grants.where("kind IN ('TABLE', 'VIEW')").select("asset", F.lit("snowflake").alias("connector"), F.col("kind").alias("asset_type"), F.array("privilege").alias("privileges"))
+    return S.illegal_privileges(rows, capabilities.catalogue(t.spark))
+
+
+@query("SELECT concat_ws('.', 'DB', p_type, p_brand) AS asset, 'TABLE' AS kind, concat('DB.', p_type) AS parent FROM {part} GROUP BY p_type, p_brand UNION ALL SELECT concat('DB.', p_type), 'SCHEMA', 'DB' FROM {part} GROUP BY p_type UNION ALL SELECT 'DB', 'DATABASE', NULL")
+def op_m15_warehouse_assets(t: Tables) -> DataFrame:
+    rows = t.sql("SELECT DISTINCT 'DB' AS database, p_type AS schema, p_brand AS name, 'TABLE' AS kind FROM {part} UNION ALL SELECT DISTINCT 'DB', p_type, NULL, 'SCHEMA' FROM {part} UNION ALL SELECT 'DB', NULL, NULL, 'DATABASE'")
+    return warehouse.objects_to_assets(rows)
+
+
+@query("WITH " + set_diff("{config_policy}", "{env_policy}", "asset, agent_type, agent", "privilege") + " SELECT split_part(agent, ':', 1) AS connector, change, count(*) AS n FROM d GROUP BY ALL")
+def op_a13_diffs_by_connector(t: Tables) -> DataFrame:
+    diffs = policies_diff(t).withColumn("agent", F.replace("agent", F.lit(":"), F.lit("::")))
+    return policy.by_connector(diffs, "agent").groupBy("connector", "change").agg(F.count("*").alias("n"))
