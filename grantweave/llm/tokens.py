@@ -2,8 +2,8 @@
 
 The vocabulary file belongs to a byte-level BPE tokenizer, whose text is first cut into pre-tokens, each
 encoded by itself; a text's token count is the sum over its pre-tokens. Tier 1 is a small broadcast table
-with the lengths of frequent pre-tokens, learnt from at most ``SAMPLE`` documents (it only saves time: its
-contents never change a count). Tier 2 encodes what tier 1 lacks with the library itself and keeps the
+with the lengths of frequent pre-tokens, learnt from the first ``HEAD`` characters of at most ``SAMPLE`` documents
+(it only saves time: its contents never change a count). Tier 2 encodes what tier 1 lacks with the library itself and keeps the
 length in a bounded cache of the worker. Pre-tokens are never shuffled.
 
 The pre-token pattern is matched with ``regex``. The two libraries may class a rare character differently, so
@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Documents that tier 1 is learnt from, entries it holds, bytes of its longest key; entries of a worker's cache, characters of its longest.
-SAMPLE, ENTRIES, KEY, CACHE, LONGEST = 2000, 50_000, 24, 1 << 20, 64
+#: Documents that tier 1 is learnt from, characters of each, entries it holds, bytes of its longest key; entries of a worker's cache, characters of its longest.
+SAMPLE, HEAD, ENTRIES, KEY, CACHE, LONGEST = 2000, 8000, 50_000, 24, 1 << 20, 64
 
 # The pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,7 +127,8 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", vocab
     path = public_tokenizers.path(vocabulary)
     own = TwoTier(path, {})
     frequent: Counter = Counter()
-    for row in df.select(F.col(text).alias("t")).where("t is not null").limit(sample).toLocalIterator():
+    # collect() reads partitions only until the limit is met, where an iterator would shuffle every partition's first rows
+    for row in df.select(F.substring(F.col(text), 1, HEAD).alias("t")).where("t is not null").limit(sample).collect():
         frequent.update(p for p in own.pieces(row.t) or () if len(p.encode()) <= KEY)
     tier1 = {p: own.length(p) for p, _ in frequent.most_common(ENTRIES)}
     bc = spark.sparkContext.broadcast(tier1)
