@@ -6,7 +6,9 @@ table; repeated rows are treated one by one; other columns are kept, and an exis
 the new one is replaced.
 
 Kinds, in this order: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15
-digits), and beyond these four iban (mod-97 of the account number equals 1) and secret (a hexadecimal
+digits), and beyond these four iban (mod-97 of the account number equals 1, at its country's length whatever
+follows; also at the end of the run of capitals and digits, and for a country without a known length at any end
+from 34 to 15 characters that no letter or digit follows) and secret (a hexadecimal
 key of at least 32 digits after a word such as "token"). A span's score starts at its kind's base value,
 rises by ``BOOST`` if a context word of the kind stands within ``NEAR`` code points, and never leaves
 0..1. ``min_score`` keeps confirmed spans by default: the score informs, it doesn't drop.
@@ -15,6 +17,7 @@ rises by ``BOOST`` if a context word of the kind stands within ``NEAR`` code poi
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,7 +45,18 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+#: Characters of an account number by country, as registered.
+LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 SECRET = re.compile(r"(?i:token|secret|api[_-]?key|password)[\x20\"':=]{1,8}([0-9A-Fa-f]{32,128})(?![0-9A-Fa-f])")
 DIGIT = re.compile("[0-9]")
 
@@ -78,11 +92,40 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers, those of their country's length first; of the others the longest that overlap none of them."""
+    known, other = [], []
+    for m in IBAN.finditer(text):
+        start, run = m.start(), m[1]
+        ends = [i for i, c in enumerate(run, 1) if c != " "]
+        n = LENGTHS.get(run[:2], 0)
+        if 0 < n <= len(ends) and mod97(run[: ends[n - 1]].replace(" ", "")):
+            known.append((start, start + ends[n - 1]))
+            continue
+        for end in reversed(ends[-1:] if n else ends[14:]):
+            after = text[start + end : start + end + 1]
+            if not (after.isascii() and after.isalnum()) and mod97(run[:end].replace(" ", "")):
+                other.append((start, start + end))
+                break
+    kept, free = [], 0
+    for s, e in known:
+        if s >= free:
+            kept.append((s, e))
+            free = e
+    starts, more, free = [s for s, _ in kept], [], 0
+    for s, e in other:
+        i = bisect(starts, s)
+        if s >= free and not (i and kept[i - 1][1] > s) and not (i < len(starts) and starts[i] < e):
+            more.append((s, e))
+            free = e
+    return kept + more
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     found = [("email", s, e) for s, e in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
@@ -90,9 +133,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 found.append(("phone", *m.span()))
-        for m in IBAN.finditer(text):
-            if mod97(m[0].replace(" ", "")):
-                found.append(("iban", *m.span()))
+        found += [("iban", s, e) for s, e in ibans(text)]
         found += [("secret", *m.span(1)) for m in SECRET.finditer(text)]
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 

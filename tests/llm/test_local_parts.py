@@ -48,6 +48,26 @@ def test_checksums_and_context():
     assert pii.redacted("x a@b.co y") == "x <EMAIL> y"
 
 
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " Please pay", " Bank", " EUR 500", " 500", "X", "7", "x", " DE89 3704 0044 0532 0130 00", " " + "0" * 9000])
+@pytest.mark.parametrize("before", ["", "AB12 ", "pay "])
+def test_account_numbers_end_where_they_end(number, after, before):
+    text = before + number + after
+    found = [(s, e) for k, s, e in pii.spans_of(text) if k == "iban"]
+    assert (len(before), len(before) + len(number)) in found
+    assert number not in pii.redacted(text)
+
+
+def test_account_numbers_of_other_countries_and_wrong_ones():
+    assert [text[s:e] for text in ["ZZ33 1234 5678 9012 345 OK then"] for k, s, e in pii.spans_of(text) if k == "iban"] == ["ZZ33 1234 5678 9012 345"]
+    assert not [k for k, *_ in pii.spans_of("DE88 3704 0044 0532 0130 00 Please") if k == "iban"]
+
+
+def test_addresses_with_very_long_zero_runs():
+    for text in ("0" * 10_001 + ".1.2.3", "0" * 10_000 + "9.1.2.3"):
+        assert ("ip", 0, 10_007) in pii.spans_of(text)
+
+
 def test_spans_of_hard_texts_take_linear_time():
     for text in ("1" * 200_000, "a." * 100_000, "1.1." * 50_000, "@" * 100_000, "+1" + " " * 100_000):
         pii.spans_of(text)
