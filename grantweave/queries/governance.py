@@ -142,12 +142,18 @@ def op_m08_compaction(t: Tables) -> DataFrame:
     return policy.compact(explicit(t), expanded_defaults(t)).select("asset", "agent", joined("privileges"))
 
 
+def every_policy(t: Tables) -> DataFrame:
+    """The policies of all orders and their lines; ``config_policy`` holds some of them, as a state to compare."""
+    named = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return named.select(F.concat(F.lit("customer:"), "o_custkey").alias("asset"), F.lit("user").alias("agent_type"), F.concat(F.lit("user:"), "l_suppkey").alias("agent"), F.col("l_returnflag").alias("privilege"))
+
+
 FOLD = """WITH p AS (SELECT asset, agent, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges FROM {config_policy} GROUP BY asset, agent)"""
 
 
 @query(FOLD + " SELECT asset, privileges, string_agg(agent, ',' ORDER BY agent) AS users, '' AS groups FROM p GROUP BY asset, privileges")
 def op_a10_fold_policies(t: Tables) -> DataFrame:
-    return policy.fold(state(t.config_policy, policy.AGENT), ["asset"]).select("asset", joined("privileges"), joined("users"), joined("groups"))
+    return policy.fold(state(every_policy(t), policy.AGENT), ["asset"]).select("asset", joined("privileges"), joined("users"), joined("groups"))
 
 
 @query("SELECT root, path, target_type, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges, 'group:all' AS groups FROM {default_rows} GROUP BY root, path, target_type")
@@ -313,7 +319,7 @@ def op_m07_last_in_file(t: Tables) -> DataFrame:
 @query(FOLD + """, f AS (SELECT asset, privileges, list(CASE WHEN agent = 'user:1' THEN 'user:2' ELSE agent END) AS us FROM p GROUP BY asset, privileges)
   SELECT asset, privileges, array_to_string(list_sort(list_filter(list_distinct(us), lambda u: u <> 'user:3')), ',') AS users FROM f WHERE len(list_filter(us, lambda u: u <> 'user:3')) > 0""")
 def op_m13_rename_remove(t: Tables) -> DataFrame:
-    folded = policy.fold(state(t.config_policy, policy.AGENT), ["asset"])
+    folded = policy.fold(state(every_policy(t), policy.AGENT), ["asset"])
     return policy.remove_agent(policy.rename_agent(folded, "users", "user:1", "user:2"), "users", "user:3").select("asset", joined("privileges"), joined("users"))
 
 

@@ -212,7 +212,7 @@ def op_j06_user_tags(t: Tables) -> DataFrame:
   e AS (SELECT p_name, p_type, min(p_partkey) AS k FROM {part} GROUP BY p_name, p_type)
   SELECT r.ref, coalesce(e.k, CASE WHEN r.typ IS NULL AND n.c = 1 THEN n.k END) AS asset FROM refs r LEFT JOIN e ON e.p_name = r.p_name AND e.p_type = r.typ LEFT JOIN n ON n.p_name = r.p_name""")
 def op_j04_edge_resolution(t: Tables) -> DataFrame:
-    refs = t.sql("SELECT concat('r', p_partkey) AS ref, 'w' AS connector, array(p_name) AS path, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS asset_type FROM {part} WHERE p_partkey % 3 = 0")
+    refs = t.sql("SELECT concat('r', p_partkey) AS ref, 'w' AS connector, array(p_name) AS path, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS asset_type FROM {part}")
     typed = t.part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("asset"), F.count("*").alias("n"))
     # parts that share name and type stand for one asset each, so a name is unique only if one part has it
     every = t.part.groupBy("p_name").agg(F.count("*").alias("parts"))
@@ -269,10 +269,7 @@ def op_p05_allow_only(t: Tables) -> DataFrame:
 
 @query(NODES + ", ranked AS (SELECT *, CASE node_type WHEN 'user' THEN 1 WHEN 'group' THEN 2 WHEN 'asset' THEN 3 WHEN 'policy' THEN 4 ELSE 6 END AS r FROM nodes) SELECT node_type, name, row_number() OVER (ORDER BY r, name) AS place FROM ranked ORDER BY r, name LIMIT 50")
 def op_r01_sorted_nodes(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = explore.sorted_nodes(node_table(t)).limit(50)  # the first page of a sorted list
-    return top.withColumn("place", F.row_number().over(Window.orderBy(explore.type_rank(F.col("node_type")), "name")).cast("long")).select("node_type", "name", "place")
+    return explore.placed(node_table(t)).select("node_type", "name", "place")
 
 
 @query("SELECT doc_id FROM {documents} WHERE contains(lower(text), 'the') AND contains(lower(text), 'heed')")
@@ -315,7 +312,7 @@ def op_x03_edge_union(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE a AS (SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem} WHERE l_linenumber = 1)
   SELECT DISTINCT x.src, y.dst FROM a x JOIN a y ON y.src = x.dst""")
 def op_s06_contraction(t: Tables) -> DataFrame:
-    arcs = t.sql("SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem} WHERE l_linenumber = 1")
+    arcs = t.sql("SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem}")
     return traverse.contract(arcs, t.orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("node")))
 
 
