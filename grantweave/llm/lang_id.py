@@ -1,8 +1,8 @@
 """Language identification by fusing Bayesian evidence.
 
 A text's likelihood under each language comes from byte trigrams of its lower-case form, learnt from at most
-``SAMPLE`` labelled rows (those with the smallest hashes of id and text) of which ``TRAIN`` characters each are
-used; an "und" class with uniform trigrams stands for everything else. Three further kinds of evidence are
+``SAMPLE`` unlike labelled rows of each language (those with its smallest hashes of id and text), so that rare ones
+have their class too, of which ``TRAIN`` characters each are used; an "und" class with uniform trigrams stands for everything else. Three further kinds of evidence are
 combined with it: the declared markup language, the address suffix (a host's last label), and a prior of the
 host. Their tables are grouped aggregates over all rows, counting the languages that texts alone make clear:
 P(declared | language) and P(suffix | language) with additive smoothing, and P(language | host) smoothed towards
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -49,11 +49,13 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    rows = (
-        docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("l"), F.substring(F.col(text), 1, TRAIN).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
-        .orderBy("h", "l", "t").limit(sample).collect()
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("l"), F.substring(F.col(text), 1, TRAIN).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")
     )
+    # ranks are limited before the shuffle, and texts are read again instead of being sorted
+    ranked = labelled.select("l", "h").withColumn("rank", F.dense_rank().over(Window.partitionBy("l").orderBy("h"))).where(F.col("rank") <= sample)
+    cuts = ranked.groupBy("l").agg(F.max("h").alias("cut"))
+    rows = labelled.join(F.broadcast(cuts), "l").where("h <= cut").select("l", "h", "t").distinct().collect()
     return train([(r.l, r.t) for r in rows])
 
 

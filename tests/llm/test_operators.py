@@ -141,6 +141,17 @@ def test_language(docs, none):
     assert lang_id.documents(none).count() == 0
 
 
+def test_rare_languages_have_a_class(spark):
+    rng = random.Random(3)
+    data = [(i, prose(rng, ("en", "fr")[i % 2], 8), ("en", "fr")[i % 2], "src") for i in range(9998)]
+    rare = " ".join(rng.choice("και το της ενα λόγος θάλασσα νερό δρόμος".split()) for _ in range(60))
+    table = spark.createDataFrame([*data, (9998, rare, "el", "src"), (9999, rare + " ουρανός", "el", "src")], "doc_id long, text string, lang string, source string").repartition(4)
+    assert lang_id.fit(table)[0] == ["el", "en", "fr", lang_id.UND]
+    assert {r.doc_id for r in lang_id.keep(table).where("lang = 'el'").collect()} == {9998, 9999}
+    found = lang_id.fit(table, sample=1)
+    assert found[0] == ["el", "en", "fr", lang_id.UND]
+
+
 def test_pages(spark, docs):
     html = lambda lang, text: f'<!DOCTYPE html><html lang="{lang}"><head><style>x</style></head><body>{text}</body></html>'
     pages = [(i, f"http://h{i % 2}.example.com/{i}", html(("en", "fr")[i % 2], rows()[i][1])) for i in range(20)] + [(90, None, None), (91, "nonsense", "<p>"), (92, "http://h1.example.com/", html("fr", "de la"))]
