@@ -8,7 +8,8 @@ template's purity is its blocked share among labelled urls, smoothed towards the
 hosts, which is itself smoothed towards the overall share; purity above ``CUT`` rejects a template.
 A url that a rule fits takes the rule's verdict, every other url its template's.
 
-Levels beyond ``LEVELS`` are generalised by looks alone; every row keeps a verdict. A null url, or one without
+Every level is tried at which some host has enough urls for a node with more than ``FANOUT`` children; the SQL spells
+out the first ``LEVELS`` only. Every row keeps a verdict. A null url, or one without
 "://", has an empty host and path, no rule, and the verdict of the empty template. Repeated rows and null ids
 are kept row by row, extra columns are ignored, and an empty table gives an empty table. Hot hosts: rows are
 aggregated to templates before any shuffle on the host, and only small aggregates join back.
@@ -16,7 +17,7 @@ aggregated to templates before any shuffle on the host, and only small aggregate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -55,10 +56,17 @@ def looks_of(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/"), segment_looks), "/")
 
 
+def levels(tree: DataFrame, fanout: int) -> int:
+    """The last level at which a node can have more than ``fanout`` children: so many urls of a host go deeper."""
+    sizes = tree.groupBy("host", F.size("segments").alias("size")).agg(F.count("*").alias("n"))
+    longer = sizes.withColumn("n", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size"))))
+    return (longer.where(F.col("n") > fanout).agg(F.max("size")).first()[0] or 1) - 1
+
+
 def templates(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Leaves (host, looks, n, labelled, blocked) with their final ``template``."""
-    tree = leaves.withColumn("segments", F.split("looks", "/"))
-    for level in range(1, LEVELS + 1):
+    tree = materialize(leaves.withColumn("segments", F.split("looks", "/")))
+    for level in range(1, levels(tree, fanout) + 1):
         parent = F.array_join(F.slice("segments", 1, level), "/")
         child = F.get("segments", F.lit(level))
         own = tree.withColumn("parent", parent).withColumn("child", child)

@@ -207,6 +207,15 @@ def test_url_templates_learn_from_rules(spark):
     assert {r.template for r in found if r.host == "shop.org"} == {"/*/list"}
 
 
+def test_url_templates_of_deep_paths(spark):
+    slug = lambda i, c: c + chr(97 + i % 26) + chr(97 + i // 26)
+    urls = [f"http://example.com/de/b/c/d/{slug(i, 'x')}/view" for i in range(60)] + [f"http://other.org/de/b/c/d/{slug(i, 'y')}/view" for i in range(60)]
+    urls += [f"http://deep.org/1/b/c/d/e/f/g/{slug(i, 'z')}/view" for i in range(33)] + [f"http://q.org/fr/{i}" for i in range(100)]
+    found = url_tree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {(r.template, r.verdict) for r in found if r.host == "other.org"} == {("/de/b/c/d/*/view", "block")}
+    assert {r.template for r in found if r.host == "deep.org"} == {"/*/b/c/d/e/f/g/*/view"}
+
+
 def test_mixing(docs, none):
     table = docs.where("text IS NOT NULL")
     found = mixing.mix(docs).collect()
