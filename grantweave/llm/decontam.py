@@ -5,7 +5,9 @@ apart. An item of m bytes (long items are cut into overlapping windows of ``WIND
 e = floor(``RATE`` * m) edits; by the q-gram lemma an occurrence then shares at least m - q + 1 - q * e q-grams
 with the text, all within e + 1 neighbouring diagonals. Shared q-grams are counted in diagonal bands of width
 2 (e + 1) that overlap by half, so some band holds a whole occurrence; bands that reach the bound are verified by
-banded alignment of the item against the band's region.
+banded alignment of the item against the band's region. Items of over ``WINDOW`` bytes are also cut into windows of
+``SHORT`` bytes every ``STRIDE``, so a verbatim passage of SHORT + STRIDE - 1 bytes holds one, wherever it lies. Where the
+bound is below 1 (13 to 15 bytes, one edit), one half of the item stands unchanged and proposes the place instead.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK`` bytes, each broadcast in turn,
 so it may be of any size. The documents are scanned map-side and never shuffled.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 Q, RATE, WINDOW, BLOCK, PIECE = 8, 0.08, 400, 1 << 20, 1 << 20
+SHORT, STRIDE, HALF = 200, 25, 6
 TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 HITS = "array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's fraction
@@ -42,19 +45,28 @@ def grams(data: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, 0, (1,)) if n > 0 else np.empty(0, "<u8")
 
 
+def windows_of(data: bytes) -> list[bytes]:
+    if len(data) <= WINDOW:
+        return [data] if len(data) >= Q else []
+    last, step = len(data) - SHORT, WINDOW // 2
+    return [data[s : s + WINDOW] for s in range(0, len(data) - step, step)] + [data[s : s + SHORT] for s in [*range(0, last, STRIDE), last]]
+
+
 class Index:
     """The q-grams of one block of the benchmark, with the items and places where they stand."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.windows: list[tuple[int, bytes]] = []
         for item, data in items:
-            step = WINDOW // 2
-            starts = range(0, max(1, len(data) - step), step) if len(data) > WINDOW else (0,)
-            self.windows += [(item, data[s : s + WINDOW]) for s in starts if len(data[s : s + WINDOW]) >= Q]
+            self.windows += [(item, w) for w in windows_of(data)]
         length = np.array([len(w) for _, w in self.windows], dtype=np.int64)
         self.edits = (RATE * length).astype(np.int64)
         self.least = np.maximum(length - Q + 1 - Q * self.edits, 1)
         self.half = self.edits + 1
+        halves = [(w[o : o + HALF], i, o) for i, (_, w) in enumerate(self.windows) if len(w) - Q + 1 - Q * self.edits[i] < 1 for o in (0, len(w) - HALF)]
+        self.halves: dict[bytes, list[tuple[int, int]]] = {}
+        for part, i, o in halves:
+            self.halves.setdefault(part, []).append((i, o))
         gram = np.concatenate([grams(w) for _, w in self.windows] or [np.empty(0, "<u8")])
         owner = np.repeat(np.arange(len(length)), np.maximum(length - Q + 1, 0))
         place = np.concatenate([np.arange(len(w) - Q + 1) for _, w in self.windows] or [np.empty(0, np.int64)])
@@ -88,12 +100,22 @@ class Index:
         window = code >> 32
         return list(zip(window.tolist(), ((code & 0xFFFFFFFF) * self.half[window] - WINDOW).tolist(), strict=True))
 
+    def near_halves(self, data: bytes) -> list[tuple[int, int]]:
+        """(window, first diagonal) where a half of a window without a bound stands."""
+        found = set()
+        for part, owners in self.halves.items():
+            at = data.find(part)
+            while at >= 0:
+                found |= {(w, at - o - 1) for w, o in owners}
+                at = data.find(part, at + 1)
+        return sorted(found)
+
     def search(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of every verified occurrence, the best one for each item."""
         best: dict[int, tuple[int, int, int, int]] = {}
         for begin in range(0, max(1, len(data)), PIECE):
             piece = data[begin : begin + PIECE + 2 * WINDOW]
-            for w, diagonal in self.bands(piece):
+            for w, diagonal in self.bands(piece) + self.near_halves(piece):
                 item, text = self.windows[w]
                 e = int(self.edits[w])
                 lo, width = diagonal - e, 4 * e + 3
@@ -133,15 +155,16 @@ def align(item: bytes, text: bytes, lo: int, width: int, most: int) -> tuple[int
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The benchmark's normal forms in lists of at most BLOCK bytes (or one item)."""
+    """The benchmark's normal forms in lists of at most BLOCK bytes of windows (or one item)."""
     held, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").orderBy("i").toLocalIterator():
         data = normal(row.t)
-        if held and size + len(data) > BLOCK:
+        cost = len(data) if len(data) <= WINDOW else sum(map(len, windows_of(data)))
+        if held and size + cost > BLOCK:
             yield held
             held, size = [], 0
         held.append((row.i, data))
-        size += len(data)
+        size += cost
     if held:
         yield held
 

@@ -119,6 +119,26 @@ def test_decontamination_finds_exactly_what_the_budget_allows():
         assert found.get(i) == (d if d <= most else None)
 
 
+def test_any_passage_of_a_long_item_is_found():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    item = decontam.normal(item)
+    index = decontam.Index([(1, item)])
+    for begin in [*range(0, len(item) - 224, 37), len(item) - 224]:
+        assert [x[:2] for x in index.search(b"zz yy " + item[begin : begin + 224] + b" xx ww")] == [(1, 0)]
+    assert not index.search(bytes(reversed(item)))
+
+
+@pytest.mark.parametrize("item", [b"quick brown fo", b"quick brown f", b"quick brown fox"])
+def test_short_items_with_one_edit_are_found(item):
+    index = decontam.Index([(1, item)])
+    for i in range(len(item)):
+        for changed in (item[:i] + b"#" + item[i + 1 :], item[:i] + item[i + 1 :], item[:i] + b"#" + item[i:]):
+            for text in (changed, b"so a " + changed + b" runs"):
+                assert [x[0] for x in index.search(text)] == [1] and index.search(text)[0][1] <= 1
+    assert not index.search(item[:3] + b"##" + item[5:9] + b"##" + item[11:])
+
+
 def test_bands_reach_their_recall():
     bands, rows = jaccard.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= jaccard.HASHES
