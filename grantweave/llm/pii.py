@@ -9,9 +9,10 @@ Kinds, in this order: email, ip (parts at most 255), card (12 to 19 digits, Luhn
 digits), and beyond these four iban (mod-97 of the account number equals 1, at its country's length whatever
 follows; also at the end of the run of capitals and digits, and for a country without a known length at any end
 from 34 to 15 characters that no letter or digit follows) and secret (a hexadecimal
-key of at least 32 digits after a word such as "token"). A span's score starts at its kind's base value,
+run of 32 to 128 digits). A span's score starts at its kind's base value,
 rises by ``BOOST`` if a context word of the kind stands within ``NEAR`` code points, and never leaves
-0..1. ``min_score`` keeps confirmed spans by default: the score informs, it doesn't drop.
+0..1. Spans of the added kinds count from a score of ``CUT`` on: a hexadecimal run alone is no secret, one near a word such as
+"token" is. The four base kinds always count; ``min_score`` asks for more.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-BASE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "secret": 0.8}
-BOOST, NEAR = 0.2, 40
+BASE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "secret": 0.4}
+BOOST, NEAR, CUT = 0.2, 40, 0.5
 CONTEXT = {
     "email": ("mail", "contact", "@", "courriel", "correo"),
     "ip": ("ip", "address", "server", "host", "adresse"),
@@ -57,7 +58,7 @@ LENGTHS = {
     }.items()
     for c in countries.split()
 }
-SECRET = re.compile(r"(?i:token|secret|api[_-]?key|password)[\x20\"':=]{1,8}([0-9A-Fa-f]{32,128})(?![0-9A-Fa-f])")
+SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])")
 DIGIT = re.compile("[0-9]")
 
 
@@ -133,8 +134,8 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 found.append(("phone", *m.span()))
-        found += [("iban", s, e) for s, e in ibans(text)]
-        found += [("secret", *m.span(1)) for m in SECRET.finditer(text)]
+        added = [("iban", s, e) for s, e in ibans(text)] + [("secret", *m.span()) for m in SECRET.finditer(text)]
+        found += [x for x in added if score_of(text, *x) >= CUT]
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
 
@@ -200,9 +201,11 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *[count(k) for k in KINDS],
+        *[count(k) for k in KINDS[:4]],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("s")).alias("spans"),
+        *[count(k) for k in KINDS[4:]],
+        F.size("s").cast("long").alias("n_spans"),
         F.array_join(F.transform("s", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
 
