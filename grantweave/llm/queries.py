@@ -17,7 +17,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lang_id.documents(table(spark, sf_dir, "documents"))
+    """Documents and pages together, so that markup, address and host evidence take part."""
+    return lang_id.corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
