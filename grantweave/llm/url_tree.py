@@ -8,8 +8,7 @@ template's purity is its blocked share among labelled urls, smoothed towards the
 hosts, which is itself smoothed towards the overall share; purity above ``CUT`` rejects a template.
 A url that a rule fits takes the rule's verdict, every other url its template's.
 
-Every level is tried at which some host has enough urls for a node with more than ``FANOUT`` children; the SQL spells
-out the first ``LEVELS`` only. Every row keeps a verdict. A null url, or one without
+Every level is tried at which some host has enough urls for a node with more than ``FANOUT`` children. Every row keeps a verdict. A null url, or one without
 "://", has an empty host and path, no rule, and the verdict of the empty template. Repeated rows and null ids
 are kept row by row, extra columns are ignored, and an empty table gives an empty table. Hot hosts: rows are
 aggregated to templates before any shuffle on the host, and only small aggregates join back.
@@ -24,7 +23,7 @@ from .common import materialize
 
 # The production rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LEVELS, FANOUT, ALPHA, CUT, CHI2 = 4, 32, 5.0, 0.8, 3.84
+FANOUT, ALPHA, CUT, CHI2 = 32, 5.0, 0.8, 3.84
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 NUMBER, HEX, ENDING = r"^[0-9]+$", r"^[0-9a-fA-F]{8,}$", r"^.*[0-9].*(\.[a-z]{1,5})$"
@@ -119,19 +118,17 @@ def sql(table: str = "pages", rules=RULES) -> str:
     fit = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     case = lambda value: "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{value(v, h, p)}'" for v, h, p in longest) + " END"
-    parts = [f"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM {table}),
+    parts = [f"""WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url FROM {table}),
 h AS (SELECT page_id, translate(regexp_extract(url, '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '{URL}', 2) AS path FROM u),
 p AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled,
   array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '{NUMBER}') OR regexp_matches(s, '{HEX}') THEN '*'
     WHEN regexp_matches(s, '{ENDING}') THEN '*' || regexp_extract(s, '{ENDING}', 1) ELSE s END), '/') AS looks FROM h),
 t0 AS (SELECT host, looks, count(rule) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, string_split(looks, '/') AS segments FROM p GROUP BY host, looks)"""]
-    for i in range(1, LEVELS + 1):
-        parts.append(f"""o{i} AS (SELECT *, array_to_string(segments[1:{i}], '/') AS parent, segments[{i + 1}] AS child FROM t{i - 1}),
-w{i} AS (SELECT host, parent FROM o{i} WHERE child IS NOT NULL GROUP BY host, parent HAVING count(DISTINCT child) > {FANOUT}),
-t{i} AS (SELECT o.host, o.looks, o.labelled, o.blocked, CASE WHEN w.host IS NOT NULL AND o.child IS NOT NULL
-  THEN list_concat(list_concat(o.segments[1:{i}], ['*']), o.segments[{i + 2}:]) ELSE o.segments END AS segments
-  FROM o{i} o LEFT JOIN w{i} w ON o.host = w.host AND o.parent = w.parent)""")
-    parts.append(f"""t AS (SELECT host, looks, labelled, blocked, array_to_string(segments, '/') AS template FROM t{LEVELS}),
+    parts.append(f"""deep AS (SELECT max(len(segments)) AS deepest FROM t0),
+tree AS (SELECT 1 AS level, host, looks, labelled, blocked, segments FROM t0 UNION ALL
+  SELECT level + 1, host, looks, labelled, blocked, CASE WHEN child IS NOT NULL AND children > {FANOUT} THEN list_concat(list_concat(segments[1:level], ['*']), segments[level + 2:]) ELSE segments END
+  FROM (SELECT *, segments[level + 1] AS child, count(DISTINCT segments[level + 1]) OVER (PARTITION BY host, array_to_string(segments[1:level], '/')) AS children FROM tree) x JOIN deep ON level < deepest),
+t AS (SELECT host, looks, labelled, blocked, array_to_string(segments, '/') AS template FROM tree JOIN deep ON level = deepest),
 b AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked, regexp_replace(template, '[^/]*/?$', '') AS parent FROM t GROUP BY host, template),
 pool AS (SELECT host, parent, sum(labelled)::BIGINT AS pool_l, sum(blocked)::BIGINT AS pool_b FROM b GROUP BY host, parent),
 ev AS (SELECT template, sum(labelled)::BIGINT AS all_l, sum(blocked)::BIGINT AS all_b FROM t GROUP BY template),
