@@ -116,16 +116,15 @@ class TwoTier:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, bc) -> TwoTier:
-    return TwoTier(path, bc.value)
+def _worker(vocabulary: str, bc) -> TwoTier:
+    return TwoTier(public_tokenizers.path(vocabulary), bc.value)
 
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """``df`` with a column of token counts."""
     spark = df.sparkSession
     small_batches(spark)
-    path = public_tokenizers.path(vocabulary)
-    own = TwoTier(path, {})
+    own = TwoTier(public_tokenizers.path(vocabulary), {})
     frequent: Counter = Counter()
     # collect() reads partitions only until the limit is met, where an iterator would shuffle every partition's first rows
     for row in df.select(F.substring(F.col(text), 1, HEAD).alias("t")).where("t is not null").limit(sample).collect():
@@ -135,7 +134,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", vocab
 
     @F.pandas_udf("long")
     def counts(texts: pd.Series) -> pd.Series:
-        count = _worker(path, bc)
+        count = _worker(vocabulary, bc)  # each machine has its own place for the file
         return pd.Series([count(t) for t in texts.fillna("")], dtype="int64")
 
     return df.withColumn(out, counts(F.col(text)))
