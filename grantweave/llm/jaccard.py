@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom, in_bloom
+from .bloom import bloom, in_bloom, sized
 from .common import materialize, small_batches, text_key, whole_groups
 from .words import gram_hashes, mixed, word_hashes, words_of
 
@@ -155,7 +155,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     held = materialize(tasks.mapInPandas(active, "h long, i int, j int, own int, k1 long, k2 long"))
     wanted = materialize(held.select(*NODE).distinct())
-    filters = spark.sparkContext.broadcast(bloom(wanted, "k1"))  # of a fixed size; most texts are left out before they shuffle
+    filters = spark.sparkContext.broadcast(bloom(wanted, "k1", sized(wanted.count())))  # 32 MB at most; most texts are left out before they shuffle
 
     @F.pandas_udf("boolean")
     def likely(keys: pd.Series) -> pd.Series:

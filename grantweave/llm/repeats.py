@@ -1,20 +1,21 @@
-"""Finding repeated windows across all documents: how windows of equal content meet in one shard.
+"""Finding repeated windows across all documents: how windows that may be equal meet in one shard.
 
 A window is ``W`` consecutive symbols of one text. Each window has an anchor, the K-gram in it with the least hash
 (leftmost of equals), so equal windows have equal anchors. Consecutive windows with one anchor form a segment.
 
-1. ``anchor_counts``: one pass counts, over all texts, the segments of each anchor and whether their contents are all
-   equal. Most anchors occur once and are done.
-2. A second pass cuts the segments of anchors that recur. Where all contents of an anchor are equal, its windows are
-   repeated. Otherwise (or where the filter errs) the segment's windows are cut into blocks of ``B`` neighbouring places relative to the anchor;
-   a block's windows all hold a common core, and equal windows have equal cores, so blocks meet by core. This splits an
-   anchor that a large part of all texts share (a common line, say) by its surroundings. A Bloom filter of a fixed size
-   (``bloom``) keeps most other segments from being cut; its errors only cost work.
-3. Blocks of a core with more than one content go to shards, each content once with its count; a shard's index (a
-   suffix array or an FM-index, see the callers) tells which windows occur twice.
+1. One pass counts, over all texts, the segments of each anchor. Windows of an anchor that occurs once occur once.
+2. A second pass cuts the segments of anchors that recur into blocks of ``B`` neighbouring places relative to the anchor. A
+   block's windows all hold a common core, and equal windows have equal cores, so blocks meet by core: an
+   anchor that a large part of all texts share (a common line, say) is split by its surroundings. Recurring anchors are known by a
+   Bloom filter sized by their number (errors only cost work); beyond ``FILTERED`` anchors segments join the anchors instead.
+3. Blocks of a core that recurs go to shards, each different content once with its number of rows (at least two where there
+   are more). Cores with over ``SPLIT`` different contents are cut into narrower blocks, whose cores hold more of the
+   surroundings, down to single windows, so no core fills a task. A shard's index (a suffix array or an FM-index, see the
+   callers) decides for every window whether it occurs in more than one row.
 4. Intervals of repeated windows return to the texts; covered symbols are removed.
 
-Texts are known by two 64-bit hashes, so copies, null ids and repeated rows need no ids, and copies share results.
+Texts are known by two 64-bit hashes, so copies, null ids and repeated rows need no ids, and copies share results. A task takes
+at most two copies of a text and one content of a kind: more can't change what is repeated.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom, in_bloom
+from .bloom import bloom, in_bloom, sized
 from .common import materialize, small_batches, text_key, whole_groups
 from .words import gram_hashes
 
 PIECE = 1 << 22
-#: Bytes of contents that one index is built over, unless a single core has more.
-SHARD = 1 << 19
+#: Bytes of contents that one index is built over, about; different contents of a core beyond which it is cut up; anchors beyond
+#: which they are joined instead of filtered; texts and contents that a task remembers.
+SHARD, SPLIT, FILTERED, SEEN = 1 << 20, 512, 1 << 24, 1 << 20
 
 
 class Windows:
@@ -43,6 +45,11 @@ class Windows:
     def __init__(self, symbols: Callable[[str], np.ndarray], w: int, k: int, b: int):
         self.symbols, self.w, self.k, self.b = symbols, w, k, b
 
+    @property
+    def width(self) -> int:
+        """Bytes of a symbol."""
+        return self.symbols("").itemsize
+
     def segments(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first window, number of windows, anchor's place, anchor's hash) of each segment."""
         out = []
@@ -82,96 +89,113 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def anchor_counts(docs: DataFrame, kind: Windows) -> DataFrame:
-    """(m, pure) for each anchor hash m that more than one segment has; pure: their contents are all equal."""
+class Twice:
+    """Lets a key pass twice, within a bounded memory."""
+
+    def __init__(self):
+        self.seen: dict = {}
+
+    def __call__(self, key) -> bool:
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        n = self.seen.get(key, 0)
+        self.seen[key] = n + 1
+        return n < 2
+
+
+def segments_of(docs: DataFrame, kind: Windows, columns: str) -> DataFrame:
+    """The segments of all texts, at most two copies of a text a task: k1, k2, first (window), m (the anchor's hash), or some of these."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def scan(batches):
+        twice = Twice()
         for b in batches:
-            m, c = [], []
-            for text in b["text"]:
-                s = kind.symbols(text)
-                first, n, _, g = kind.segments(s)
-                data, width = s.tobytes(), s.itemsize
-                m.append(g)
-                c += [xxhash.xxh3_64_intdigest(kind.content(data, width, f, k)) for f, k in zip(first.tolist(), n.tolist(), strict=True)]
-            yield pd.DataFrame({"m": signed(np.concatenate(m)), "c": signed(np.array(c, np.uint64))})
+            out: dict[str, list] = {c: [np.empty(0, np.int64)] for c in names}
+            for k1, k2, text in zip(b["k1"].tolist(), b["k2"].tolist(), b["text"], strict=True):
+                if not twice((k1, k2)):
+                    continue
+                first, _, _, g = kind.segments(kind.symbols(text))
+                every = {"k1": np.full(len(g), k1), "k2": np.full(len(g), k2), "first": first, "m": signed(g)}
+                for c in names:
+                    out[c].append(every[c])
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
-    rows = docs.select("text").mapInPandas(scan, "m long, c long")
-    counted = rows.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    return counted.where("n > 1").select("m", (F.col("low") == F.col("high")).alias("pure"))
+    return docs.mapInPandas(scan, columns)
 
 
-def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.ndarray], list[list[tuple[int, int]]]]) -> DataFrame:
-    """(k1, k2, runs) per text that has repeated windows; runs: array of (first window, number of windows).
+def recurring(docs: DataFrame, kind: Windows) -> DataFrame:
+    """(m): anchors that more than one segment has."""
+    return segments_of(docs, kind, "m long").groupBy("m").count().where("count > 1").select("m")
 
-    ``docs``: (k1, k2, text), copies allowed. ``find(contents, counts)`` gives, for each content of a shard, the runs of
-    windows that occur more than once in the shard or whose content does.
-    """
+
+BLOCKS = "first int, n int, d int, q long, c long, content binary"
+
+
+def block_columns(kind: Windows, data: bytes, width: int, first: np.ndarray, n: np.ndarray, place: np.ndarray) -> dict[str, list]:
+    """The blocks of some segments: first window, number of windows, distance from there to the anchor, hashes of core and content, content."""
+    segment, block, a, count = kind.blocks(first, n, place)
+    anchor = place[segment]
+    cores = [kind.core(data, width, p, x) for p, x in zip(anchor.tolist(), block.tolist(), strict=True)]
+    own = [kind.content(data, width, x, y) for x, y in zip(a.tolist(), count.tolist(), strict=True)]
+    q = np.array([xxhash.xxh3_64_intdigest(x) for x in cores], np.uint64) + block.astype(np.uint64)
+    c = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
+    return {"first": a, "n": count, "d": anchor - a, "q": signed(q), "c": signed(c), "content": own}
+
+
+def occurrences(docs: DataFrame, kind: Windows) -> DataFrame:
+    """(k1, k2, BLOCKS) of the segments whose anchors recur; a task gives a content once, then null."""
     spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = materialize(anchor_counts(docs, kind))
-    filters = spark.sparkContext.broadcast((bloom(anchors), bloom(anchors.where("NOT pure"))))  # twice BITS / 8 bytes
+    anchors = materialize(recurring(docs, kind))
+    known = anchors.count()
+    listed = known > FILTERED
+    if listed:
+        found = segments_of(docs, kind, "k1 long, k2 long, first int, m long").join(anchors, "m", "left_semi").select("k1", "k2", "first").distinct()
+        docs = docs.join(found.groupBy("k1", "k2").agg(F.collect_list("first").alias("firsts")), ["k1", "k2"])  # of one text
+    else:
+        docs = docs.withColumn("firsts", F.lit(None).cast("array<int>"))
+        filters = spark.sparkContext.broadcast(bloom(anchors, "m", sized(known)))  # 2 bytes an anchor, FILTERED at most
 
     def cut(batches):
-        """Segments of recurring anchors: whole ones (q null), or where an anchor's contents differ, blocks (q the core's hash)."""
-        recur, mixed = filters.value
-        names = ("k1", "k2", "first", "n", "m", "q", "c")
+        twice, seen = Twice(), set()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in names}
-            contents: list = []
-
-            def add(k1, k2, *columns, out=out):
-                for c, v in zip(names, (np.full(len(columns[0]), k1), np.full(len(columns[0]), k2), *columns), strict=True):
-                    out[c].append(v)
-
-            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
+            frames = []
+            for k1, k2, text, firsts in zip(batch["k1"].tolist(), batch["k2"].tolist(), batch["text"], batch["firsts"], strict=True):
+                if not twice((k1, k2)):
+                    continue
                 s = kind.symbols(text)
                 first, n, place, g = kind.segments(s)
-                m = signed(g)
-                hit = np.flatnonzero(in_bloom(recur, m))
-                if not len(hit):
-                    continue
-                split = in_bloom(mixed, m[hit])
-                one, hit = hit[~split], hit[split]
-                zero = np.zeros(len(one), np.int64)
-                add(k1, k2, first[one], n[one], m[one], zero, zero)
-                contents += [None] * len(one)
+                hit = np.flatnonzero(np.isin(first, firsts) if listed else in_bloom(filters.value, signed(g)))
                 if len(hit):
-                    data, width = s.tobytes(), s.itemsize
-                    segment, block, a, count = kind.blocks(first[hit], n[hit], place[hit])
-                    anchor = place[hit][segment].tolist()
-                    cores = [kind.core(data, width, p, x) for p, x in zip(anchor, block.tolist(), strict=True)]
-                    own = [kind.content(data, width, x, y) for x, y in zip(a.tolist(), count.tolist(), strict=True)]
-                    q = np.array([xxhash.xxh3_64_intdigest(x) for x in cores], np.uint64) + block.astype(np.uint64)
-                    c = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
-                    add(k1, k2, a, count, m[hit][segment], signed(q), signed(c))
-                    contents += own
-            if contents:
-                frame = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-                yield frame.astype({"first": "int32", "n": "int32"}).assign(content=contents)
-
-    rows = materialize(docs.mapInPandas(cut, "k1 long, k2 long, first int, n int, m long, q long, c long, content binary"))
-    run = ["k1", "k2", "first", "n"]
-    whole = rows.where("content IS NULL").join(anchors.where("pure"), "m", "left_semi").select(*run)
-    blocks = rows.where("content IS NOT NULL")
-    cores = blocks.groupBy("m", "q").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).where("times > 1")
-    cores = materialize(cores.select("m", "q", (F.col("low") == F.col("high")).alias("pure")))
-    equal = blocks.join(cores.where("pure"), ["m", "q"], "left_semi").select(*run)
-    mixed_rows = materialize(blocks.join(cores.where("NOT pure"), ["m", "q"], "left_semi"))
-    contents = mixed_rows.groupBy("m", "q", "c").agg(F.count("*").alias("times"), F.first("content").alias("content"))
-    ready = contents.repartition(parts, "m", "q").sortWithinPartitions("m", "q", "c")
+                    frames.append(pd.DataFrame({"k1": k1, "k2": k2, **block_columns(kind, s.tobytes(), s.itemsize, first[hit], n[hit], place[hit])}))
+            if frames:
+                frame = pd.concat(frames, ignore_index=True)
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = [not (x in seen or seen.add(x)) for x in zip(frame["q"].tolist(), frame["c"].tolist(), strict=True)]
+                frame["content"] = frame["content"].where(pd.Series(new), None)
+                yield frame.astype({"first": "int32", "n": "int32", "d": "int32"})
+
+    return docs.mapInPandas(cut, f"k1 long, k2 long, {BLOCKS}")
+
+
+def indexed(contents: DataFrame, kind: Windows, find, b: int) -> DataFrame:
+    """(q, c, at, count): runs of windows that occur in more than one row, of stored contents (q, c, d, times, content) in blocks of ``b`` places."""
+    spark = contents.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = contents.groupBy("q").agg(F.count("*").alias("unlike"), F.sum("times").alias("rows")).where("rows > 1")
+    sizes = materialize(sizes.select("q", (F.col("unlike") > (SPLIT if b > 1 else 1 << 62)).alias("hot")))
+    few = contents.join(sizes.where("NOT hot"), "q", "left_semi").repartition(parts, "q").sortWithinPartitions("q", "c")
 
     def search(batches):
         held: list[tuple] = []
         size = 0
 
         def flush():
-            found = find([x[3] for x in held], np.array([x[4] for x in held]))
-            return pd.DataFrame([(m, q, c, a, n) for (m, q, c, _, _), runs in zip(held, found, strict=True) for a, n in runs], columns=["m", "q", "c", "at", "count"])
+            found = find([x[2] for x in held], np.array([x[3] for x in held]))
+            return pd.DataFrame([(q, c, a, n) for (q, c, _, _), runs in zip(held, found, strict=True) for a, n in runs], columns=["q", "c", "at", "count"])
 
-        for frame in whole_groups(batches, ["m", "q"]):
-            held += list(zip(frame["m"], frame["q"], frame["c"], frame["content"], frame["times"], strict=True))
+        for frame in whole_groups(batches, ["q"]):
+            held += list(zip(frame["q"], frame["c"], frame["content"], frame["times"], strict=True))
             size += int(frame["content"].str.len().sum())
             if size >= SHARD:
                 yield flush()
@@ -179,10 +203,41 @@ def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.nda
         if held:
             yield flush()
 
-    runs = materialize(ready.mapInPandas(search, "m long, q long, c long, at int, count int"))
-    searched = mixed_rows.drop("content", "n").join(runs, ["m", "q", "c"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("first"), F.col("count").alias("n"))
-    every = whole.unionByName(equal).unionByName(searched).distinct()
-    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs = few.select("q", "c", "content", "times").mapInPandas(search, "q long, c long, at int, count int")
+    hot = sizes.where("hot")
+    if b == 1 or not hot.limit(1).count():
+        return runs
+    narrow = Windows(kind.symbols, kind.w, kind.k, max(1, b // 4))
+
+    def cut(batches):
+        for batch in batches:
+            for q, c, d, times, content in zip(batch["q"], batch["c"], batch["d"], batch["times"], batch["content"], strict=True):
+                width = kind.width
+                n = len(content) // width - kind.w + 1
+                blocks = block_columns(narrow, content, width, np.zeros(1, np.int64), np.array([n]), np.array([d]))
+                frame = pd.DataFrame({"q0": q, "c0": c, "times": times, **blocks})
+                yield frame.astype({"first": "int32", "n": "int32", "d": "int32"})
+
+    pieces = materialize(contents.join(hot, "q", "left_semi").select("q", "c", "d", "times", "content").mapInPandas(cut, f"q0 long, c0 long, times long, {BLOCKS}"))
+    again = materialize(pieces.groupBy("q", "c").agg(F.first("d").alias("d"), F.sum("times").alias("times"), F.first("content").alias("content")))
+    inner = pieces.select("q0", "c0", "first", "q", "c").join(indexed(again, kind, find, narrow.b), ["q", "c"])
+    return runs.unionByName(inner.select(F.col("q0").alias("q"), F.col("c0").alias("c"), (F.col("first") + F.col("at")).alias("at"), "count"))
+
+
+def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.ndarray], list[list[tuple[int, int]]]]) -> DataFrame:
+    """(k1, k2, runs) per text that has repeated windows; runs: array of (first window, number of windows).
+
+    ``docs``: (k1, k2, text), copies allowed. ``find(contents, rows)`` gives, for each content of a shard, the runs of
+    windows that occur in more than one row of the shard.
+    """
+    small_batches(docs.sparkSession)
+    rows = materialize(occurrences(docs, kind))
+    cores = rows.groupBy("q").count().where("count > 1").select("q")
+    met = rows.join(cores, "q", "left_semi")
+    contents = materialize(met.groupBy("q", "c").agg(F.first("d").alias("d"), F.count("*").alias("times"), F.first("content", ignorenulls=True).alias("content")))
+    runs = materialize(indexed(contents, kind, find, kind.b))
+    found = rows.select("k1", "k2", "first", "q", "c").join(runs, ["q", "c"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("first"), F.col("count").alias("n"))
+    return found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
 
 def merged(runs: list[tuple[int, int]], w: int) -> list[tuple[int, int]]:

@@ -33,24 +33,17 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_windows(contents: list[bytes], counts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """Runs of windows, per content, that occur more than once among the contents."""
+    """Runs of windows, per content, that occur in more than one row; ``counts``: rows of each content."""
     data = bytes([END]).join(contents) + bytes([END])
-    starts = np.zeros(len(data), bool)
-    at = 0
-    for content in contents:
-        starts[at : at + len(content) - window + 1] = True
-        at += len(content) + 1
+    lengths = np.array([len(c) + 1 for c in contents], np.int64)
     order = suffix_array(np.frombuffer(data, np.uint8))
-    order = order[starts[order]]  # only whole windows; equal ones stand side by side, for others don't begin like them
-    long = permuted_prefixes(data, order, window) >= window
-    repeated = long.copy()
-    repeated[order[:-1][long[order[1:]]]] = True
-    out, at = [], 0
-    for content, times in zip(contents, counts.tolist(), strict=True):
-        n = len(content) - window + 1
-        out.append([(0, n)] if times > 1 else runs_of(repeated[at : at + n]))
-        at += len(content) + 1
-    return out
+    long = permuted_prefixes(data, order, window) >= window  # the suffix before shares a window
+    follows = np.zeros(len(data), bool)
+    follows[order[:-1]] = long[order[1:]]
+    rows = np.repeat(np.minimum(counts, 2), lengths)
+    repeated = long | follows | (rows > 1)
+    starts = np.cumsum(lengths) - lengths
+    return [runs_of(repeated[a : a + n - window]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
 
 def kept(text: str, covered: list[tuple[int, int]]) -> tuple[int, int, int, str]:

@@ -1,14 +1,19 @@
-"""Suffix arrays by induced sorting, in numpy: all suffixes of a bucket are induced at once.
+"""Suffix arrays by induced sorting, in numpy: many suffixes are induced at once.
 
 ``suffix_array`` classifies suffixes as larger or smaller than their right neighbour, sorts the leftmost-smaller
-substrings by one induction, names them, sorts the string of names (by rank doubling, since its alphabet is about
-as large as the string itself), and induces the whole array from that order, bucket by bucket.
+substrings by one induction, names them, sorts the string of names by the same procedure unless all names differ, and
+induces the whole array from that order. A string over few symbols is induced bucket by bucket. The strings of
+names have thousands of symbols and next to nothing in a bucket; there all suffixes are induced together, along the runs of
+larger and of smaller ones, by doubling (runs are short, so two or three rounds do).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols up to which buckets are induced one by one.
+NARROW = 1024
+
 
 def by_rank_doubling(s: np.ndarray) -> np.ndarray:
     """Suffix array of integers of any range; log(longest repeat) sorts."""
@@ -70,8 +75,61 @@ def induce(s: np.ndarray, starts: dict[int, np.ndarray], sigma: int) -> np.ndarr
     return np.concatenate([part for c in range(sigma) for part in (larger[c], smaller[c][::-1])])
 
 
+def names_of(s: np.ndarray, leftmost: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """A number for each leftmost-smaller substring, equal ones sharing theirs; ``ranked`` has them in order."""
+    n = len(s)
+    begin = leftmost[ranked]
+    stop = np.concatenate([leftmost[1:], [n - 1]])[ranked]
+    length = stop - begin + 1
+    same = length[1:] == length[:-1]
+    left = np.flatnonzero(same)
+    for k in range(int(length.max())):  # compare neighbours symbol by symbol while any pair is alike
+        if not len(left):
+            break
+        left = left[length[left] > k]
+        differ = s[begin[left] + k] != s[begin[left + 1] + k]
+        same[left[differ]] = False
+        left = left[~differ]
+    names = np.empty(len(leftmost), np.int64)
+    names[ranked] = np.concatenate([[0], np.cumsum(~same)])
+    return names
+
+
+def dense(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+
+
+def refined(first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Ranks of chains: a chain begins with ``first`` and goes on at the place ``after``; its last place leads to itself."""
+    rank, span = dense(first), len(first) + 1
+    while True:
+        new = dense(rank * span + rank[after])
+        if new.max() == rank.max():
+            return new
+        rank, after = new, after[after]
+
+
+def induced_ranks(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """A number for every suffix that sorts it, given numbers that sort the leftmost-smaller ones; where those are equal for
+    equal symbols, suffixes that are equal up to the next leftmost-smaller one share a number."""
+    n = len(s)
+    place, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    kind, span = 2 * s.astype(np.int64) + small, n + 1
+
+    def run(mine: np.ndarray, ends: np.ndarray, known: np.ndarray) -> None:
+        every = np.concatenate([mine, ends])
+        place[every] = np.arange(len(every))
+        after = np.concatenate([place[np.minimum(mine + 1, n - 1)], place[ends]])
+        rank[mine] = refined(kind[every] * span + np.concatenate([np.zeros(len(mine), np.int64), known]), after)[: len(mine)]
+
+    run(np.flatnonzero(~small), leftmost, given)
+    ends = np.flatnonzero(small[:-1] & ~small[1:]) + 1
+    run(np.flatnonzero(small), ends, rank[ends])
+    return dense(kind * span + rank)
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of ``symbols`` (small integers from 0 on); the end counts as smaller than any symbol."""
+    """Order of all suffixes of ``symbols`` (integers from 0 on); the end counts as smaller than any symbol."""
     if not len(symbols):
         return np.empty(0, np.int64)
     sigma = int(symbols.max()) + 2
@@ -93,47 +151,53 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
         return {int(c[a]): part for part, a in zip(np.split(order, cuts), [0, *cuts.tolist()], strict=True)}
 
-    order = induce(s, by_bucket(leftmost), sigma)
-    number = np.full(n, -1, np.int64)
-    number[leftmost] = np.arange(len(leftmost))
-    ranked = number[order]
-    ranked = ranked[ranked >= 0]  # leftmost-smaller substrings in order
-    begin = leftmost[ranked]
-    stop = np.concatenate([leftmost[1:], [n - 1]])[ranked]
-    length = stop - begin + 1
-    same = length[1:] == length[:-1]
-    left = np.flatnonzero(same)
-    for k in range(int(length.max())):  # compare neighbours symbol by symbol while any pair is alike
-        if not len(left):
-            break
-        alive = length[left] > k
-        a, b = begin[left[alive]] + k, begin[left[alive] + 1] + k
-        differ = left[alive][s[a] != s[b]]
-        same[differ] = False
-        left = np.setdiff1d(left[alive], differ, assume_unique=True)
-    names = np.empty(len(leftmost), np.int64)
-    names[ranked] = np.concatenate([[0], np.cumsum(~same)])
-    final = ranked if names[ranked[-1]] == len(names) - 1 else by_rank_doubling(names)
-    return induce(s, by_bucket(leftmost[final]), sigma)[1:]
+    if sigma <= NARROW:
+        order = induce(s, by_bucket(leftmost), sigma)
+        number = np.full(n, -1, np.int64)
+        number[leftmost] = np.arange(len(leftmost))
+        ranked = number[order]
+        names = names_of(s, leftmost, ranked[ranked >= 0])
+    else:
+        names = dense(induced_ranks(s, small, leftmost, np.zeros(len(leftmost), np.int64))[leftmost])
+    final = np.argsort(names) if int(names.max()) + 1 == len(names) else suffix_array(names)
+    if sigma <= NARROW:
+        return induce(s, by_bucket(leftmost[final]), sigma)[1:]
+    given = np.empty(len(leftmost), np.int64)
+    given[final] = np.arange(len(leftmost))
+    return np.argsort(induced_ranks(s, small, leftmost, given))[1:]
+
+
+def common_prefixes(data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the prefixes that the suffixes at the places a and b share, eight bytes at a time."""
+    n = len(data)
+    words = np.ndarray((n + 1,), "<u8", data + b"\0" * 8, 0, (1,))
+    shared, at, done = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    while len(at):
+        x, y = a[at], b[at]
+        room = n - np.maximum(x, y) - done
+        differ = words[np.minimum(x + done, n)] ^ words[np.minimum(y + done, n)]
+        low = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+        equal = np.minimum(equal, np.maximum(room, 0))
+        shared[at] += equal
+        at, done = at[equal == 8], done + 8
+    return shared
 
 
 def permuted_prefixes(data: bytes, order: np.ndarray, cap: int) -> np.ndarray:
-    """For each position in ``order``, the length up to ``cap`` of the prefix its suffix shares with the suffix before it in order; 0 elsewhere."""
+    """For each place, the length up to ``cap`` of the prefix its suffix shares with the suffix before it in ``order``, all suffixes in order.
+
+    Where both suffixes stand behind equal bytes, the length is that of the place before less one: such lengths are carried on, and
+    only the others are compared."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    s = np.frombuffer(data, np.uint8)
+    carried = np.zeros(n, bool)
+    carried[1:] = (before[1:] > 0) & (s[np.arange(n - 1)] == s[before[1:] - 1])
+    fresh = np.flatnonzero(~carried)
     shared = np.zeros(n, np.int64)
-    padded = data + b"\0" * 8
-    words = np.ndarray((n + 1,), "<u8", padded, 0, (1,))
-    at = np.flatnonzero(before >= 0)
-    done = 0
-    while len(at) and done < cap:
-        room = n - np.maximum(at, before[at]) - done
-        differ = words[np.minimum(at + done, n)] ^ words[np.minimum(before[at] + done, n)]
-        low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
-        equal = np.minimum(equal, np.maximum(room, 0))
-        shared[at] += equal
-        at = at[equal == 8]
-        done += 8
-    return np.minimum(shared, cap)
+    some = fresh[before[fresh] >= 0]
+    shared[some] = common_prefixes(data, some, before[some])
+    last = np.maximum.accumulate(np.where(carried, 0, np.arange(n)))
+    return np.minimum(shared[last] - (np.arange(n) - last), cap)
