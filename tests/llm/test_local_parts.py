@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grantweave.llm import decontam, fm_dedup, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, suffixes, tokens
+from grantweave.llm import decontam, fm_dedup, jaccard, lang_id, mtree, pii, suffix_dedup, suffixes, tokens, topics
 from grantweave.llm.repeats import Windows, merged
 
 # The base patterns of the contract.
@@ -218,9 +219,10 @@ def test_language_model_on_held_out_text():
     assert right >= 98 and names[-1] == lang_id.UND
 
 
-def test_topics():
-    assert mixing.topic_of("") == (0, -1) and mixing.topic_of("a b") == (2, -1)
-    assert mixing.topic_of("Topic topic other words here")[0] == 5
+def test_topic_vectors():
+    assert topics.vector_of("") is None and topics.vector_of("a b") is None
+    a, b = (np.frombuffer(topics.vector_of(t), np.int16) for t in ("Topic topic other words here", "WORDS topic other"))
+    assert abs(np.sqrt((a.astype(float) ** 2).sum()) - topics.UNIT) < 5 and (a == b).all()
 
 
 def brute_top(vectors, k):
@@ -244,13 +246,15 @@ def test_trees_search_exactly(seed):
     v = np.array(list(groups))
     ids = [sorted(g)[:6] for g in groups.values()]
     m2 = float((v * v).sum(axis=1).max())
-    import pandas as pd
-
-    pages = mtree.build(v, ids, m2)
-    frame = pd.DataFrame([{"page": i, "leaf": p["leaf"], "vectors": v[p["entry"]].tobytes(), "apart": p["apart"], "radius": p["radius"], "least": p["least"], "child": p["child"], "ids": [ids[e] if p["leaf"] else [] for e in p["entry"]], "centre": v[0].tobytes()} for i, p in enumerate(pages)])
-    tree, got = mtree.Tree(frame, m2), []
-    for q, x in vectors.items():
-        if q % 3 == 0:
-            best = sorted((-s, c) for s, c in tree.search(q, x, 5, None))
-            got += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    pages = mtree.build(v, m2)
+    mine = [[ids[e] for e in p["entry"]] if p["leaf"] else [] for p in pages]
+    rows = [
+        {"dim": 5, "page": i, "leaf": p["leaf"], "vectors": v[p["entry"]].tobytes(), "apart": p["apart"].tobytes(), "radius": p["radius"].tobytes(), "child": p["child"].tobytes()}
+        | {"ids": np.array(sum(mine[i], []), np.int64).tobytes(), "slots": np.array(list(map(len, mine[i])), np.int32).tobytes(), "centre": v[0].tobytes()}
+        for i, p in enumerate(pages)
+    ]
+    asked = np.array([q for q in vectors if q % 3 == 0])
+    block = mtree.Queries(asked, np.stack([vectors[q] for q in asked.tolist()]), np.full(len(asked), mtree.LOW), 5, m2)
+    mtree.Tree(pd.DataFrame(rows)).search(block, np.arange(len(asked)))
+    got = [(int(q), r + 1, int(block.id[i, r]), int(block.score[i, r])) for i, q in enumerate(asked) for r in range(5)]
     assert sorted(got) == brute_top(vectors, 5)

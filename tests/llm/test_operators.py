@@ -236,24 +236,25 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
-def test_top_k(spark, shard, monkeypatch):
+@pytest.mark.parametrize(("shard", "block"), [(8192, 4096), (40, 4)])
+def test_top_k(spark, shard, block, monkeypatch):
     monkeypatch.setattr(mtree, "SHARD", shard)
+    monkeypatch.setattr(mtree, "BLOCK", block)  # several blocks of queries
     rng = random.Random(2)
     vectors = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(300)]
     same = [0.1] * 6
-    vectors += [(i, same) for i in range(300, 420)] + [(500, [0.1, None] + same[2:]), (501, [float("nan")] + same[1:]), (502, None), (503, []), (None, same), (550, same), (550, same), (600, [0.5, 0.5]), (601, [0.25, 0.5])]
+    vectors += [(i, same) for i in range(300, 420)] + [(500, [0.1, None] + same[2:]), (501, [float("nan")] + same[1:]), (502, None), (503, []), (None, same), (550, same), (550, same), (550, [0.2] * 6), (None, [0.3] * 6), (650, []), (600, [0.5, 0.5]), (601, [0.25, 0.5])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
     import numpy as np
 
-    known = {}
+    known = []
     for i, v in vectors:
-        if i is not None and v and all(x is not None and x == x for x in v):
-            known[i] = np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)
+        if v is not None and all(x is not None and x == x for x in v):
+            known.append((i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)))
     expected = Counter()
-    for q, v in known.items():
-        if q % 50 == 0:
-            best = sorted((-int(v @ w), c) for c, w in known.items() if c != q and len(w) == len(v))[:5]
-            expected.update((q, r + 1, c, -s) for r, (s, c) in enumerate(best))
+    for row, (q, v) in enumerate(known):
+        if q is not None and q % 50 == 0:  # every row but the query's own, repeated ones and those without id included
+            best = sorted((-int(v @ w), c is None, c or 0) for other, (c, w) in enumerate(known) if other != row and len(w) == len(v))[:5]
+            expected.update((q, r + 1, None if none else c, -s) for r, (s, none, c) in enumerate(best))
     assert got(mtree.top_k(df)) == expected
     assert mtree.top_k(df.limit(0)).count() == 0
