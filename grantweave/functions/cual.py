@@ -52,3 +52,15 @@ def build(owner: Column, parts: Column, kind: Column | None = None) -> Column:
 def warehouse(account: Column, *parts: Column) -> Column:
     """A warehouse object: database, schema, object; null parts are left out."""
     return build(F.concat(F.lit("snowflake://"), account, F.lit(".snowflakecomputing.com")), F.array_compact(F.array(*parts)))
+
+
+def relation(account: Column, name: Column) -> Column:
+    """A relation of the transformation tool, by its dotted name, as the warehouse object it becomes; without a type."""
+    from .names import model_parts
+
+    return build(F.concat(F.lit("snowflake://"), account, F.lit(".snowflakecomputing.com")), model_parts(name))
+
+
+def bi(server: Column, parts: Column, kind: Column) -> Column:
+    """An asset of the BI server: its folders from the top project down, its own name, and its type."""
+    return build(F.concat(F.lit("tableau://"), server), parts, kind)

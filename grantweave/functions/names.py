@@ -58,8 +58,9 @@ def model_parts(name: Column) -> Column:
 
 
 def table_parts(name: Column) -> Column:
-    """Parts of a table name as a BI tool writes it: [A].[B], or dotted with optional quotes; unquoted parts become upper case."""
-    bracketed = F.regexp_extract_all(name, F.lit(r"\[([^\]]*)\]"), 1)
+    """Parts of a table name as a BI tool writes it: [A].[B], or dotted with optional quotes; unquoted parts become upper case.
+    Quotes inside a part stay as they are written in quotes, doubled."""
+    bracketed = F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\]]*)\]"), 1), lambda p: F.replace(p, F.lit('"'), F.lit('""')))
     dotted = F.regexp_extract_all(name, F.lit(r'"((?:[^"]|"")*)"|([^."]+)'), 0)
     plain = F.transform(dotted, lambda p: F.when(p.startswith('"'), F.substr(p, F.lit(2), F.length(p) - 2)).otherwise(F.upper(p)))
     return F.when(name.startswith("["), bracketed).otherwise(plain)
@@ -104,6 +105,21 @@ def to_boolean(text: Column) -> Column:
     return F.when(text == "true", True).when(text == "false", False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(text, F.lit("null")))).cast("boolean"))
 
 
+def granted_on_name(kind: Column, catalog: Column, schema: Column, name: Column) -> Column:
+    """The dotted name of what a grant is on; a kind that has none is an error."""
+    return (
+        F.when(kind.isin("TABLE", "VIEW"), F.concat_ws(".", catalog, schema, name))
+        .when(kind == "SCHEMA", F.concat_ws(".", catalog, name))
+        .when(kind == "DATABASE", catalog)
+        .otherwise(F.raise_error(F.concat(F.lit("no grants are read on "), kind)).cast("string"))
+    )
+
+
+def epoch_seconds(at: Column) -> Column:
+    """Seconds since 1970 of a time; 0 without one."""
+    return F.coalesce(F.unix_timestamp(at), F.lit(0).cast("long"))
+
+
 def privilege_name(text: Column) -> Column:
     return F.when(text == "REFERENCE USAGE", "REFERENCE_USAGE").otherwise(text)
 

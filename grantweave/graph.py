@@ -92,21 +92,22 @@ class AccessGraph:
         return flags, pair("applied_to"), pair("removed_from"), self._arcs("asset", "asset", "parent_of"), self._arcs("asset", "asset", "derived_to")
 
     def tags_of_asset(self, asset_id: str) -> DataFrame:
-        return tags.tags_for_assets(*self._tag_tables()).where(F.col("asset") == asset_id).select("tag", "via")
+        one = self._from(asset_id).withColumnRenamed("source", "asset")
+        return tags.tags_for_assets(*tags.towards(one, *self._tag_tables())).where(F.col("asset") == asset_id).select("tag", "via")
 
     def assets_of_tag(self, tag_id: str) -> DataFrame:
-        return tags.assets_for_tags(*self._tag_tables()).where(F.col("tag") == tag_id).select("asset", "via")
+        return tags.assets_for_tags(*tags.of_tag(tag_id, *self._tag_tables())).select("asset", "via")
 
     def tag_paths(self, tag_id: str) -> DataFrame:
-        flags, *rest = self._tag_tables()
-        return tags.tag_paths(flags.where(F.col("tag") == tag_id), *rest).where(F.col("tag") == tag_id).select("asset", "path")
+        return tags.tag_paths(*tags.of_tag(tag_id, *self._tag_tables())).select("asset", "path")
 
     def users_of_tag(self, tag_id: str) -> DataFrame:
-        found = tags.all_tags(*self._tag_tables()).where(F.col("tag") == tag_id)
-        return permissions.users_for_tags(self.permissions, found).select("user_id")
+        return permissions.users_for_tags(self.permissions, tags.all_tags(*tags.of_tag(tag_id, *self._tag_tables()))).select("user_id")
 
     def tags_of_user(self, user_id: str) -> DataFrame:
-        return permissions.tags_of_users(self.permissions.where(F.col("user_id") == user_id), tags.all_tags(*self._tag_tables())).select("tag", "assets")
+        mine = self.permissions.where(F.col("user_id") == user_id)
+        own = permissions.access(mine).select(F.col("asset_id").alias("asset"))
+        return permissions.tags_of_users(mine, tags.all_tags(*tags.towards(own, *self._tag_tables()))).select("tag", "assets")
 
     # drawings
 

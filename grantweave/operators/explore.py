@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import NODE_ORDER
-from ..storage import stored
+from ..storage import numbered
 
 
 def summaries(nodes: DataFrame) -> DataFrame:
@@ -40,14 +40,8 @@ def sorted_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def placed(nodes: DataFrame) -> DataFrame:
-    """All nodes with ``place``, counted from 1 by type, then by name. Nodes are cut into ranges of that order; a place is a
-    row's number in its range plus the rows of the ranges before, so no task sorts them all."""
-    order = [type_rank(F.col("node_type")), F.col("name"), F.col("node_id")]
-    ranges = stored(nodes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return ranges.withColumn("place", within).join(F.broadcast(starts), "range").withColumn("place", (F.col("place") + F.col("start")).cast("long")).drop("range", "start")
+    """All nodes with ``place``, counted from 1 by type, then by name."""
+    return numbered(nodes, [type_rank(F.col("node_type")), F.col("name"), F.col("node_id")], "place")
 
 
 def words_in(text: Column, term: str, case_sensitive: bool = False) -> Column:

@@ -58,9 +58,12 @@ def compact(policies: DataFrame, expanded_defaults: DataFrame) -> DataFrame:
 
 
 def fold(policies: DataFrame, keys: list[str]) -> DataFrame:
-    """Agents with equal privileges on a key share a row: keys, privileges, users, groups."""
+    """Agents with equal privileges (and metadata, if the table has any) on a key share a row: keys, privileges, users, groups."""
     agents = lambda kind: F.array_sort(F.collect_set(F.when(F.col("agent_type") == kind, F.col("agent"))))
-    return policies.groupBy(*keys, F.array_sort("privileges").alias("privileges")).agg(agents("user").alias("users"), agents("group").alias("groups"))
+    same = [F.array_sort("privileges").alias("privileges")]
+    known = "metadata" in policies.columns
+    folded = policies.groupBy(*keys, *same, *([entries("metadata").alias("metadata")] if known else [])).agg(agents("user").alias("users"), agents("group").alias("groups"))
+    return folded.withColumn("metadata", F.map_from_entries("metadata")) if known else folded
 
 
 def non_default_policies(covered: DataFrame, policies: DataFrame) -> DataFrame:
@@ -78,27 +81,43 @@ def set_difference(wanted: str, have: str) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(w, h)), F.array_sort(F.array_except(h, w))
 
 
+def entries(metadata: str) -> Column:
+    """A map's entries, sorted; none for null."""
+    return F.array_sort(F.coalesce(F.map_entries(metadata), F.array().cast("array<struct<key:string,value:string>>")))
+
+
 def diff(wanted: DataFrame, have: DataFrame, keys: list[str], value: str, flag: str | None = None) -> DataFrame:
     """Full-outer difference by key: change (add, remove, modify), to_add, to_remove; equal rows are left out.
 
+    Where both sides have a map ``metadata``, its entries are compared like privileges and reported as add_metadata and remove_metadata.
     ``flag``: a boolean column whose change alone is a modification, reported as (flag): true, false or null if unchanged.
     """
-    extra = [flag] if flag else []
-    w = wanted.select(*keys, F.col(value).alias("w"), *[F.col(c).alias("wf") for c in extra], F.lit(1).alias("in_w"))
-    h = have.select(*keys, F.col(value).alias("h"), *[F.col(c).alias("hf") for c in extra], F.lit(1).alias("in_h"))
+    extra, known = [flag] if flag else [], "metadata" in wanted.columns and "metadata" in have.columns
+    side = lambda df, s: df.select(*keys, F.col(value).alias(s), *[F.col(c).alias(f"{s}f") for c in extra], *([entries("metadata").alias(f"{s}m")] if known else []), F.lit(1).alias(f"in_{s}"))
     add, remove = set_difference("w", "h")
-    x = w.join(h, keys, "full_outer").withColumn("to_add", add).withColumn("to_remove", remove)
+    x = side(wanted, "w").join(side(have, "h"), keys, "full_outer").withColumn("to_add", add).withColumn("to_remove", remove)
     change = F.when(F.col("in_h").isNull(), "add").when(F.col("in_w").isNull(), "remove").otherwise("modify")
-    same = (F.col("to_add") == F.array().cast(NO_TEXT)) & (F.col("to_remove") == F.array().cast(NO_TEXT))
+    same = (F.size("to_add") == 0) & (F.size("to_remove") == 0)
     if flag:
         same &= F.col("wf").eqNullSafe(F.col("hf"))
         x = x.withColumn(flag, F.when(~F.col("wf").eqNullSafe(F.col("hf")), F.coalesce("wf", F.lit(False))))
-    return x.withColumn("change", change).where((F.col("change") != "modify") | ~same).select(*keys, "change", "to_add", "to_remove", *extra)
+    if known:
+        none = F.array().cast("array<struct<key:string,value:string>>")
+        less = lambda a, b: F.array_except(F.coalesce(a, none), F.coalesce(b, none))
+        x = x.withColumns({"add_metadata": less("wm", "hm"), "remove_metadata": less("hm", "wm")})
+        same &= (F.size("add_metadata") == 0) & (F.size("remove_metadata") == 0)
+        extra = ["add_metadata", "remove_metadata", *extra]
+    x = x.withColumn("change", change).where((F.col("change") != "modify") | ~same)
+    x = x.withColumns({c: F.map_from_entries(c) for c in extra if c != flag})
+    return x.select(*keys, "change", "to_add", "to_remove", *extra)
 
 
 def policy_diff(wanted: DataFrame, have: DataFrame) -> DataFrame:
-    """By (asset, agent). An empty wanted policy is nothing to add; what is there is removed then, too."""
-    some = lambda df: df.where(F.size("privileges") > 0)
+    """By (asset, agent). A wanted policy without privileges and metadata is nothing to add; what is there is removed then, too."""
+
+    def some(df: DataFrame) -> DataFrame:
+        return df.where((F.size("privileges") > 0) | (F.size(entries("metadata")) > 0) if "metadata" in df.columns else F.size("privileges") > 0)
+
     return diff(some(wanted), some(have), AGENT, "privileges")
 
 
@@ -106,6 +125,16 @@ def default_policy_diff(wanted: DataFrame, have: DataFrame) -> DataFrame:
     return diff(wanted, have, DEFAULT, "privileges", "connector_managed")
 
 
+def in_order(diffs: DataFrame, column: str, fold_case: bool = False) -> DataFrame:
+    """Differences in the order in which they are shown: by asset, or groups by name whatever the case."""
+    return diffs.orderBy(F.lower(column) if fold_case else F.col(column), column)
+
+
+def lasting_defaults(defaults: DataFrame) -> DataFrame:
+    """Default policies that their connector keeps; the others only stand for the policies they expand to, and go after that."""
+    return defaults.where("connector_managed")
+
+
 def group_diff(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """(name, member_of); a removed group needs no membership detail."""
     return diff(wanted, have, ["name"], "member_of").withColumn("to_remove", F.when(F.col("change") == "remove", F.array().cast(NO_TEXT)).otherwise(F.col("to_remove")))
@@ -141,6 +170,14 @@ def by_connector(diffs: DataFrame, column: str) -> DataFrame:
     return diffs.withColumn("connector", F.substring_index(column, "::", 1))
 
 
+def users_by_connector(membership: DataFrame, group_names: DataFrame) -> DataFrame:
+    """(connector, user_name, to_add, to_remove): a membership difference dealt out to the connectors that its groups belong to;
+    ``group_names``: (group, connector, local)."""
+    one = lambda c: membership.select("user_name", F.explode(c).alias("group")).join(group_names, "group").select("connector", "user_name", "local", F.lit(c).alias("side"))
+    set_of = lambda c: F.array_sort(F.collect_set(F.when(F.col("side") == c, F.col("local")))).alias(c)
+    return one("to_add").union(one("to_remove")).groupBy("connector", "user_name").agg(set_of("to_add"), set_of("to_remove"))
+
+
 def group_names(groups: DataFrame, connectors: DataFrame, overrides: DataFrame) -> DataFrame:
     """(group, connector, local): a prefixed group has one connector; others all that can write groups, by their own names."""
     pinned = groups.where(F.contains("group", F.lit("::"))).select("group", F.substring_index("group", "::", 1).alias("connector"), F.expr("substring(group, locate('::', group) + 2)").alias("local"))

@@ -15,12 +15,15 @@ def neighbours(edges: DataFrame, edge_type: str, *kinds: str) -> DataFrame:
 
 
 def observed_policies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(asset, agent_type, agent, privileges, metadata): each policy over each of its agents and assets."""
-    policies = nodes.where("node_type = 'policy'").select(F.col("node_id").alias("src_id"), "privileges")
+    """(asset, agent_type, agent, privileges, and metadata if nodes have it): each policy over each of its agents and assets. Privileges
+    of several policies are united; of their metadata the first policy's stands (by id)."""
+    known = ["metadata"] if "metadata" in nodes.columns else []
+    policies = nodes.where("node_type = 'policy'").select(F.col("node_id").alias("src_id"), "privileges", *known)
     agents = neighbours(edges.where("src_type = 'policy'"), "granted_to", "user", "group").select("src_id", F.col("dst_type").alias("agent_type"), F.col("dst_id").alias("agent"))
     assets = neighbours(edges.where("src_type = 'policy'"), "governs", "asset").select("src_id", F.col("dst_id").alias("asset"))
     rows = policies.join(agents, "src_id").join(assets, "src_id")
-    return rows.groupBy("asset", "agent_type", "agent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("privileges")))).alias("privileges"))
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("privileges")))).alias("privileges")
+    return rows.groupBy("asset", "agent_type", "agent").agg(united, *[F.min_by(c, "src_id").alias(c) for c in known])
 
 
 def observed_default_policies(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .traverse import paths
+from .traverse import paths, reach
 
 
 def spread(arcs: DataFrame, bases: DataFrame, removed: DataFrame) -> DataFrame:
@@ -48,6 +48,24 @@ def tags_for_assets(*tables: DataFrame) -> DataFrame:
     return assets_for_tags(*tables).where("via != 'untagged'").select("asset", "tag", "via")
 
 
+def towards(assets: DataFrame, tags: DataFrame, applied: DataFrame, removed: DataFrame, hierarchy: DataFrame, lineage: DataFrame) -> tuple[DataFrame, ...]:
+    """The tag tables cut down to what can decide the tags of some assets (column asset): they themselves and what lies above them."""
+    above = {}
+    for name, arcs in (("hierarchy", hierarchy), ("lineage", lineage)):
+        up = reach(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), assets.select(F.col("asset").alias("source")))
+        above[name] = stored(up.select("node").union(assets.select("asset")).distinct())
+    every = above["hierarchy"].union(above["lineage"]).distinct().withColumnRenamed("node", "asset")
+    inner = lambda arcs, name: arcs.join(above[name].withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    near = lambda df: df.join(every, "asset", "left_semi").select("tag", "asset")
+    return tags, near(applied), near(removed), inner(hierarchy, "hierarchy"), inner(lineage, "lineage")
+
+
+def of_tag(tag: str, tags: DataFrame, applied: DataFrame, removed: DataFrame, hierarchy: DataFrame, lineage: DataFrame) -> tuple[DataFrame, ...]:
+    """The tag tables cut down to one tag."""
+    mine = lambda df: df.where(F.col("tag") == tag)
+    return mine(tags), mine(applied), mine(removed), hierarchy, lineage
+
+
 def all_tags(*tables: DataFrame) -> DataFrame:
     """(asset, tag), whatever the way."""
     return tags_for_assets(*tables).select("asset", "tag").distinct()
@@ -72,16 +90,27 @@ def match_targets(targets: DataFrame, assets: DataFrame) -> DataFrame:
 
     A pattern matches names that end with it; if none does, whatever the case; if that isn't exactly one, names that
     contain it. One match is accepted; none is "no match" ("bad type" if only other kinds match), more are "too many".
+
+    Endings are joined as keys: every name is cut at the lengths that patterns have. Only patterns that this leaves open are
+    compared with all names.
     """
-    pairs = targets.join(assets.withColumnRenamed("kind", "asset_kind"), F.contains(F.lower("asset"), F.lower("pattern")))
-    fits = F.col("kind").isNull() | F.col("kind").eqNullSafe(F.col("asset_kind"))
-    stage = F.when(F.endswith("asset", "pattern"), 1).when(F.endswith(F.lower("asset"), F.lower("pattern")), 2).otherwise(3)
-    counted = lambda n: [F.count(F.when(fits & (stage == n), 1)).alias(f"n{n}"), F.min(F.when(fits & (stage == n), F.col("asset"))).alias(f"a{n}")]
     keys = targets.columns
-    got = pairs.groupBy(*keys).agg(*counted(1), *counted(2), *counted(3), F.count("*").alias("any"))
-    got = targets.distinct().alias("t").join(got.alias("g"), [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], "left").select("t.*", *[F.coalesce(f"g.{c}", F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "any")], "g.a1", "g.a2", "g.a3")
-    suffix = F.when(F.col("n1") > 0, F.col("n1")).otherwise(F.col("n2"))
-    every = F.col("n1") + F.col("n2") + F.col("n3")
-    asset = F.when(suffix == 1, F.when(F.col("n1") > 0, F.col("a1")).otherwise(F.col("a2"))).when((suffix != 1) & (every == 1), F.coalesce("a1", "a2", "a3"))
-    outcome = F.when(asset.isNotNull(), "matched").when(every > 1, "too many").when(F.col("any") > 0, "bad type").otherwise("no match")
-    return got.select(*keys, asset.alias("asset"), outcome.alias("outcome"))
+    wanted = targets.distinct().withColumn("key", F.lower("pattern"))
+    named = assets.withColumnRenamed("kind", "asset_kind")
+    lengths = wanted.agg(F.collect_set(F.length("key")).alias("lengths"))  # one row; different lengths are few
+    ends = named.withColumn("low", F.lower("asset")).join(F.broadcast(lengths)).select("asset", "asset_kind", "low", F.explode(F.filter("lengths", lambda n: n <= F.length("low"))).alias("n"))
+    ends = ends.withColumn("key", F.substr("low", F.length("low") - F.col("n") + 1, F.col("n"))).drop("low", "n")
+    fits = F.col("kind").isNull() | F.col("kind").eqNullSafe(F.col("asset_kind"))
+    exact = F.endswith("asset", "pattern")
+    one = lambda c, n: [F.count(F.when(fits & c, 1)).alias(f"n{n}"), F.min(F.when(fits & c, F.col("asset"))).alias(f"a{n}")]
+    got = stored(wanted.join(ends, "key", "left").groupBy(*keys).agg(*one(exact, 1), *one(~exact, 2)))
+    settled = F.when(F.col("n1") == 1, F.col("a1")).when((F.col("n1") == 0) & (F.col("n2") == 1), F.col("a2"))
+    done = got.where(settled.isNotNull()).select(*keys, settled.alias("asset"), F.lit("matched").alias("outcome"))
+    left = got.where(settled.isNull()).select(*keys)
+    # patterns are configuration, so the few that are left are broadcast to the names
+    some = named.join(F.broadcast(left), F.contains(F.lower("asset"), F.lower("pattern"))).groupBy(*keys).agg(*one(F.lit(True), 3), F.count("*").alias("any"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    held = left.alias("l").join(some.alias("s"), on, "left").select("l.*", F.coalesce("s.n3", F.lit(0)).alias("n3"), "s.a3", F.coalesce("s.any", F.lit(0)).alias("any"))
+    asset = F.when(F.col("n3") == 1, F.col("a3"))
+    outcome = F.when(asset.isNotNull(), "matched").when(F.col("n3") > 1, "too many").when(F.col("any") > 0, "bad type").otherwise("no match")
+    return done.unionByName(held.select(*keys, asset.alias("asset"), outcome.alias("outcome")))

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
+#: Hops after which their results are stored as one table.
+MERGED = 5
+#: Paths that an enumeration may walk.
+MOST = 1_000_000_000
+
 
 def arcs(edges: DataFrame, *types: str) -> DataFrame:
     """(src, dst) of the given edge types of a full edge table; keys join type and id."""
@@ -38,7 +43,8 @@ def reach(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = N
         seen = reduce(DataFrame.union, levels).select("source", "node")
         step = frontier.join(through.withColumnRenamed("src", "node"), "node").select("source", F.col("dst").alias("node")).distinct()
         frontier = stored(step.join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        levels.append(frontier)
+        # what was seen is read again at every hop: few files instead of a growing union
+        levels = [stored(reduce(DataFrame.union, levels)), frontier] if len(levels) == MERGED else [*levels, frontier]
     found = reduce(DataFrame.union, levels).where(F.col("depth") >= min_depth)
     return found if target is None else found.join(target.select("node"), "node", "left_semi").select("source", "node", "depth")
 
@@ -49,15 +55,16 @@ def hop(arcs: DataFrame, sources: DataFrame, target: DataFrame | None = None) ->
     return found if target is None else found.join(target.select("node"), "node", "left_semi").select("source", "node")
 
 
-def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = None, target: DataFrame | None = None, stop: DataFrame | None = None, min_depth: int = 1, max_depth: int | None = None) -> DataFrame:
+def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = None, target: DataFrame | None = None, stop: DataFrame | None = None, min_depth: int = 1, max_depth: int | None = None, most: int = MOST) -> DataFrame:
     """(source, node, path, depth): all simple paths, ends included, to every target.
 
+    Their number can grow without bound where nodes have many ways to each other: more than ``most`` are an error, never a cut.
     ``stop`` (source, node): a path that meets its source's stop node ends there, and only such paths are returned.
     """
     arcs = arcs.select("src", "dst").distinct()
     through = None if passthrough is None else passthrough.select("node").distinct()
     frontier = sources.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    found, depth = [], 0
+    found, depth, walked = [], 0, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(arcs.withColumnRenamed("src", "node"), "node").where(~F.array_contains("path", F.col("dst")))
@@ -66,7 +73,11 @@ def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = N
             ends = stop.select("source", "node", F.lit(True).alias("ends"))
             step = step.join(ends, ["source", "node"], "left")
         step = stored(step)
-        if step.isEmpty():
+        n = step.count()  # read from the files' footers
+        walked += n
+        if walked > most:
+            raise ValueError(f"more than {most} paths; restrict the sources or the depth")
+        if not n:
             break
         if stop is not None:
             hit = step.where("ends").drop("ends")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted
+from ..storage import numbered
 
 
 def name(c: str) -> Column:
@@ -78,4 +78,4 @@ def default_policies(diffs: DataFrame) -> DataFrame:
 def ordered(*statements: DataFrame) -> DataFrame:
     """All statements with a place within their stage. A plan is read in order, stage by stage."""
     every = reduce(DataFrame.union, statements)
-    return every.select("stage", F.row_number().over(Window.partitionBy("stage").orderBy("statement")).cast("long").alias("seq"), "statement")
+    return numbered(every, [F.col("statement")], "seq", "stage").select("stage", "seq", "statement")

@@ -40,10 +40,12 @@ DERIVED = {
     "grants": """SELECT DISTINCT concat('SUPPLIER_', l_suppkey) AS role, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'TABLE' WHEN p_type LIKE 'SMALL%' THEN 'STAGE' ELSE 'VIEW' END AS kind,
       concat_ws('.', 'DB', p_type, p_brand) AS asset, CASE l_returnflag WHEN 'A' THEN 'REFERENCE USAGE' WHEN 'N' THEN 'SELECT' ELSE 'INSERT' END AS privilege
       FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
-    "config_policy": """SELECT concat('customer:', o_custkey) AS asset, 'user' AS agent_type, concat('user:', l_suppkey) AS agent, l_returnflag AS privilege
-      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_custkey % 10 < 5 AND l_linenumber <= 3""",
-    "env_policy": """SELECT concat('customer:', o_custkey) AS asset, 'user' AS agent_type, concat('user:', l_suppkey) AS agent, l_returnflag AS privilege
-      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_custkey % 10 BETWEEN 3 AND 7 AND l_linenumber >= 2""",
+    "policies": """SELECT concat('customer:', o_custkey) AS asset, 'user' AS agent_type, concat('user:', l_suppkey) AS agent, l_returnflag AS privilege
+      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
+    "config_policy": """SELECT concat('customer:', o_custkey) AS asset, 'user' AS agent_type, concat('user:', l_suppkey) AS agent, l_returnflag AS privilege, l_linestatus AS status
+      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'""",
+    "env_policy": """SELECT concat('customer:', o_custkey) AS asset, 'user' AS agent_type, concat('user:', l_suppkey) AS agent, l_returnflag AS privilege, l_linestatus AS status
+      FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'""",
     "default_rows": """SELECT concat('region:', r_regionkey) AS root, 1 AS root_depth, '/*' AS path, 'nation' AS target_type, 'group:all' AS agent, 'USAGE' AS privilege FROM {region}
       UNION ALL SELECT concat('region:', r_regionkey), 1, '/**', 'supplier', 'group:all', 'READ' FROM {region}
       UNION ALL SELECT concat('region:', r_regionkey), 1, '/*/*', 'supplier', 'group:all', 'WRITE' FROM {region} WHERE r_regionkey < 3

@@ -143,12 +143,12 @@ def op_m08_compaction(t: Tables) -> DataFrame:
 
 
 def every_policy(t: Tables) -> DataFrame:
-    """The policies of all orders and their lines; ``config_policy`` holds some of them, as a state to compare."""
+    """The policies of all orders and their lines."""
     named = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return named.select(F.concat(F.lit("customer:"), "o_custkey").alias("asset"), F.lit("user").alias("agent_type"), F.concat(F.lit("user:"), "l_suppkey").alias("agent"), F.col("l_returnflag").alias("privilege"))
 
 
-FOLD = """WITH p AS (SELECT asset, agent, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges FROM {config_policy} GROUP BY asset, agent)"""
+FOLD = """WITH p AS (SELECT asset, agent, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges FROM {policies} GROUP BY asset, agent)"""
 
 
 @query(FOLD + " SELECT asset, privileges, string_agg(agent, ',' ORDER BY agent) AS users, '' AS groups FROM p GROUP BY asset, privileges")
@@ -189,39 +189,64 @@ def shown(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.array_join(c, ",") for c in ("to_add", "to_remove")})
 
 
-@query("WITH " + set_diff("{config_policy}", "{env_policy}", "asset, agent_type, agent", "privilege") + " SELECT * FROM d")
+POLICIES = """WITH w AS (SELECT asset, agent_type, agent, list(DISTINCT privilege) AS v, 'status=' || max(status) AS m FROM {config_policy} GROUP BY asset, agent_type, agent),
+  h AS (SELECT asset, agent_type, agent, list(DISTINCT privilege) AS v, 'status=' || max(status) AS m FROM {env_policy} GROUP BY asset, agent_type, agent),
+  x AS (SELECT asset, agent_type, agent, CASE WHEN h.v IS NULL THEN 'add' WHEN w.v IS NULL THEN 'remove' ELSE 'modify' END AS change,
+    array_to_string(list_sort(list_filter(coalesce(w.v, []), lambda p: NOT list_contains(coalesce(h.v, []), p))), ',') AS to_add,
+    array_to_string(list_sort(list_filter(coalesce(h.v, []), lambda p: NOT list_contains(coalesce(w.v, []), p))), ',') AS to_remove,
+    CASE WHEN w.m IS DISTINCT FROM h.m THEN coalesce(w.m, '') ELSE '' END AS add_metadata, CASE WHEN w.m IS DISTINCT FROM h.m THEN coalesce(h.m, '') ELSE '' END AS remove_metadata FROM w FULL JOIN h USING (asset, agent_type, agent)),
+  d AS (SELECT * FROM x WHERE change <> 'modify' OR to_add <> '' OR to_remove <> '' OR add_metadata <> '' OR remove_metadata <> '')"""
+
+
+def with_status(df: DataFrame) -> DataFrame:
+    return df.groupBy(*policy.AGENT).agg(F.array_sort(F.collect_set("privilege")).alias("privileges"), F.create_map(F.lit("status"), F.max("status")).alias("metadata"))
+
+
+def flat(metadata: str) -> F.Column:
+    return F.array_join(F.transform(policy.entries(metadata), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias(metadata)
+
+
+@query(POLICIES + " SELECT * FROM d")
 def op_j14_policy_diff(t: Tables) -> DataFrame:
-    return shown(policies_diff(t))
+    return shown(policies_diff(t)).withColumns({c: flat(c) for c in ("add_metadata", "remove_metadata")})
 
 
 def policies_diff(t: Tables) -> DataFrame:
-    return policy.policy_diff(state(t.config_policy, policy.AGENT), state(t.env_policy, policy.AGENT))
+    return policy.policy_diff(with_status(t.config_policy), with_status(t.env_policy))
+
+
+@query("""WITH p AS (SELECT asset, agent, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges, 'status=' || max(status) AS metadata FROM {config_policy} GROUP BY asset, agent)
+  SELECT asset, privileges, metadata, string_agg(agent, ',' ORDER BY agent) AS users FROM p GROUP BY asset, privileges, metadata""")
+def op_a10_fold_metadata(t: Tables) -> DataFrame:
+    return policy.fold(with_status(t.config_policy), ["asset"]).select("asset", joined("privileges"), flat("metadata"), joined("users"))
 
 
 DEFAULTS = """dw AS (SELECT *, root_depth = 2 AS managed FROM {default_rows} WHERE path <> '/*/*'), dh AS (SELECT root, root_depth, path, target_type, agent, CASE privilege WHEN 'READ' THEN 'WRITE' ELSE privilege END AS privilege, path = '/**' AS managed FROM {default_rows} WHERE root NOT LIKE 'region:4'),
-  w AS (SELECT root, path, target_type, agent, min(privilege) AS v, bool_or(managed) AS m FROM dw GROUP BY ALL), h AS (SELECT root, path, target_type, agent, min(privilege) AS v, bool_or(managed) AS m FROM dh GROUP BY ALL)"""
+  w AS (SELECT root, path, target_type, agent, min(privilege) AS v, bool_or(managed) AS m, 'level=' || min(root_depth) AS n FROM dw GROUP BY ALL), h AS (SELECT root, path, target_type, agent, min(privilege) AS v, bool_or(managed) AS m, 'level=1' AS n FROM dh GROUP BY ALL)"""
 
 
 def default_diff(t: Tables) -> DataFrame:
     wanted = t.default_rows.where("path != '/*/*'").select("*", (F.col("root_depth") == 2).alias("connector_managed"))
     have = t.default_rows.where("root != 'region:4'").withColumn("privilege", F.when(F.col("privilege") == "READ", "WRITE").otherwise(F.col("privilege"))).select("*", (F.col("path") == "/**").alias("connector_managed"))
-    one = lambda df: df.withColumn("agent_type", F.lit("group")).groupBy(*policy.DEFAULT, "connector_managed").agg(F.array_sort(F.collect_set("privilege")).alias("privileges"))
+    level = lambda df: F.create_map(F.lit("level"), F.min("root_depth").cast("string") if df is wanted else F.lit("1"))
+    one = lambda df: df.withColumn("agent_type", F.lit("group")).groupBy(*policy.DEFAULT, "connector_managed").agg(F.array_sort(F.collect_set("privilege")).alias("privileges"), level(df).alias("metadata"))
     return policy.default_policy_diff(one(wanted), one(have))
 
 
 @query("WITH " + DEFAULTS.replace("GROUP BY ALL", "GROUP BY root, path, target_type, agent") + """ SELECT root, path, target_type, agent, CASE WHEN h.v IS NULL THEN 'add' WHEN w.v IS NULL THEN 'remove' ELSE 'modify' END AS change,
   CASE WHEN w.v IS DISTINCT FROM h.v THEN coalesce(w.v, '') ELSE '' END AS to_add, CASE WHEN w.v IS DISTINCT FROM h.v THEN coalesce(h.v, '') ELSE '' END AS to_remove,
-  CASE WHEN w.m IS DISTINCT FROM h.m THEN coalesce(w.m, false) END AS connector_managed FROM w FULL JOIN h USING (root, path, target_type, agent) WHERE w.v IS DISTINCT FROM h.v OR w.m IS DISTINCT FROM h.m""")
+  CASE WHEN w.n IS DISTINCT FROM h.n THEN coalesce(w.n, '') ELSE '' END AS add_metadata, CASE WHEN w.n IS DISTINCT FROM h.n THEN coalesce(h.n, '') ELSE '' END AS remove_metadata,
+  CASE WHEN w.m IS DISTINCT FROM h.m THEN coalesce(w.m, false) END AS connector_managed FROM w FULL JOIN h USING (root, path, target_type, agent) WHERE w.v IS DISTINCT FROM h.v OR w.m IS DISTINCT FROM h.m OR w.n IS DISTINCT FROM h.n""")
 def op_j15_default_policy_diff(t: Tables) -> DataFrame:
-    return shown(default_diff(t)).drop("agent_type")
+    return shown(default_diff(t)).withColumns({c: flat(c) for c in ("add_metadata", "remove_metadata")}).drop("agent_type")
 
 
-GROUPS = """gw AS (SELECT concat('nations:', c_nationkey) AS name, c_mktsegment AS g FROM {customer} WHERE c_custkey % 5 < 3 AND c_nationkey < 20), gh AS (SELECT concat('nations:', c_nationkey) AS name, c_mktsegment AS g FROM {customer} WHERE c_custkey % 5 > 1 AND c_nationkey > 4 AND c_acctbal > 5000)"""
+GROUPS = """gw AS (SELECT concat('nations:', c_nationkey) AS name, c_mktsegment AS g FROM {customer} WHERE c_acctbal < 7000 AND c_nationkey < 20), gh AS (SELECT concat('nations:', c_nationkey) AS name, c_mktsegment AS g FROM {customer} WHERE c_acctbal > 5000 AND c_nationkey > 4)"""
 
 
 def groups_diff(t: Tables) -> DataFrame:
     rows = lambda where: state(t.customer.where(where).select(F.concat(F.lit("nations:"), "c_nationkey").alias("name"), F.col("c_mktsegment").alias("g")), ["name"], "g", "member_of")
-    return policy.group_diff(rows("c_custkey % 5 < 3 AND c_nationkey < 20"), rows("c_custkey % 5 > 1 AND c_nationkey > 4 AND c_acctbal > 5000"))
+    return policy.group_diff(rows("c_acctbal < 7000 AND c_nationkey < 20"), rows("c_acctbal > 5000 AND c_nationkey > 4"))
 
 
 @query("WITH " + GROUPS + ", " + set_diff("gw", "gh", "name", "g") + " SELECT name, change, to_add, CASE WHEN change = 'remove' THEN '' ELSE to_remove END AS to_remove FROM d")
@@ -229,8 +254,8 @@ def op_j16_group_diff(t: Tables) -> DataFrame:
     return shown(groups_diff(t))
 
 
-IDENTITY = """iw AS (SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS id FROM {customer} WHERE c_custkey % 7 <> 1 UNION ALL SELECT concat('user:', s_suppkey), concat('dw=', s_name) FROM {supplier}),
-  ih AS (SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS id FROM {customer} WHERE c_custkey % 7 <> 2)"""
+IDENTITY = """iw AS (SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS id FROM {customer} WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT concat('user:', s_suppkey), concat('dw=', s_name) FROM {supplier}),
+  ih AS (SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS id FROM {customer} WHERE c_mktsegment <> 'MACHINERY')"""
 
 
 @query("WITH " + IDENTITY + ", " + set_diff("iw", "ih", "user_name", "id") + " SELECT * FROM d")
@@ -239,9 +264,9 @@ def op_j17_identity_diff(t: Tables) -> DataFrame:
 
 
 def identities_diff(t: Tables) -> DataFrame:
-    crm = lambda skip: t.customer.where(F.col("c_custkey") % 7 != skip).select(F.concat(F.lit("user:"), "c_custkey").alias("user_name"), F.lit("crm").alias("connector"), F.col("c_name").alias("local_name"))
+    crm = lambda skip: t.customer.where(F.col("c_mktsegment") != skip).select(F.concat(F.lit("user:"), "c_custkey").alias("user_name"), F.lit("crm").alias("connector"), F.col("c_name").alias("local_name"))
     dw = t.supplier.select(F.concat(F.lit("user:"), "s_suppkey").alias("user_name"), F.lit("dw").alias("connector"), F.col("s_name").alias("local_name"))
-    return policy.identity_diff(crm(1).unionByName(dw), crm(2))
+    return policy.identity_diff(crm("BUILDING").unionByName(dw), crm("MACHINERY"))
 
 
 MEMBER = """mw AS (SELECT concat('user:', o_custkey) AS user_name, o_orderpriority AS g FROM {orders} WHERE o_orderstatus <> 'P'), mh AS (SELECT concat('user:', o_custkey) AS user_name, o_orderpriority AS g FROM {orders} WHERE o_orderstatus <> 'F')"""
@@ -337,7 +362,7 @@ def op_m10_plan_sql(t: Tables) -> DataFrame:
     return warehouse_sql.ordered(warehouse_sql.groups(groups_diff(t), "ADMIN"))
 
 
-@query("WITH " + set_diff("{config_policy}", "{env_policy}", "asset, agent_type, agent", "privilege") + """, s AS (SELECT 'GRANT ' || replace(to_add, ',', ', ') || ' ON TABLE ' || asset || ' TO USER "' || agent || '";' AS statement FROM d WHERE change <> 'remove' AND to_add <> ''
+@query(POLICIES + """, s AS (SELECT 'GRANT ' || replace(to_add, ',', ', ') || ' ON TABLE ' || asset || ' TO USER "' || agent || '";' AS statement FROM d WHERE change <> 'remove' AND to_add <> ''
   UNION ALL SELECT 'REVOKE ALL ON TABLE ' || asset || ' FROM USER "' || agent || '";' FROM d WHERE change = 'remove'
   UNION ALL SELECT 'REVOKE ' || replace(to_remove, ',', ', ') || ' ON TABLE ' || asset || ' FROM USER "' || agent || '";' FROM d WHERE change = 'modify' AND to_remove <> '') SELECT 2 AS stage, statement FROM s""")
 def op_m10_plan_policies(t: Tables) -> DataFrame:
@@ -467,14 +492,16 @@ def op_j05_permissions_by_id(t: Tables) -> DataFrame:
 POLICY_GRAPH = """WITH g AS (SELECT concat('policy:', c_custkey % 300) AS p, concat('user:', c_custkey) AS agent, concat('nation:', c_nationkey) AS asset FROM {customer})"""
 
 
-@query(POLICY_GRAPH + " SELECT a.asset, g.agent, string_agg(DISTINCT g.p, ',' ORDER BY g.p) AS privileges FROM (SELECT DISTINCT p, asset FROM g) a JOIN g ON g.p = a.p GROUP BY a.asset, g.agent")
+@query(POLICY_GRAPH + " SELECT a.asset, g.agent, string_agg(DISTINCT g.p, ',' ORDER BY g.p) AS privileges, 'from=' || min(g.p) AS metadata FROM (SELECT DISTINCT p, asset FROM g) a JOIN g ON g.p = a.p GROUP BY a.asset, g.agent")
 def op_j12_observed_policies(t: Tables) -> DataFrame:
     from ..operators import state as S
 
     rows = t.customer.select(F.concat(F.lit("policy:"), F.col("c_custkey") % 300).alias("p"), F.concat(F.lit("user:"), "c_custkey").alias("agent"), F.concat(F.lit("nation:"), "c_nationkey").alias("asset"))
     edge = lambda kind, c, name: rows.select(F.lit("policy").alias("src_type"), F.col("p").alias("src_id"), F.lit(kind).alias("dst_type"), F.col(c).alias("dst_id"), F.lit(name).alias("edge_type"))
     nodes = rows.select(F.lit("policy").alias("node_type"), F.col("p").alias("node_id"), F.array("p").alias("privileges")).distinct()
-    return S.observed_policies(nodes, edge("user", "agent", "granted_to").union(edge("asset", "asset", "governs"))).select("asset", "agent", joined("privileges"))
+    nodes = nodes.withColumn("metadata", F.create_map(F.lit("from"), "node_id"))
+    found = S.observed_policies(nodes, edge("user", "agent", "granted_to").union(edge("asset", "asset", "governs")))
+    return found.select("asset", "agent", joined("privileges"), flat("metadata"))
 
 
 @query("SELECT concat('user:', c.c_custkey) AS name, coalesce(string_agg(DISTINCT o.o_orderpriority, ',' ORDER BY o.o_orderpriority), '') AS groups FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey")
@@ -520,7 +547,7 @@ def op_m15_warehouse_assets(t: Tables) -> DataFrame:
     return warehouse.objects_to_assets(rows)
 
 
-@query("WITH " + set_diff("{config_policy}", "{env_policy}", "asset, agent_type, agent", "privilege") + " SELECT split_part(agent, ':', 1) AS connector, change, count(*) AS n FROM d GROUP BY ALL")
+@query(POLICIES + " SELECT split_part(agent, ':', 1) AS connector, change, count(*) AS n FROM d GROUP BY ALL")
 def op_a13_diffs_by_connector(t: Tables) -> DataFrame:
     diffs = policies_diff(t).withColumn("agent", F.replace("agent", F.lit(":"), F.lit("::")))
     return policy.by_connector(diffs, "agent").groupBy("connector", "change").agg(F.count("*").alias("n"))

@@ -208,7 +208,7 @@ def op_j06_user_tags(t: Tables) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT p_name, count(*) AS c, min(p_partkey) AS k FROM {part} GROUP BY p_name),
-  refs AS (SELECT concat('r', p_partkey) AS ref, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS typ FROM {part} WHERE p_partkey % 3 = 0),
+  refs AS (SELECT concat('r', p_partkey) AS ref, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS typ FROM {part}),
   e AS (SELECT p_name, p_type, min(p_partkey) AS k FROM {part} GROUP BY p_name, p_type)
   SELECT r.ref, coalesce(e.k, CASE WHEN r.typ IS NULL AND n.c = 1 THEN n.k END) AS asset FROM refs r LEFT JOIN e ON e.p_name = r.p_name AND e.p_type = r.typ LEFT JOIN n ON n.p_name = r.p_name""")
 def op_j04_edge_resolution(t: Tables) -> DataFrame:
@@ -267,7 +267,7 @@ def op_p05_allow_only(t: Tables) -> DataFrame:
     return permissions.allowed(t.perms).select("user_id", "asset_id", "privilege", "seq")
 
 
-@query(NODES + ", ranked AS (SELECT *, CASE node_type WHEN 'user' THEN 1 WHEN 'group' THEN 2 WHEN 'asset' THEN 3 WHEN 'policy' THEN 4 ELSE 6 END AS r FROM nodes) SELECT node_type, name, row_number() OVER (ORDER BY r, name) AS place FROM ranked ORDER BY r, name LIMIT 50")
+@query(NODES + ", ranked AS (SELECT *, CASE node_type WHEN 'user' THEN 1 WHEN 'group' THEN 2 WHEN 'asset' THEN 3 WHEN 'policy' THEN 4 ELSE 6 END AS r FROM nodes) SELECT node_type, name, row_number() OVER (ORDER BY r, name, node_id) AS place FROM ranked")
 def op_r01_sorted_nodes(t: Tables) -> DataFrame:
     return explore.placed(node_table(t)).select("node_type", "name", "place")
 
@@ -309,15 +309,45 @@ def op_x03_edge_union(t: Tables) -> DataFrame:
     return build.union_edges(t.hier, t.shallow, t.flow)
 
 
-@query("""WITH RECURSIVE a AS (SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem} WHERE l_linenumber = 1)
+@query("""WITH RECURSIVE a AS (SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem})
   SELECT DISTINCT x.src, y.dst FROM a x JOIN a y ON y.src = x.dst""")
 def op_s06_contraction(t: Tables) -> DataFrame:
     arcs = t.sql("SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst FROM {orders} UNION SELECT concat('order:', l_orderkey), concat('part:', l_partkey) FROM {lineitem}")
     return traverse.contract(arcs, t.orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("node")))
 
 
-@query("""WITH RECURSIVE c AS (SELECT concat('user:', c_custkey) AS user_name FROM {customer}), e AS (SELECT concat('user:', o_custkey) AS user_name FROM {orders})
+@query("""WITH RECURSIVE c AS (SELECT concat('user:', l_suppkey) AS user_name FROM {lineitem} WHERE l_shipdate < '1999-01-01'), e AS (SELECT concat('user:', o_custkey) AS user_name FROM {orders})
   SELECT user_name, 'left' AS side FROM (SELECT user_name FROM c EXCEPT SELECT user_name FROM e) UNION ALL SELECT user_name, 'right' FROM (SELECT user_name FROM e EXCEPT SELECT user_name FROM c)""")
 def op_j23_two_sided(t: Tables) -> DataFrame:
     user = lambda df, c: df.select(F.concat(F.lit("user:"), c).alias("user_name"))
-    return policy.two_sided(user(t.customer, "c_custkey"), user(t.orders, "o_custkey"), "user_name")
+    return policy.two_sided(user(t.lineitem.where("l_shipdate < '1999-01-01'"), "l_suppkey"), user(t.orders, "o_custkey"), "user_name")
+
+
+@query(PATHS.format(arcs="back", start="true", extra="").replace("WITH RECURSIVE", "WITH RECURSIVE back AS (SELECT dst AS src, src AS dst FROM {hier}),").replace("{back}", "back") + " SELECT source, node, array_to_string(path, ' ⇨ ') AS path FROM w WHERE source LIKE 'supplier:%'")
+def op_t10_hierarchy_upstream(t: Tables) -> DataFrame:
+    back = t.hier.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = traverse.paths(back, nodes_like(t.hier, "supplier:").withColumnRenamed("node", "source"))
+    return found.select("source", "node", P.shown(F.col("path")).alias("path"))
+
+
+@query(PATHS.format(arcs="flow", start="true", extra="") + " SELECT source, node, array_to_string(path, ' ⇨ ') AS path FROM w")
+def op_t11_lineage_paths(t: Tables) -> DataFrame:
+    found = traverse.paths(t.flow, t.flow.select(F.col("src").alias("source")).distinct())
+    return found.select("source", "node", P.shown(F.col("path")).alias("path"))
+
+
+@query("SELECT src AS group_id, dst AS parent FROM {members} WHERE src NOT LIKE 'user:%'")
+def op_t14_groups_of_groups(t: Tables) -> DataFrame:
+    kept = t.members.where("src NOT LIKE 'user:%'")
+    return traverse.hop(kept, kept.select(F.col("src").alias("source")).distinct()).select(F.col("source").alias("group_id"), F.col("node").alias("parent"))
+
+
+@query(TAGGED + " SELECT asset, tag, via FROM tagged WHERE asset = 'nation:3'")
+def op_t07_tags_of_one_asset(t: Tables) -> DataFrame:
+    near = tags.towards(one(t, "nation:3").withColumnRenamed("source", "asset"), *tag_tables(t))
+    return tags.tags_for_assets(*near).where("asset = 'nation:3'")
+
+
+@query(TAGGED + " SELECT asset, via FROM tagged WHERE tag = 'tag3'")
+def op_t06_assets_of_one_tag(t: Tables) -> DataFrame:
+    return tags.assets_for_tags(*tags.of_tag("tag3", *tag_tables(t))).where("via != 'untagged'").select("asset", "via")

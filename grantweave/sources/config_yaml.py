@@ -25,29 +25,32 @@ def yaml_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else json.dumps(yaml.safe_load(t)))
 
 
-def read(spark: SparkSession, path: str, schema: str, many: bool = True) -> DataFrame:
+FILES = "*.y*ml"
+
+
+def read(spark: SparkSession, path: str, schema: str, many: bool = True, files: str = FILES) -> DataFrame:
     """(file, entry...): a row per entry of each file; a file with one mapping counts as a list of one."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.y*ml").text(path, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
     doc = yaml_to_json("value")
     doc = F.when(doc.startswith("["), doc).otherwise(F.concat(F.lit("["), doc, F.lit("]"))) if many else doc
     parsed = raw.select(F.input_file_name().alias("file"), F.from_json(doc, schema, {"mode": "FAILFAST"}).alias("x"))
     return parsed.select("file", F.explode("x")) if not many else parsed.select("file", F.explode("x").alias("x")).select("file", "x.*")
 
 
-def users(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, USERS)
+def users(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    return read(spark, path, USERS, files=files)
 
 
-def groups(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, GROUPS).withColumnRenamed("member of", "member_of")
+def groups(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    return read(spark, path, GROUPS, files=files).withColumnRenamed("member of", "member_of")
 
 
-def assets(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, ASSETS).withColumnRenamed("default policies", "default_policies")
+def assets(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    return read(spark, path, ASSETS, files=files).withColumnRenamed("default policies", "default_policies")
 
 
-def tags(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, TAGS, many=False).select("file", F.col("key").alias("tag"), "value.*")
+def tags(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    return read(spark, path, TAGS, many=False, files=files).select("file", F.col("key").alias("tag"), "value.*")
 
 
 def policies(assets: DataFrame) -> DataFrame:
@@ -61,3 +64,11 @@ def default_policies(assets: DataFrame) -> DataFrame:
     p = assets.select("file", F.col("id").alias("root"), F.explode("default_policies").alias("p"))
     one = lambda kind: p.select("file", "root", "p.path", F.col("p.target type").alias("target_type"), F.lit(kind).alias("agent_type"), F.explode(f"p.{kind}s").alias("agent"), "p.privileges", "p.metadata", F.coalesce("p.connector-managed", F.lit(False)).alias("connector_managed"))
     return one("user").unionByName(one("group"))
+
+
+def tag_targets(tags: DataFrame, column: str = "apply_to") -> DataFrame:
+    """(tag, pattern, kind) of a tag's targets, each a name, or a mapping {name, type} whose type the asset must have."""
+    x = tags.select("tag", F.explode(column).alias("target"))
+    typed = F.from_json("target", "name string, type string", {"mode": "PERMISSIVE"})
+    plain = ~F.startswith("target", F.lit("{"))
+    return x.select("tag", F.when(plain, F.col("target")).otherwise(typed["name"]).alias("pattern"), F.when(~plain, typed["type"]).alias("kind"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +29,31 @@ def page_count(total: Column, size: Column) -> Column:
 
 
 CAPABILITIES = "array<struct<group:struct<id:string>, user:struct<id:string>, capabilities:struct<capability:array<struct<name:string, mode:string>>>>>"
-#: A capability that isn't a permission of its own, and types that take default permissions.
-LEADER, TYPES = "InheritedProjectLeader", ("workbook", "datasource", "flow", "lens", "metric")
+#: Fixed value: a capability that isn't a permission of its own.
+LEADER = "InheritedProjectLeader"
 
 
-def permissions(answers: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
-    """(asset_id, agent_type, agent, privileges) from (asset_id, granteeCapabilities json): mode and name joined; grantees must be known."""
+def grantees(answers: DataFrame) -> DataFrame:
+    """(asset_id, agent_type, id, mode, capability) from (asset_id, granteeCapabilities json)."""
     g = answers.select("asset_id", F.explode(F.from_json("granteeCapabilities", CAPABILITIES)).alias("g"))
-    flat = g.select("asset_id", F.when(F.col("g.user").isNotNull(), "user").otherwise("group").alias("agent_type"), F.coalesce("g.user.id", "g.group.id").alias("id"), F.explode("g.capabilities.capability").alias("c"))
-    agents = users.select("id", F.col("name").alias("agent"), F.lit("user").alias("agent_type")).unionByName(groups.select("id", F.col("name").alias("agent"), F.lit("group").alias("agent_type")))
-    kept = flat.where(F.col("c.name") != LEADER).join(agents, ["id", "agent_type"])
-    return kept.groupBy("asset_id", "agent_type", "agent").agg(F.array_sort(F.collect_set(F.concat("c.mode", "c.name"))).alias("privileges"))
+    agent = F.when(F.col("g.user").isNotNull(), "user").otherwise("group")
+    flat = g.select("asset_id", agent.alias("agent_type"), F.coalesce("g.user.id", "g.group.id").alias("id"), F.explode("g.capabilities.capability").alias("c"))
+    return flat.where(F.col("c.name") != LEADER).select("asset_id", "agent_type", "id", F.col("c.mode").alias("mode"), F.col("c.name").alias("capability"))
+
+
+def agents(users: DataFrame, groups: DataFrame) -> DataFrame:
+    return users.select("id", F.col("name").alias("agent"), F.lit("user").alias("agent_type")).unionByName(groups.select("id", F.col("name").alias("agent"), F.lit("group").alias("agent_type")))
+
+
+def permissions(answers: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """(asset_id, agent_type, agent, privileges): mode and name joined. Grantees must be known: see ``unknown_grantees``."""
+    kept = grantees(answers).join(agents(users, groups), ["id", "agent_type"])
+    return kept.groupBy("asset_id", "agent_type", "agent").agg(F.array_sort(F.collect_set(F.concat("mode", "capability"))).alias("privileges"))
+
+
+def unknown_grantees(answers: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """(asset_id, agent_type, id): grantees that are no known user or group, an error unless it is the default project's owner."""
+    return grantees(answers).join(agents(users, groups), ["id", "agent_type"], "left_anti").select("asset_id", "agent_type", "id").distinct()
 
 
 def permission_policies(found: DataFrame) -> DataFrame:
@@ -46,9 +61,9 @@ def permission_policies(found: DataFrame) -> DataFrame:
     return found.withColumn("name", F.sha1(F.concat_ws("|", "asset_id", "agent_type", "agent")))
 
 
-def default_policies(found: DataFrame) -> DataFrame:
+def default_policies(found: DataFrame, *more: str) -> DataFrame:
     """Default permissions per project and type as policies on everything below (path /**)."""
-    return found.select(F.col("asset_id").alias("root"), F.lit("/**").alias("path"), "target_type", "agent_type", "agent", "privileges")
+    return found.select(F.col("asset_id").alias("root"), F.lit("/**").alias("path"), "target_type", "agent_type", "agent", "privileges", *more)
 
 
 def cual_index(*kinds: tuple[str, DataFrame]) -> DataFrame:
@@ -77,6 +92,14 @@ def members(answers: DataFrame, users: DataFrame) -> DataFrame:
     return answers.join(users.select(F.col("id").alias("user_id"), "name"), "user_id").groupBy("group").agg(F.array_sort(F.collect_set("name")).alias("users"))
 
 
+def cached(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table saved earlier; None where there is none that can be read."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The graph's tables as ``sinks.export.snapshot`` wrote them."""
     return {t: spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges", "effective_permissions", "identity_map")}

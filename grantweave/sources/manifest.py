@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import model_parts
+from ..functions import cual as C
 from ..operators.traverse import contract
 
 SCHEMA = """nodes map<string, struct<unique_id:string, relation_name:string, resource_type:string,
-  config:struct<enabled:boolean, materialized:string>, fqn:array<string>, database:string, schema:string>>,
+  config:struct<enabled:boolean, materialized:string>, fqn:array<string>, database:string, schema:string, description:string, tags:array<string>>>,
   sources map<string, struct<relation_name:string>>, child_map map<string, array<string>>"""
 #: Resource types with a relation of their own, and name starts that aren't lineage.
 KINDS = ("model", "snapshot", "seed")
@@ -26,7 +26,7 @@ def models(manifest: DataFrame) -> DataFrame:
     ephemeral = F.coalesce(F.col("config.materialized") == "ephemeral", F.lit(False))
     built = F.concat_ws(".", "database", "schema", F.element_at("fqn", -1))
     relation = F.when(ephemeral, F.col("unique_id")).otherwise(F.coalesce(F.replace("relation_name", F.lit('"'), F.lit("")), built))
-    return n.select("unique_id", relation.alias("relation"), ephemeral.alias("ephemeral"), F.col("config.enabled").alias("enabled"))
+    return n.select("unique_id", relation.alias("relation"), ephemeral.alias("ephemeral"), F.col("config.enabled").alias("enabled"), "description", "tags")
 
 
 def sources(manifest: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def lineage(manifest: DataFrame) -> DataFrame:
 
 
 def references(manifest: DataFrame, account: str) -> DataFrame:
-    """(cual, enabled, derived_to): asset references with what derives from them; sources carry no metadata."""
-    cual = lambda c: F.concat(F.lit(f"snowflake://{account}.snowflakecomputing.com/"), F.array_join(model_parts(F.col(c)), "/"))
+    """(cual, enabled, description, tags, derived_to): asset references with what derives from them; sources carry no metadata."""
+    cual = lambda c: C.relation(F.lit(account), F.col(c))
     to = lineage(manifest).groupBy(F.col("src").alias("relation")).agg(F.array_sort(F.collect_set(cual("dst"))).alias("derived_to"))
-    own = models(manifest).where("NOT ephemeral").select("relation", "enabled").unionByName(sources(manifest).select("relation", F.lit(None).cast("boolean").alias("enabled")))
-    return own.join(to, "relation", "left").select(cual("relation").alias("cual"), "enabled", F.coalesce("derived_to", F.array().cast("array<string>")).alias("derived_to"))
+    own = models(manifest).where("NOT ephemeral").select("relation", "enabled", "description", "tags").unionByName(sources(manifest).select("relation"), allowMissingColumns=True)
+    return own.join(to, "relation", "left").select(cual("relation").alias("cual"), "enabled", "description", "tags", F.coalesce("derived_to", F.array().cast("array<string>")).alias("derived_to"))

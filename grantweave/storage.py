@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a session without that setting gets a folder of its own."""
+    """A new path under spark.checkpoint.dir, which all executors must share. A session on this machine alone (tests, bench) that
+    lacks the setting gets a folder of its own; on a cluster its absence is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        import tempfile
+
         base = tempfile.mkdtemp(prefix="grantweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/grantweave-{uuid.uuid4().hex}"
@@ -22,3 +28,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, part: str | None = None) -> DataFrame:
+    """All rows with their place ``out`` in an order, counted from 1 (within each value of ``part``, which then sorts first).
+
+    Rows are cut into ranges of that order; a place is a row's number in its range plus the rows of the ranges before, so no task
+    sorts them all. The counts are one row a range (and part)."""
+    keys = [F.col(part)] if part else []
+    ranges = stored(df.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id()))
+    within = ["range", *([part] if part else [])]
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(*within).agg(F.count("*").alias("n")).select(*within, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+    found = ranges.withColumn(out, place).join(F.broadcast(starts), within)
+    return found.withColumn(out, (F.col(out) + F.col("start")).cast("long")).drop("range", "start")

@@ -20,20 +20,39 @@ def upsert(state: DataFrame | None, changes: DataFrame, key: str, order: str) ->
 
 
 class Watcher:
-    """Micro-batches of changed files folded into a state table; each batch writes the next version, then drops the one before last.
+    """Micro-batches of changed files folded into a state table.
 
-    Triggers bundle changes that arrive close together; a version number per batch makes retried batches harmless.
+    Each batch writes the version of its number from the newest version before it, so a retried batch gives the same result and a
+    restarted stream goes on from what it left; the version before last is then dropped. Triggers bundle changes that arrive close together.
     """
 
     def __init__(self, spark: SparkSession, key: str, order: str, path: str | None = None):
-        self.spark, self.key, self.order = spark, key, order
-        self.path, self.current = path or shared_path(spark), None
+        self.spark, self.key, self.order, self.path = spark, key, order, path or shared_path(spark)
+
+    def _files(self):
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that are complete, in order."""
+        fs, root = self._files()
+        if not fs.exists(root):
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n.split("=")[1]) for n in names if "=" in n and fs.exists(path(f"{self.path}/versions/{n}/_SUCCESS")))
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/versions/version={version}"
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        before = self.spark.read.parquet(self.current) if self.current else None
-        target = f"{self.path}/version={batch_id}"
-        upsert(before, batch, self.key, self.order).write.mode("overwrite").parquet(target)
-        self.current = target
+        before = [v for v in self.versions() if v < batch_id]
+        state = self.spark.read.parquet(self._at(before[-1])) if before else None
+        upsert(state, batch, self.key, self.order).write.mode("overwrite").parquet(self._at(batch_id))
+        fs, _ = self._files()
+        for old in before[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(old)), True)
 
     def start(self, stream: DataFrame, seconds: int | None = None) -> StreamingQuery:
         """Runs until all present files are taken in, or every ``seconds``."""
@@ -41,4 +60,4 @@ class Watcher:
         return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
     def state(self) -> DataFrame:
-        return self.spark.read.parquet(self.current)
+        return self.spark.read.parquet(self._at(self.versions()[-1]))
