@@ -97,6 +97,17 @@ def op_s01_models(t: Tables) -> DataFrame:
     return manifest.models(part_manifest(t)).select("unique_id", "relation", "ephemeral", "enabled", "description")
 
 
+@query(MODELS + " SELECT unique_id FROM m WHERE NOT ephemeral")
+def op_s02_materialized_models(t: Tables) -> DataFrame:
+    return manifest.models(part_manifest(t)).where("NOT ephemeral").select("unique_id")
+
+
+@query(MODELS + " SELECT unique_id, relation FROM m UNION ALL SELECT 'source.s' || s_suppkey, 'raw.s.' || s_suppkey FROM {supplier}")
+def op_s04_relation_names(t: Tables) -> DataFrame:
+    m = part_manifest(t)
+    return manifest.models(m).select("unique_id", "relation").union(manifest.sources(m))
+
+
 @query("SELECT 'source.s' || s_suppkey AS unique_id, 'raw.s.' || s_suppkey AS relation FROM {supplier}")
 def op_s03_manifest_sources(t: Tables) -> DataFrame:
     return manifest.sources(part_manifest(t))
@@ -107,6 +118,11 @@ def op_s05_manifest_lineage(t: Tables) -> DataFrame:
     return manifest.lineage(part_manifest(t))
 
 
+@query("WITH a AS (" + ARCS + ") SELECT src, string_agg(dst, ',' ORDER BY dst) AS dsts FROM a GROUP BY src")
+def op_s07_child_map(t: Tables) -> DataFrame:
+    return manifest.lineage(part_manifest(t)).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("dsts"))  # of one relation
+
+
 @query(MODELS + ", a AS (" + ARCS + """), u AS (SELECT relation, enabled, description FROM m WHERE NOT ephemeral UNION ALL SELECT 'raw.s.' || s_suppkey, NULL, NULL FROM {supplier}),
   c AS (SELECT src, string_agg('snowflake://acct.snowflakecomputing.com/' || replace(replace(upper(dst), '.', '/'), '#', '%23'), ',' ORDER BY 'snowflake://acct.snowflakecomputing.com/' || replace(replace(upper(dst), '.', '/'), '#', '%23')) AS derived_to FROM a GROUP BY src)
   SELECT 'snowflake://acct.snowflakecomputing.com/' || replace(replace(upper(relation), '.', '/'), '#', '%23') AS cual, enabled, description, coalesce(derived_to, '') AS derived_to FROM u LEFT JOIN c ON c.src = u.relation""")
@@ -130,6 +146,27 @@ def op_s09_warehouse_answers(t: Tables) -> DataFrame:
     return exports.warehouse_rows(t.spark, answers(rows, batch("c_custkey"), ("KEY", "Name", "SEGMENT")), ["key", "name", "segment"])
 
 
+@query("""SELECT 'users' AS list, c_name AS name, c_mktsegment || '|' || (c_acctbal < 0)::VARCHAR AS detail FROM {customer} UNION ALL SELECT 'roles', n_name, '' FROM {nation} UNION ALL SELECT 'databases', n_name, 'o' FROM {nation}
+  UNION ALL SELECT 'warehouses', r_name, '' FROM {region} UNION ALL SELECT 'schemas', n_name, 'r' || n_regionkey FROM {nation} UNION ALL SELECT 'objects', p_name, p_type || '|' || p_brand || '|TABLE' FROM {part}""")
+def op_s10_metadata_lists(t: Tables) -> DataFrame:
+    none, key = F.lit("").alias("none"), lambda n: F.lit("0") if n is None else batch(n)
+    made = {
+        "users": (t.customer.select("c_name", none, none, none, none, "c_mktsegment", (F.col("c_acctbal") < 0).cast("string"), "c_custkey"), "c_custkey", ("display_name", "disabled")),
+        "roles": (t.nation.select("n_name"), None, ()), "databases": (t.nation.select("n_name", F.lit("o")), None, ("origin",)), "warehouses": (t.region.select("r_name"), None, ()),
+        "schemas": (t.nation.select("n_name", F.concat(F.lit("r"), "n_regionkey")), None, ("database_name",)),
+        "objects": (t.part.select("p_name", "p_type", "p_brand", F.lit("TABLE"), "p_partkey"), "p_partkey", ("database_name", "schema_name", "kind")),
+    }
+
+    def one(kind: str) -> DataFrame:
+        rows, doc, detail = made[kind]
+        rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+        place = key(None if doc is None else rows.columns[-1])
+        got = exports.listed(t.spark, answers(rows, place, (*exports.LISTS[kind], *(["id"] if doc else []))), kind)
+        return got.select(F.lit(kind).alias("list"), "name", F.concat_ws("|", *[F.col(c).cast("string") for c in detail]).alias("detail"))
+
+    return build.union_all(*[one(k) for k in made])
+
+
 GRANTS = """WITH g AS (SELECT p_name AS name, 'DB' AS table_catalog, p_type AS table_schema, CASE WHEN p_size > 20 THEN 'SELECT' ELSE 'REFERENCE USAGE' END AS privilege,
   CASE WHEN p_brand LIKE '%1' THEN 'SCHEMA' WHEN p_brand LIKE '%2' THEN 'DATABASE' WHEN p_brand LIKE '%3' THEN 'STAGE' WHEN p_brand LIKE '%4' THEN 'VIEW' ELSE 'TABLE' END AS granted_on,
   p_brand AS grantee_name, CASE WHEN p_retailprice > 1000 THEN '2020-01-01' END AS deleted_on, p_partkey FROM {part})"""
@@ -237,7 +274,7 @@ def op_m15_bi_assets(t: Tables) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + BI_ASSETS.removeprefix("WITH ") + " SELECT cual, kind, id FROM c WHERE kind IN ('workbook', 'flow')")
-def op_j27_cual_index(t: Tables) -> DataFrame:
+def op_j26_cual_index(t: Tables) -> DataFrame:
     every = bi.assets(entities(t), "site")
     return exports.cual_index(*[(k, every.where(F.col("kind") == k)) for k in ("workbook", "flow")])
 
@@ -326,6 +363,28 @@ def op_j10_bi_lineage(t: Tables) -> DataFrame:
     return exports.lineage(assets, bi_tables(t)).select("id", joined("derived_from"))
 
 
+@query("""WITH c AS (SELECT 't' || p_partkey AS table_id, 'snowflake://' || CASE WHEN n_regionkey = 0 THEN 'NO_HOSTNAME' ELSE 'h' || n_regionkey END || '/' || CASE WHEN p_partkey % 2 = 0 THEN n_name || '/' || p_type || '/' || p_name ELSE 'DB/' || upper(p_type) || '/' || p_name END AS cual FROM {part} JOIN {nation} ON p_size = n_nationkey WHERE p_retailprice < 1500)
+  SELECT 'd' || l_suppkey AS id, string_agg(DISTINCT cual, ',' ORDER BY cual) AS derived_from FROM {lineitem} JOIN c ON c.table_id = 't' || l_partkey GROUP BY l_suppkey""")
+def op_s18_lineage_answers(t: Tables) -> DataFrame:
+    part, nation, n = F.concat(F.lit("t"), "p_partkey"), t.nation, F.col("n_nationkey")
+    # names come in brackets without their database, or in full with the last part quoted; some have a single part and are left out
+    brackets = F.concat(F.lit("["), "p_type", F.lit("].["), "p_name", F.lit("]"))
+    full = F.concat(F.lit("db."), "p_type", F.lit('."'), "p_name", F.lit('"'))
+    name = F.when(F.col("p_retailprice") >= 1500, "alone").when(F.col("p_partkey") % 2 == 0, brackets).otherwise(full)
+    table = F.struct(part.alias("id"), name.alias("fullName"), within(F.col("p_size").cast("string")).alias("database"))
+    host = F.when(F.col("n_regionkey") == 0, "").otherwise(F.concat(F.lit("h"), "n_regionkey", F.lit("/")))
+    feeds = t.lineitem.select("l_suppkey", within(F.concat(F.lit("t"), "l_partkey")).alias("x")).distinct().groupBy("l_suppkey").agg(F.collect_list("x").alias("xs"))  # a supplier's parts
+    asset = F.struct(F.concat(F.lit("d"), "l_suppkey").alias("luid"), F.lit("datasource").alias("kind"), F.col("xs").alias("upstreamTables"))
+    wrap = lambda field: lambda items: F.struct(F.struct(items.alias(field)).alias("data"))
+    docs = document(t.part, F.concat(F.lit("t"), batch("p_partkey")), table, wrap("databaseTables"))
+    docs = docs.union(document(nation, F.lit("d"), F.struct(n.cast("string").alias("id"), F.col("n_name").alias("name")), wrap("databases")))
+    docs = docs.union(document(nation, F.lit("s"), F.struct(n.cast("string").alias("id"), host.alias("hostName"), F.lit("snowflake").alias("connectionType")), wrap("databaseServers")))
+    docs = docs.union(document(feeds, F.concat(F.lit("a"), batch("l_suppkey", 20)), asset, wrap("assets")))
+    got = bi.lineage_answers(t.spark, landed(docs))
+    upstream = got["uses"].where("direction = 'up'").groupBy("id").agg(F.collect_list("table_id").alias("upstream"))
+    return exports.lineage(upstream, bi.table_cuals(got)).select("id", joined("derived_from"))
+
+
 # Configuration files
 
 
@@ -550,16 +609,37 @@ def op_j25_local_names(t: Tables) -> DataFrame:
     return build.to_local(t.customer.select(F.lit("crm").alias("connector"), F.col("c_name").alias("user_name")), known).select("connector", "user_name", "local")
 
 
+def group_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups with parents, their names by connector, and the connectors that write groups (groups nest at the warehouse alone)."""
+    mark = lambda m, c: F.concat(F.lit(m), F.col(c))
+    groups = t.nation.select(F.col("n_name").alias("group"), mark("R", "n_regionkey").alias("parent")).union(t.region.select(mark("R", "r_regionkey"), F.lit(None).cast("string")))
+    writers = capabilities.group_writers(t.spark)
+    named = policy.group_names(groups.select("group"), writers, t.spark.createDataFrame([], "group string, connector string, local string"))
+    return groups, named, writers
+
+
+@query("SELECT 'snowflake' AS connector, n_name AS name, 'R' || n_regionkey AS member_of FROM {nation} UNION ALL SELECT 'tableau', n_name, '' FROM {nation} UNION ALL SELECT c, 'R' || r_regionkey, '' FROM {region}, (SELECT 'snowflake' AS c UNION ALL SELECT 'tableau') x")
+def op_j27_desired_groups(t: Tables) -> DataFrame:
+    return state.desired_groups(*group_tables(t)).select("connector", "name", joined("member_of"))
+
+
+@query("SELECT c_name AS user_name, 'snowflake' AS connector, n_name AS groups FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey UNION ALL SELECT c_name, 'tableau', n_name || ',R' || n_regionkey FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey")
+def op_j27_desired_memberships(t: Tables) -> DataFrame:
+    users = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("user_name"), F.col("n_name").alias("group"))
+    return state.desired_memberships(users, *group_tables(t)).select("user_name", "connector", joined("groups"))
+
+
 @query(BI_PERMISSIONS + " SELECT asset_id AS root, '/**' AS path, agent, privileges FROM p WHERE agent_type = 'group'")
-def op_j26_default_permissions(t: Tables) -> DataFrame:
+def op_s16_default_rows(t: Tables) -> DataFrame:
     found = exports.permissions(permission_answers(t), *agents(t)).where("agent_type = 'group'").withColumn("target_type", F.lit("flow"))
     return exports.default_policies(found).select("root", "path", "agent", joined("privileges"))
 
 
-@query("WITH RECURSIVE w(node, top, chain) AS (SELECT dst, src, [src] FROM {shallow} UNION ALL SELECT w.node, e.src, list_append(w.chain, e.src) FROM w JOIN {shallow} e ON e.dst = w.top), l AS (SELECT node, arg_max(chain, len(chain)) AS chain FROM w GROUP BY node) SELECT node, len(chain)::INTEGER AS depth FROM l UNION ALL SELECT 'root', 0")
-def op_r06_sorted_depths(t: Tables) -> DataFrame:
-    parents = t.shallow.select(F.col("dst").alias("child"), F.col("src").alias("parent"))
-    return traverse.ancestor_chain(parents).select("node", F.size("chain").alias("depth")).orderBy("depth", "node")
+@query("SELECT DISTINCT 'user' AS kind, c_name AS name FROM {customer} UNION ALL SELECT DISTINCT 'group', c_mktsegment FROM {customer} UNION ALL SELECT DISTINCT 'privilege', p_type FROM {part}")
+def op_r06_schema_names(t: Tables) -> DataFrame:
+    one = export.editor_schema(t.customer.select(F.col("c_name").alias("user")), t.customer.select(F.col("c_mktsegment").alias("group")), t.part.select(F.col("p_type").alias("privilege")))
+    kinds = F.from_json("schema", "user array<string>, `group` array<string>, privilege array<string>").alias("k")
+    return build.union_all(*[one.select(kinds).select(F.lit(k).alias("kind"), F.explode(f"k.{k}").alias("name")) for k in ("user", "group", "privilege")])
 
 
 @query(POLICIES + " SELECT asset, agent, change FROM d")
@@ -595,6 +675,13 @@ def op_f05_cual_builders(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", cual.relation(F.lit("acct"), dotted).alias("relation"), cual.bi(F.lit("site"), F.array("p_type", "p_name"), F.lit("view")).alias("view"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_size > 20 ELSE p_size <= 40 END AS legal FROM {part}")
+def op_f10_legal_paths(t: Tables) -> DataFrame:
+    size, few = F.col("p_size"), F.col("p_type") == "ECONOMY"
+    path = F.when(few & (size > 20), "/*/**").when(few, "**/*").when(size <= 40, "*/*/*").otherwise("/*/x")
+    return t.part.select("p_partkey", paths.legal_wildcard(path).alias("legal"))
+
+
 @query("SELECT p_partkey, p_type || '>' || p_brand AS shown, 'DB,DB.' || p_type || ',DB.' || p_type || '.x' AS prefixes FROM {part}")
 def op_f10_paths_shown(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", paths.shown(F.array("p_type", "p_brand"), ">").alias("shown"), F.array_join(paths.prefixes(F.concat(F.lit("DB."), "p_type", F.lit(".x"))), ",").alias("prefixes"))

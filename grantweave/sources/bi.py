@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..capabilities import PRIVILEGES
 from ..functions.cual import bi
+from ..functions.names import table_parts
 from ..operators.traverse import ancestor_chain
 from . import exports
 
@@ -65,6 +66,39 @@ def assets(tables: dict[str, DataFrame], server: str) -> DataFrame:
     return x.select("cual", "id", "name", "kind", "child_of", F.when(F.col("kind") == "view", F.col("child_of")).alias("derived_from"))
 
 
+#: What the metadata service answers to the lineage questions.
+LINEAGE = """data struct<databaseTables:array<struct<id:string, fullName:string, database:struct<id:string>>>, databases:array<struct<id:string, name:string>>,
+  databaseServers:array<struct<id:string, hostName:string, connectionType:string>>, customSQLTables:array<struct<id:string, isUnsupportedCustomSql:boolean>>,
+  assets:array<struct<luid:string, kind:string, upstreamTables:array<struct<id:string>>, downstreamTables:array<struct<id:string>>>>>"""
+
+
+def lineage_answers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Saved answers of the metadata service: tables (table_id, full_name, database_id), databases (id, name), servers (id, host,
+    connection), unsupported (table_id) of custom SQL that can't be followed, and uses (id, kind, direction, table_id)."""
+    d = spark.read.schema(LINEAGE).json(path, multiLine=True).select("data.*")
+    rows = lambda c: d.select(F.explode(c).alias("x")).select("x.*")
+    assets = rows("assets")
+    uses = lambda c, way: assets.select(F.col("luid").alias("id"), "kind", F.lit(way).alias("direction"), F.explode(c).alias("t")).select("id", "kind", "direction", F.col("t.id").alias("table_id"))
+    return {
+        "tables": rows("databaseTables").select(F.col("id").alias("table_id"), F.col("fullName").alias("full_name"), F.col("database.id").alias("database_id")),
+        "databases": rows("databases"),
+        "servers": rows("databaseServers").select("id", F.col("hostName").alias("host"), F.col("connectionType").alias("connection")),
+        "unsupported": rows("customSQLTables").where("isUnsupportedCustomSql").select(F.col("id").alias("table_id")),
+        "uses": uses("upstreamTables", "up").union(uses("downstreamTables", "down")),
+    }
+
+
+def table_cuals(answers: dict[str, DataFrame]) -> DataFrame:
+    """(table_id, cual) of warehouse tables; a full name without its database gets the one the table belongs to, and tables without
+    database, server, or a name of two or three parts are left out."""
+    databases = answers["databases"].select(F.col("id").alias("database_id"), F.col("name").alias("database"))
+    servers = answers["servers"].where("connection = 'snowflake'").select(F.col("id").alias("database_id"), "host")
+    x = answers["tables"].join(databases, "database_id").join(servers, "database_id").withColumn("parts", table_parts(F.col("full_name")))
+    x = x.where(F.size("parts").isin(2, 3)).withColumn("parts", F.when(F.size("parts") == 2, F.concat(F.array("database"), "parts")).otherwise(F.col("parts")))
+    host = F.when(F.col("host") == "", "NO_HOSTNAME").otherwise(F.rtrim("host", F.lit("/")))
+    return x.select("table_id", F.concat(F.lit("snowflake://"), host, F.lit("/"), F.array_join("parts", "/")).alias("cual"))
+
+
 def only_of_views(privileges: str) -> Column:
     """Of a workbook's privileges those that views know, too."""
     known = F.array(*[F.lit(mode + p) for p in PRIVILEGES["tableau", "view"] for mode in ("Allow", "Deny")])

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import to_boolean
+
 ENVELOPE = "resultSetMetaData struct<rowType:array<struct<name:string>>>, data array<array<string>>, partitionInfo array<struct<rowCount:bigint>>, statementHandle string"
 
 
@@ -17,6 +19,23 @@ def warehouse_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return rows.select(*[F.coalesce(F.element_at(cell, c.lower()), F.lit("")).alias(c) for c in columns])
 
 
+#: Columns of the warehouse's lists.
+LISTS = {
+    "users": ("name", "first_name", "last_name", "email", "login_name", "display_name", "disabled"),
+    "roles": ("name",),
+    "databases": ("name", "origin"),
+    "warehouses": ("name",),
+    "schemas": ("name", "database_name"),
+    "objects": ("name", "database_name", "schema_name", "kind"),
+}
+
+
+def listed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the warehouse's lists from its saved answers; a user's ``disabled`` becomes a boolean."""
+    rows = warehouse_rows(spark, path, list(LISTS[kind]))
+    return rows.withColumn("disabled", to_boolean(F.col("disabled"))) if kind == "users" else rows
+
+
 def pages(spark: SparkSession, path: str, array: str, schema: str) -> DataFrame:
     """Entries of a paged answer: a file per page, ``array`` the dotted place of the list, last page's entry per id standing."""
     raw = spark.read.text(path, wholetext=True)
