@@ -77,8 +77,8 @@ def same(a: Column, b: Column) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int | None = None, tolerance: float = TOLERANCE, fraction: float = FRACTION) -> DataFrame:
     """The cells with ``weight`` (their expected share of the sample), ``p``, and the targets of their marginals.
 
-    ``z`` is what a cell would give if it had enough; min(z, mass) is what it gives. Two rounds are one small job, stored so that plans
-    stay short. ``rounds`` limits them; by default the deviation decides alone.
+    ``z`` is what a cell would give if it had enough; min(z, mass) is what it gives. Each marginal is one small job whose result is stored,
+    so plans stay short. ``rounds`` limits them; by default the deviation decides alone.
     """
     cells = materialize(cells)
     budget = fraction * (cells.agg(F.sum("mass")).first()[0] or 0.0)
@@ -87,24 +87,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
         goal = (targets or {}).get(d) or tempered(cells, d, fraction=fraction)
         goal = goal.select(F.col("key").alias("g"), (F.col("share") * budget).alias(f"goal_{d}"))
         fitted = fitted.join(goal, same(F.col(d), F.col("g")), "left").drop("g").fillna({f"goal_{d}": 0.0})
-    fitted = materialize(fitted)
-    gives = F.least("z", "mass")
+    fitted = materialize(fitted.withColumn("off", F.lit(0.0)))
+    gives, short = F.least("z", "mass"), F.col("z") < F.col("mass")
     seen, worst = [], float("inf")
-    while budget and (rounds is None or 2 * len(seen) < rounds):
-        fitted = fitted.withColumn("off", F.lit(0.0))
-        for d in DIMENSIONS * 2:
-            t = F.col(f"goal_{d}")
+    while budget and (rounds is None or len(seen) < rounds):
+        for d in DIMENSIONS:
+            t = F.col("t")
             now = fitted.groupBy(F.col(d).alias("k")).agg(
-                F.max(t).alias("t"), F.sum(gives).alias("given"), F.sum(F.when(F.col("z") >= F.col("mass"), F.col("mass")).otherwise(0.0)).alias("whole"), F.sum(F.when(F.col("z") < F.col("mass"), F.col("z")).otherwise(0.0)).alias("free")
+                F.max(f"goal_{d}").alias("t"), F.sum(gives).alias("given"), F.sum(F.when(short, 0.0).otherwise(F.col("mass"))).alias("whole"), F.sum(F.when(short, F.col("z")).otherwise(0.0)).alias("free")
             )
             # cells that give all they have can't give more: the others make up for it
-            more = F.when((F.col("free") > 0) & (F.col("t") > F.col("whole")), (F.col("t") - F.col("whole")) / F.col("free"))
+            more = F.when((F.col("free") > 0) & (t > F.col("whole")), (t - F.col("whole")) / F.col("free"))
             factor = now.select("k", F.coalesce(more, F.try_divide("t", "given"), F.lit(0.0)).alias("f"), F.abs(F.coalesce(F.try_divide("given", "t"), F.lit(1.0)) - 1).alias("o"))
-            fitted = fitted.join(factor, same(F.col(d), F.col("k"))).withColumns({"z": F.col("z") * F.col("f"), "off": F.greatest("off", "o")}).drop("k", "f", "o")
-        fitted = materialize(fitted)
+            before = F.lit(0.0) if d == DIMENSIONS[0] else F.col("off")
+            fitted = materialize(fitted.join(factor, same(F.col(d), F.col("k"))).withColumns({"z": F.col("z") * F.col("f"), "off": F.greatest(before, "o")}).drop("k", "f", "o"))
         worst = fitted.agg(F.max("off")).first()[0] or 0.0
         seen.append(worst)
-        if worst <= tolerance or len(seen) > 3 and worst > STALL * seen[-4]:
+        if worst <= tolerance or len(seen) > 5 and worst > STALL * seen[-6]:
             break
     if budget and worst > tolerance:
         warnings.warn(f"marginals are met within {worst:.2%} only", stacklevel=2)
