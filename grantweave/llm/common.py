@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,29 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A collected table that is broadcast may hold this many bytes at most; larger ones go in blocks.
-BROADCAST_LIMIT = 8 << 20
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder path on the storage that the whole cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="grantweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/grantweave-{uuid.uuid4().hex}"
+from ..storage import shared_path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark)
+    path = shared_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers receive at most ``rows`` texts at a time, so long texts don't fill their memory."""
+    """From now on the session's Python workers receive at most ``rows`` texts at a time, so long texts don't fill their memory. Plans
+    run later than they are made, so the setting stays; a smaller one is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)

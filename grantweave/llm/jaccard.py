@@ -211,7 +211,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     _, roots = labelled(docs, text_key(), threshold)
     d = F.col("row.doc_id")
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *text_key())
-    keyed = keyed.withColumns({"a": d.isNull(), "b": F.coalesce(d.cast("long"), F.lit(0).cast("long")), "c": F.xxhash64("row")})
+    plain = "map<" not in keyed.schema["row"].dataType.simpleString()  # maps have no hash of their own
+    keyed = keyed.withColumns({"a": d.isNull(), "b": F.coalesce(d.cast("long"), F.lit(0).cast("long")), "c": F.xxhash64("row" if plain else F.to_json("row"))})
     # which row stays is settled on keys alone; whole rows then shuffle once, on keys that only repeated rows share
     key = ["a", "b", "c", *NODE]
     x = keyed.select(*key).join(roots, NODE, "left").select(F.struct(*key).alias("o"), F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2"))

@@ -120,6 +120,35 @@ def test_decontamination_finds_exactly_what_the_budget_allows():
         assert found.get(i) == (d if d <= most else None)
 
 
+def fewest_edits(item, text):
+    """Sellers' table, a row at a time."""
+    t, steps = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, int)
+    for c in item:
+        new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (t != c), row[1:] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+@pytest.mark.parametrize("size", [8, 9, 12, 13, 14, 15, 16, 24, 25, 26, 40, 100, 199, 200, 201, 224, 225, 300, 399, 400, 401, 600, 1000, 2500, 5000])
+def test_items_of_every_length_are_judged_by_one_rule(size):
+    rng = random.Random(size)
+    prose = lambda n: bytes(rng.choice(b"abcdefghijkl ") for _ in range(n))
+    item = prose(size)
+    index, passages = decontam.Index([(7, item)]), decontam.passages_of(item)
+    assert all(len(w) == min(size, decontam.PASSAGE) for _, w in passages) and passages[-1][0] + len(passages[-1][1]) == size
+    for trial in range(8):
+        begin = rng.randrange(max(1, size - 450)) if trial % 2 else 0
+        piece = item[begin : begin + (450 if trial % 3 else 150)] or item
+        text = prose(80) + edited(piece, rng.randrange(int(0.1 * len(piece)) + 1), rng) + prose(80)
+        # the least over all passages that are within their budget
+        best = min((d for _, w in passages if (d := fewest_edits(w, text)) <= int(decontam.RATE * len(w))), default=None)
+        found = index.search(text)
+        assert ([x[1] for x in found] or [None]) == [best]
+        for item_id, edits, start, end, a, z in found:
+            assert item_id == 7 and fewest_edits(item[a:z], text[start:end]) == edits
+
+
 def test_any_passage_of_a_long_item_is_found():
     rng = random.Random(8)
     item = "".join(rng.choice("abcdefgh ") for _ in range(1000))
@@ -179,6 +208,34 @@ def test_shards_report_repeated_windows(rows, data):
         assert spread == f == [any(x <= i < x + n for x, n in b) for i in range(len(f))]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=300), st.integers(1, 4))
+def test_induced_sorting_recurses(s, times):
+    x = np.array(s * times)
+    expected = suffixes.by_rank_doubling(x).tolist()
+    assert suffixes.suffix_array(x).tolist() == expected
+    wide, suffixes.NARROW = suffixes.NARROW, 0  # every level as the strings of names are sorted
+    try:
+        assert suffixes.suffix_array(x).tolist() == expected
+    finally:
+        suffixes.NARROW = wide
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=20), min_size=1, max_size=6))
+def test_matching_statistics(passages):
+    s = np.array([x for p in passages for x in [*(w + 2 for w in p), 1]] + [0])
+    begin = np.cumsum([0, *(len(p) + 1 for p in passages)])[:-1]
+    order = suffixes.by_rank_doubling(s)
+    weight = np.arange(len(s) + 1)
+    found = fm_dedup.matching_statistics(fm_dedup.FMIndex(s, order), fm_dedup.Prefixes(s, order), weight, s, begin, np.array([len(p) for p in passages]))
+    seen = Counter(tuple(p[i:j]) for p in passages for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+    for b, p in zip(begin.tolist(), passages):
+        for i in range(len(p)):
+            longest = max((j - i for j in range(i + 1, len(p) + 1) if seen[tuple(p[i:j])] > 1), default=0)
+            assert found[b + i] == longest
+
+
 def test_fm_index_ranks():
     s = np.array([2, 3, 2, 4, 2, 3, 1, 0])
     index = fm_dedup.FMIndex(s)
@@ -219,6 +276,12 @@ def test_language_model_on_held_out_text():
     assert right >= 98 and names[-1] == lang_id.UND
 
 
+def test_context_decides_what_a_hexadecimal_run_is():
+    run = "24be64439e3e49cf46b2d7c90f3602a3"
+    assert [k for k, *_ in pii.spans_of(f'token = "{run}"')] == ["secret"]
+    assert not [k for k, *_ in pii.spans_of(f"the digest of that file is {run} and stays here") if k == "secret"]
+
+
 def test_topic_vectors():
     assert topics.vector_of("") is None and topics.vector_of("a b") is None
     a, b = (np.frombuffer(topics.vector_of(t), np.int16) for t in ("Topic topic other words here", "WORDS topic other"))

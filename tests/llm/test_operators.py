@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from grantweave.llm import decontam, fm_dedup, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree
+from grantweave.llm import decontam, fm_dedup, jaccard, lang_id, mixing, mtree, pii, repeats, suffix_dedup, tokens, url_tree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, row string, hits int, n_bytes string, host string"
 WORDS = {"en": "the of and heed onder erble inea thand shore whist".split(), "fr": "le eaux être ouvi queai ément çon aileau ouré".split()}
@@ -70,6 +70,25 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize(("split", "filtered"), [(1, 1 << 24), (4096, 0)])
+def test_dedup_by_cut_up_cores_and_by_joined_anchors(docs, split, filtered, monkeypatch):
+    expected = got(suffix_dedup.dedup(docs)), got(fm_dedup.dedup(docs))
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    monkeypatch.setattr(repeats, "FILTERED", filtered)
+    assert (got(suffix_dedup.dedup(docs)), got(fm_dedup.dedup(docs))) == expected
+
+
+def test_a_line_that_many_texts_share_is_cut_by_its_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SPLIT", 4)
+    rng = random.Random(9)
+    line = prose(rng, "en", 26)
+    data = [(i, f"{prose(rng, 'fr', 20)} {line} {prose(rng, 'fr', 20)}") for i in range(60)] + [(i, data) for i in (100, 101) for data in [f"one two three {line} four five six seven eight nine ten"]]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for op, window, units in ((suffix_dedup, 200, lambda t: t.encode()), (fm_dedup, 35, lambda t: tuple(t.split()))):
+        known = covered([units(t) for _, t in data], window)
+        assert {r.doc_id: r.n_removed for r in op.dedup(df).collect()} == {i: sum(f) for (i, _), f in zip(data, known)}
+
+
 def test_substring_dedup(docs, none):
     data = [(r[0], tuple((r[1] or "").encode().split())) for r in rows()]
     expected = Counter()
@@ -116,6 +135,17 @@ def test_one_document_of_each_class_stays(docs, none):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter(c for c in classes if isinstance(c, int))
     assert kept.count() == len(classes)
     assert jaccard.keep_one(none).count() == 0
+    assert jaccard.keep_one(docs.withColumn("extra", F.create_map(F.lit("a"), "lang"))).count() == len(classes)
+
+
+def test_benchmark_in_rounds(spark, docs, monkeypatch):
+    texts = {r[0]: r[1] for r in rows()}
+    benchmark = spark.createDataFrame([(i, texts[k]) for i, k in enumerate((2, 4, 60, 70))], "item_id long, text string")
+    whole, kept = got(decontam.contaminated(docs, benchmark)), got(decontam.clean(docs.withColumn("hits_", F.lit(1)), benchmark).select("doc_id", "text"))
+    monkeypatch.setattr(decontam, "BLOCK", 1)
+    assert got(decontam.contaminated(docs, benchmark)) == whole and len(whole) > 4
+    clean = decontam.clean(docs.withColumn("hits_", F.lit(1)), benchmark)
+    assert clean.columns == [*docs.columns, "hits_"] and got(clean.select("doc_id", "text")) == kept
 
 
 def test_decontamination(spark, docs, none):
@@ -141,6 +171,85 @@ def test_language(docs, none):
     assert lang_id.documents(none).count() == 0
 
 
+def fused(evidence, names):
+    """The fusion with dictionaries: evidence is (log-likelihoods or None, declared, host, domain, suffix) by row."""
+    import math
+
+    L, clear = range(len(names)), []
+    for ll, *keys in evidence:
+        if ll is not None:
+            w = [math.exp(x - max(ll)) for x in ll]
+            if max(w) / sum(w) >= lang_id.CLEAR:
+                clear.append((w.index(max(w)), *keys))
+    count = lambda at, key: [float(sum(r[0] == i for r in clear if key is None or r[at] == key)) for i in L]
+    every = count(0, None)
+    p_all = [(c + 1) / (sum(every) + len(names)) for c in every]
+    smooth = lambda c, prior: [(x + lang_id.KAPPA * p) / (sum(c) + lang_id.KAPPA) for x, p in zip(c, prior)]
+
+    def given(at, key):
+        kinds = {r[at] for r in clear if r[at] is not None}
+        if key not in kinds:
+            return [0.0] * len(names)
+        total = [sum(count(at, k)[i] for k in kinds) for i in L]
+        return [math.log((c + 1) / (t + len(kinds) + 1)) for c, t in zip(count(at, key), total)]
+
+    out = []
+    for ll, declared, host, domain, suffix in evidence:
+        if ll is None:
+            out.append((lang_id.UND, 0.0))
+            continue
+        of_domain = smooth(count(3, domain), p_all) if domain and any(r[3] == domain for r in clear) else None
+        prior = smooth(count(2, host), of_domain or p_all) if host and any(r[2] == host for r in clear) else of_domain or p_all
+        parts = [x + math.log(p) + a + b for x, p, a, b in zip(ll, prior, given(1, declared), given(4, suffix))]
+        w = [math.exp(x - max(parts)) for x in parts]
+        out.append((names[w.index(max(w))], max(w) / sum(w)))
+    return out
+
+
+def test_fusion_against_dictionaries(spark, docs):
+    """Every third page mixes both languages: markup, suffix and hosts decide there."""
+    import re
+
+    model = lang_id.fit(docs)
+    rng, pages = random.Random(4), []
+    for i in range(120):
+        lang = ("en", "fr")[i % 2]
+        said = lang if rng.random() < 0.8 else ("fr", "en")[i % 2]
+        host = rng.choice([f"{lang}{i % 3}.site.org", f"a.{lang}.net", "mixed.site.org"])
+        pages.append((i, f"https://{host}/x" if i % 7 else None, f'<html lang="{said}"><body>{prose(rng, lang, 60) if i % 3 else prose(rng, "en", 1) + " " + prose(rng, "fr", 1)}</body></html>' if i % 11 else f"<p>{prose(rng, lang, 2)}</p>"))
+    pages += [(200, None, None), (201, "http://x", "<p>12 34</p>"), (5, *pages[5][1:])]
+    web = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    evidence = []
+    table = model[1].astype("float32")
+    for _, url, html in pages:
+        text = re.sub(lang_id.TAGS.removeprefix("(?is)"), " ", html or "", flags=re.I | re.S)
+        g = lang_id.trigrams(text)
+        ll = (table[g].sum(axis=0, dtype=float) * lang_id.TEMPER).tolist() if len(g) else None
+        said = re.search(r"<html[^>]*\slang=[\"']?([a-z]+)", html or "")
+        host = (url or "").partition("://")[2].split("/")[0] or None
+        evidence.append((ll, said and said[1], host, host and ".".join(host.split(".")[-2:]), host.split(".")[-1] if host and "." in host else None))
+    known = fused(evidence, model[0])
+    found = sorted((r.page_id, r.lang_id, round(r.posterior, 6), r.accepted) for r in lang_id.pages(web, model).collect())
+    assert found == sorted((p[0], k[0], round(k[1], 6), k[0] != lang_id.UND and k[1] >= lang_id.LEAST) for p, k in zip(pages, known))
+    alone = [None if e[0] is None else model[0][e[0].index(max(e[0]))] for e in evidence]
+    assert sum(a is not None and a != k[0] for a, k in zip(alone, known)) > 0  # the other evidence changes something
+
+
+def test_held_out_accuracy(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    half = F.col("doc_id") % 2 == 0
+    model = lang_id.fit(table.where(half))
+    found = lang_id.documents(table.where(~half), model).join(table.select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars > 20").collect()
+    assert len(found) > 80 and sum(r.lang_id == r.lang for r in found) / len(found) > 0.97
+
+
+def test_corpus_judges_documents_and_pages(docs, spark):
+    web = spark.createDataFrame([(7, "http://a.b/c", "<html lang=fr><p>le eaux être</p></html>")], "page_id long, url string, html string")
+    found = lang_id.corpus(docs, web).collect()
+    assert len(found) == docs.count() + 1 and [r.page_id for r in found if r.page_id is not None] == [7]
+    assert all(r.declared is None for r in found if r.page_id is None)
+
+
 def test_rare_languages_have_a_class(spark):
     rng = random.Random(3)
     data = [(i, prose(rng, ("en", "fr")[i % 2], 8), ("en", "fr")[i % 2], "src") for i in range(9998)]
@@ -171,6 +280,7 @@ def test_personal_data(spark, none):
     assert (found[None].n_phone, found[None].n_ip) == (1, 1)
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[None] == "<PHONE> é 10.0.0.256 <IP>"
     assert pii.digest(none).count() == 0
+    assert pii.digest(df).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 def test_tokens(docs, none):
@@ -207,6 +317,19 @@ def test_url_templates_learn_from_rules(spark):
     assert {r.template for r in found if r.host == "shop.org"} == {"/*/list"}
 
 
+def test_url_filter_sql_on_deep_and_repeated_urls(spark):
+    import duckdb
+    import pandas as pd
+
+    slug = lambda i, c: c + chr(97 + i % 26) + chr(97 + i // 26)
+    urls = [f"http://example.com/de/b/c/d/e/{slug(i, 'x')}/view/{i % 3}" for i in range(60)] + [f"http://other.org/de/b/c/d/e/{slug(i, 'y')}/view/{i % 3}" for i in range(60)]
+    urls = urls + urls[:10] + [f"http://q.org/fr/{i}" for i in range(100)] + [f"http://flat.org/{slug(i, 'z')}" for i in range(40)] + [None, "", "http://a.net"]
+    rows = list(enumerate(urls)) + [(3, urls[3]), (None, urls[4])]
+    known = pd.DataFrame(rows, columns=["page_id", "url"]).astype({"page_id": "Int64"})  # noqa: F841
+    expected = Counter(duckdb.sql(url_tree.sql("known")).fetchall())
+    assert got(url_tree.judge(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", "host", "path", "rule", "verdict")) == expected
+
+
 def test_url_templates_of_deep_paths(spark):
     slug = lambda i, c: c + chr(97 + i % 26) + chr(97 + i // 26)
     urls = [f"http://example.com/de/b/c/d/{slug(i, 'x')}/view" for i in range(60)] + [f"http://other.org/de/b/c/d/{slug(i, 'y')}/view" for i in range(60)]
@@ -236,6 +359,57 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
 
 
+def test_mixing_meets_its_targets_with_production_settings(spark):
+    """A bounded raking is known by its shape: targets are met, nothing exceeds what there is, and where a cell isn't taken whole the logarithm
+    of its probability is a sum of one term for each marginal."""
+    import numpy as np
+
+    rng = random.Random(6)
+    cells = [(f"s{i}", lang, topic, float(rng.choice([0, 5, 300, 4000, 90000]) + rng.random()), 1) for i in range(12) for lang in ("en", "fr", None) for topic in range(-1, 5) if rng.random() < 0.7]
+    table = spark.createDataFrame(cells, "source string, lang string, topic int, mass double, docs long")
+    found = mixing.rake(table).collect()
+    total, sums = sum(c[3] for c in cells), {d: Counter() for d in mixing.DIMENSIONS}
+    for r in found:
+        assert 0 <= r.p <= 1
+        for d in mixing.DIMENSIONS:
+            sums[d][r[d]] += r.p * r.mass
+    for d in mixing.DIMENSIONS:
+        target = {r.key: r.share for r in mixing.tempered(table, d).collect()}
+        assert abs(sum(target.values()) - 1) < 1e-9
+        assert all(abs(sums[d][k] / (mixing.FRACTION * total * v) - 1) < 2 * mixing.TOLERANCE for k, v in target.items())
+    part = [r for r in found if r.p < 1 - 1e-9]
+    columns = sorted({(d, str(r[d])) for r in found for d in mixing.DIMENSIONS})
+    a = np.array([[float(str(r[d]) == k) for d, k in columns] for r in part])
+    b = np.log([r.p for r in part])
+    assert len(part) < len(found) and np.abs(a @ np.linalg.lstsq(a, b, rcond=None)[0] - b).max() < 1e-6
+    report = mixing.marginals(mixing.rake(table)).collect()
+    assert len(report) == sum(map(len, sums.values())) and all(abs(r.target - r.reached) < 3e-3 * r.target for r in report)
+
+
+def test_unreachable_targets_are_reported(spark):
+    table = spark.createDataFrame([("a", "en", 0, 10.0, 1), ("b", "fr", 0, 90.0, 1)], "source string, lang string, topic int, mass double, docs long")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "key string, share double")
+    with pytest.warns(UserWarning, match="marginals"):
+        found = {r.source: r.p for r in mixing.rake(table, {"source": share(a=0.9, b=0.1), "lang": share(en=0.1, fr=0.9)}).collect()}
+    assert set(found) == {"a", "b"} and all(0 <= p <= 1 for p in found.values())
+
+
+def test_topics_are_the_nearest_centres(docs):
+    from grantweave.llm import topics
+    from grantweave.llm.common import materialize
+
+    stored = materialize(mixing.features(docs.select("doc_id", "lang", "text")).drop("text"))
+    mean, centres = topics.fit(stored)
+    for r, known in ((r, topics.vector_of(r.text or "")) for r in topics.with_topics(stored).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()):
+        if known is None:
+            assert r.topic == -1
+        else:
+            import numpy as np
+
+            x = np.frombuffer(known, np.int16).astype(int) - mean.get(r.lang or "", mean[""])
+            assert r.topic == int(((centres - x) ** 2).sum(axis=1).argmin())
+
+
 @pytest.mark.parametrize(("shard", "block"), [(8192, 4096), (40, 4)])
 def test_top_k(spark, shard, block, monkeypatch):
     monkeypatch.setattr(mtree, "SHARD", shard)

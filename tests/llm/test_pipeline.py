@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what the one before kept, against brute force on a small input."""
 
 import corpus_pipeline
-from grantweave.llm import decontam, jaccard, mixing, pii
+from grantweave.llm import decontam, jaccard, lang_id, mixing, pii
 
 from .test_operators import SCHEMA, components, rows
 
@@ -22,6 +22,8 @@ def test_stages(spark, tmp_path):
         d = spark.read.parquet(str(tmp_path / name))
         seen[name] = (before, d.collect())
     before, after = seen["language_id"]
+    judged = {r.doc_id for r in lang_id.documents(docs).where("accepted").collect()}
+    assert {r.doc_id for r in after} == judged
     assert {r.doc_id for r in after} >= set(range(24)) and not {80, 81, 82, 84} & {r.doc_id for r in after}
     before, after = seen["near_duplicates"]
     known = components(before)
@@ -33,6 +35,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in after} == {i: pii.redacted(t) for i, t in before}
     assert all(r.n_chars == len(r.text) for r in after)
     before, after = seen["source_mixing"]
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "personal_data"))).where("selected").collect()
+    assert {(r.doc_id, round(r.sampling_p, 9)) for r in after} == {(r.doc_id, round(r.p, 9)) for r in mixed}
     assert 0 < len(after) < len(before) and {r.doc_id for r in after} <= {i for i, _ in before}
     assert jaccard.SHINGLE == 5 and jaccard.THRESHOLD == 0.8 and mixing.FRACTION == 0.5
 
