@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
@@ -93,64 +94,61 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     return model_of({r.l: np.frombuffer(bytes(r.n), np.int64) for r in rows})
 
 
+SCORE = T.StructType([T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType()), T.StructField("p", T.DoubleType())])
+
+
 def score(df: DataFrame, text: Column, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``df`` with ``ll``, the tempered log-likelihoods in the model's order; null where a text has no trigram."""
+    """``df`` with ``ll``, the tempered log-likelihoods in the model's order, and ``best`` and ``p``, the place and posterior of the
+    language that the text alone makes most probable; null where a text has no trigram."""
     small_batches(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))  # 256 KB a language
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(SCORE)
+    def likelihoods(texts: pd.Series) -> pd.DataFrame:
         table, out = bc.value, []
         for t in texts.fillna(""):
             g = trigrams(t)
             counts = np.bincount(g, minlength=1) if len(g) > BUCKETS else None
-            total = counts @ table[: len(counts)].astype(float) if counts is not None else table[g].sum(axis=0, dtype=float)
-            out.append((total * TEMPER).tolist() if len(g) else None)
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn("ll", likelihoods(text))
+            total = (counts @ table[: len(counts)].astype(float) if counts is not None else table[g].sum(axis=0, dtype=float)) * TEMPER
+            out.append((total.tolist(), int(total.argmax()), float(1 / np.exp(total - total.max()).sum())) if len(g) else (None, None, None))
+        return pd.DataFrame(out, columns=["ll", "best", "p"]).astype({"best": "Int32"})
 
-
-def softmax(parts: list[Column], names: list[str]) -> Column:
-    """The posterior as struct(p, lang), the most probable one; ties go to the first name."""
-    top = F.array_max(F.array(*parts))
-    weights = [F.exp(p - top) for p in parts]
-    total = sum(weights[1:], weights[0])
-    # smaller names win ties: structs compare by p, then by the negated place
-    best = F.array_max(F.array(*[F.struct((w / total).alias("p"), F.lit(-i).alias("i"), F.lit(n).alias("lang")) for i, (w, n) in enumerate(zip(weights, names, strict=True))]))
-    return best
+    return df.withColumn("score", likelihoods(text)).select("*", "score.*").drop("score")
 
 
 def identify(scored: DataFrame, names: list[str]) -> DataFrame:
-    """``scored`` (ll, declared, suffix, host, domain) with lang_id, posterior and accepted. ``scored`` is read several times: it should be stored."""
-    L = range(len(names))
-    ll = [F.col("ll")[i] for i in L]
-    counted = scored.where("ll is not null").withColumn("alone", softmax(ll, names)).where(F.col("alone.p") >= CLEAR)
-    sums = [F.count(F.when(F.col("alone.lang") == n, 1)).cast("double").alias(f"c{i}") for i, n in enumerate(names)]
-    row = lambda cs: F.array(*cs)
-    total = counted.agg(*sums).select(row([(F.col(f"c{i}") + ADD) / (sum(F.col(f"c{j}") for j in L) + ADD * len(names)) for i in L]).alias("p_all"))
+    """``scored`` (ll, best, p, declared, suffix, host, domain) with lang_id, posterior and accepted. ``scored`` is read several times: it should be stored."""
+    n = len(names)
+    counted = scored.where((F.col("ll").isNotNull()) & (F.col("p") >= CLEAR))
+    counts = F.array(*[F.count(F.when(F.col("best") == i, 1)).cast("double") for i in range(n)]).alias("c")
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = counted.agg(counts).select(F.transform("c", lambda x: (x + ADD) / (size("c") + ADD * n)).alias("p_all"))
 
     def given_language(key: str) -> DataFrame:
         """log P(key | language) for each key."""
-        n = counted.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
-        every = n.agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in L], F.count("*").alias("kinds"))
-        return n.join(F.broadcast(every)).select(key, row([F.log((F.col(f"c{i}") + ADD) / (F.col(f"t{i}") + ADD * (F.col("kinds") + 1))) for i in L]).alias(f"ev_{key}"))  # one row is broadcast
-
-    smooth = lambda prior: row([(F.col(f"c{i}") + KAPPA * F.col(prior)[i]) / (sum(F.col(f"c{j}") for j in L) + KAPPA) for i in L])
-    domains = counted.where("domain is not null").groupBy("domain").agg(*sums).join(F.broadcast(total)).select("domain", smooth("p_all").alias("p_domain"))
-    hosts = counted.where("host is not null").groupBy("host", "domain").agg(*sums).join(domains, "domain", "left").join(F.broadcast(total))
+        found = counted.where(F.col(key).isNotNull()).groupBy(key).agg(counts)
+        every = found.agg(F.array(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)) for i in range(n)]).alias("t"), F.count("*").alias("kinds"))
+        evidence = F.zip_with("c", "t", lambda c, t: F.log((c + ADD) / (t + ADD * (F.col("kinds") + 1))))
+        return found.join(F.broadcast(every)).select(key, evidence.alias(f"ev_{key}"))  # one row is broadcast
+
+    smooth = lambda prior: F.zip_with("c", prior, lambda c, p: (c + KAPPA * p) / (size("c") + KAPPA))
+    domains = counted.where("domain is not null").groupBy("domain").agg(counts).join(F.broadcast(total)).select("domain", smooth("p_all").alias("p_domain"))
+    hosts = counted.where("host is not null").groupBy("host", "domain").agg(counts).join(domains, "domain", "left").join(F.broadcast(total))
     hosts = hosts.withColumn("prior", F.coalesce("p_domain", "p_all")).select("host", smooth("prior").alias("p_host"))
     x = scored.join(F.broadcast(total))
     for key, table in (("declared", given_language("declared")), ("suffix", given_language("suffix")), ("host", hosts), ("domain", domains)):
         # rows without the key are many: spread, they don't meet in one task
         spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("ll", "host"), F.lit(4096)).cast("string"))
         x = x.withColumn("at", F.coalesce(key, spread)).join(table.withColumnRenamed(key, "at"), "at", "left").drop("at")
-    prior = F.coalesce("p_host", "p_domain", "p_all")
-    evidence = lambda key, i: F.coalesce(F.col(f"ev_{key}")[i], F.lit(0.0))
-    parts = [F.coalesce(ll[i], F.lit(0.0)) + F.log(prior[i]) + evidence("declared", i) + evidence("suffix", i) for i in L]
-    x = x.withColumn("best", softmax(parts, names))
-    lang = F.when(F.col("ll").isNull(), F.lit(UND)).otherwise(F.col("best.lang"))
-    return x.withColumn("lang_id", lang).withColumn("posterior", F.col("best.p")).withColumn("accepted", (lang != UND) & (F.col("best.p") >= LEAST))
+    parts = both("ll", F.transform(F.coalesce("p_host", "p_domain", "p_all"), lambda x: F.log(x)))
+    for key in ("declared", "suffix"):
+        parts = both(parts, F.coalesce(f"ev_{key}", F.array_repeat(F.lit(0.0), n)))
+    x = x.withColumn("parts", parts).withColumn("top", F.array_max("parts"))
+    posterior = 1.0 / F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    known = F.get(F.array(*map(F.lit, names)), (F.array_position("parts", F.col("top")) - 1).cast("int"))  # ties go to the first name
+    x = x.withColumn("lang_id", F.coalesce(known, F.lit(UND))).withColumn("posterior", F.coalesce(posterior, F.lit(0.0)))
+    return x.withColumn("accepted", (F.col("lang_id") != UND) & (F.col("posterior") >= LEAST)).drop("parts", "top")
 
 
 def evidence_of_url(url: Column) -> tuple[Column, Column, Column]:
