@@ -31,7 +31,7 @@ from .common import small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Documents that tier 1 is learnt from, characters of each, entries it holds, bytes of its longest key; entries of a worker's cache, characters of its longest.
-SAMPLE, HEAD, ENTRIES, KEY, CACHE, LONGEST = 2000, 8000, 50_000, 24, 1 << 20, 64
+SAMPLE, HEAD, ENTRIES, KEY, CACHE, LONGEST = 2000, 8000, 50_000, 24, 1 << 18, 64
 
 # The pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
