@@ -25,7 +25,7 @@ from .suffix_dedup import runs_of
 from .suffixes import by_rank_doubling
 from .words import word_hashes, words_of
 
-WINDOW, ANCHOR, BLOCK = 35, 8, 12
+WINDOW, ANCHOR, BLOCK = 35, 8, 16
 
 
 class Plane:

@@ -3,12 +3,14 @@
 A window is ``W`` consecutive symbols of one text. Each window has an anchor, the K-gram in it with the least hash
 (leftmost of equals), so equal windows have equal anchors. Consecutive windows with one anchor form a segment.
 
-1. One pass counts, over all texts, the segments of each anchor. Windows of an anchor that occurs once occur once.
-2. A second pass cuts the segments of anchors that recur into blocks of ``B`` neighbouring places relative to the anchor. A
+1. One pass counts, over all texts, the segments of each anchor and whether their contents are all equal. Windows of an anchor that
+   occurs once occur once.
+2. A second pass takes the segments of anchors that recur, which meet by anchor if all are equal. Otherwise they are cut into blocks of
+   ``B`` neighbouring places relative to the anchor. A
    block's windows all hold a common core, and equal windows have equal cores, so blocks meet by core: an
-   anchor that a large part of all texts share (a common line, say) is split by its surroundings. Recurring anchors are known by a
-   Bloom filter sized by their number (errors only cost work); beyond ``FILTERED`` anchors segments join the anchors instead.
-3. Blocks of a core that recurs go to shards, each different content once with its number of rows (at least two where there
+   anchor that a large part of all texts share (a common line, say) is split by its surroundings. Recurring anchors are known by
+   Bloom filters sized by their number (errors only cost work); beyond ``FILTERED`` anchors segments join the anchors instead.
+3. Segments and blocks that recur go to shards, each different content once with its number of rows (at least two where there
    are more). Cores with over ``SPLIT`` different contents are cut into narrower blocks, whose cores hold more of the
    surroundings, down to single windows, so no core fills a task. A shard's index (a suffix array or an FM-index, see the
    callers) decides for every window whether it occurs in more than one row.
@@ -36,7 +38,7 @@ from .words import gram_hashes
 PIECE = 1 << 22
 #: Bytes of contents that one index is built over, about; different contents of a core beyond which it is cut up; anchors beyond
 #: which they are joined instead of filtered; texts and contents that a task remembers.
-SHARD, SPLIT, FILTERED, SEEN = 1 << 20, 512, 1 << 24, 1 << 20
+SHARD, SPLIT, FILTERED, SEEN = 1 << 19, 4096, 1 << 24, 1 << 18
 
 
 class Windows:
@@ -70,6 +72,10 @@ class Windows:
     def content(self, data: bytes, width: int, first: int, n: int) -> bytes:
         return data[first * width : (first + n - 1 + self.w) * width]
 
+    def hashes(self, data: bytes, width: int, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of the contents of runs of windows."""
+        return signed(np.array([xxhash.xxh3_64_intdigest(self.content(data, width, f, k)) for f, k in zip(first.tolist(), n.tolist(), strict=True)], np.uint64))
+
     def blocks(self, first: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         """(segment, block, first window, number of windows): windows whose distance to the anchor falls in one block."""
         low, high = (place - (first + n - 1)) // self.b, (place - first) // self.b  # blocks of the last and the first window
@@ -104,7 +110,7 @@ class Twice:
 
 
 def segments_of(docs: DataFrame, kind: Windows, columns: str) -> DataFrame:
-    """The segments of all texts, at most two copies of a text a task: k1, k2, first (window), m (the anchor's hash), or some of these."""
+    """The segments of all texts, at most two copies of a text a task: k1, k2, first (window), m (the anchor's hash), c (the content's), or some of these."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def scan(batches):
@@ -114,8 +120,11 @@ def segments_of(docs: DataFrame, kind: Windows, columns: str) -> DataFrame:
             for k1, k2, text in zip(b["k1"].tolist(), b["k2"].tolist(), b["text"], strict=True):
                 if not twice((k1, k2)):
                     continue
-                first, _, _, g = kind.segments(kind.symbols(text))
+                s = kind.symbols(text)
+                first, n, _, g = kind.segments(s)
                 every = {"k1": np.full(len(g), k1), "k2": np.full(len(g), k2), "first": first, "m": signed(g)}
+                if "c" in names:
+                    every["c"] = kind.hashes(s.tobytes(), s.itemsize, first, n)
                 for c in names:
                     out[c].append(every[c])
             yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
@@ -124,56 +133,76 @@ def segments_of(docs: DataFrame, kind: Windows, columns: str) -> DataFrame:
 
 
 def recurring(docs: DataFrame, kind: Windows) -> DataFrame:
-    """(m): anchors that more than one segment has."""
-    return segments_of(docs, kind, "m long").groupBy("m").count().where("count > 1").select("m")
+    """(m, pure): anchors that more than one segment has; pure: whose contents are all equal."""
+    counted = segments_of(docs, kind, "m long, c long").groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return counted.where("n > 1").select("m", (F.col("low") == F.col("high")).alias("pure"))
 
 
 BLOCKS = "first int, n int, d int, q long, c long, content binary"
 
 
 def block_columns(kind: Windows, data: bytes, width: int, first: np.ndarray, n: np.ndarray, place: np.ndarray) -> dict[str, list]:
-    """The blocks of some segments: first window, number of windows, distance from there to the anchor, hashes of core and content, content."""
+    """The blocks of some segments: the segment's number, first window, number of windows, distance from there to the anchor, hashes of core and content, content."""
     segment, block, a, count = kind.blocks(first, n, place)
     anchor = place[segment]
     cores = [kind.core(data, width, p, x) for p, x in zip(anchor.tolist(), block.tolist(), strict=True)]
     own = [kind.content(data, width, x, y) for x, y in zip(a.tolist(), count.tolist(), strict=True)]
     q = np.array([xxhash.xxh3_64_intdigest(x) for x in cores], np.uint64) + block.astype(np.uint64)
     c = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
-    return {"first": a, "n": count, "d": anchor - a, "q": signed(q), "c": signed(c), "content": own}
+    return {"segment": segment, "first": a, "n": count, "d": anchor - a, "q": signed(q), "c": signed(c), "content": own}
 
 
 def occurrences(docs: DataFrame, kind: Windows) -> DataFrame:
-    """(k1, k2, BLOCKS) of the segments whose anchors recur; a task gives a content once, then null."""
+    """(k1, k2, BLOCKS) of the segments whose anchors recur, whole ones with the anchor's hash as ``q``; a task gives a content once, then null."""
     spark = docs.sparkSession
     anchors = materialize(recurring(docs, kind))
     known = anchors.count()
     listed = known > FILTERED
     if listed:
-        found = segments_of(docs, kind, "k1 long, k2 long, first int, m long").join(anchors, "m", "left_semi").select("k1", "k2", "first").distinct()
-        docs = docs.join(found.groupBy("k1", "k2").agg(F.collect_list("first").alias("firsts")), ["k1", "k2"])  # of one text
+        found = segments_of(docs, kind, "k1 long, k2 long, first int, m long").join(anchors, "m").select("k1", "k2", "first", "pure").distinct()
+        one = lambda pure: F.collect_list(F.when(F.col("pure") == pure, F.col("first")))
+        docs = docs.join(found.groupBy("k1", "k2").agg(one(True).alias("pure"), one(False).alias("mixed")), ["k1", "k2"])  # of one text
     else:
-        docs = docs.withColumn("firsts", F.lit(None).cast("array<int>"))
-        filters = spark.sparkContext.broadcast(bloom(anchors, "m", sized(known)))  # 2 bytes an anchor, FILTERED at most
+        docs = docs.withColumns({"pure": F.lit(None).cast("array<int>"), "mixed": F.lit(None).cast("array<int>")})
+        unlike = anchors.where("NOT pure")
+        filters = spark.sparkContext.broadcast((bloom(anchors, "m", sized(known)), bloom(unlike, "m", sized(unlike.count()))))  # 4 bytes an anchor, FILTERED at most
 
     def cut(batches):
         twice, seen = Twice(), set()
         for batch in batches:
             frames = []
-            for k1, k2, text, firsts in zip(batch["k1"].tolist(), batch["k2"].tolist(), batch["text"], batch["firsts"], strict=True):
+            for k1, k2, text, pure, mixed in zip(batch["k1"].tolist(), batch["k2"].tolist(), batch["text"], batch["pure"], batch["mixed"], strict=True):
                 if not twice((k1, k2)):
                     continue
                 s = kind.symbols(text)
                 first, n, place, g = kind.segments(s)
-                hit = np.flatnonzero(np.isin(first, firsts) if listed else in_bloom(filters.value, signed(g)))
-                if len(hit):
-                    frames.append(pd.DataFrame({"k1": k1, "k2": k2, **block_columns(kind, s.tobytes(), s.itemsize, first[hit], n[hit], place[hit])}))
+                m = signed(g)
+                if listed:
+                    whole, split = np.flatnonzero(np.isin(first, pure)), np.flatnonzero(np.isin(first, mixed))
+                else:
+                    hit = np.flatnonzero(in_bloom(filters.value[0], m))
+                    part = in_bloom(filters.value[1], m[hit])
+                    whole, split = hit[~part], hit[part]
+                if len(whole) or len(split):
+                    data, width = s.tobytes(), s.itemsize
+                    f, k = first[whole], n[whole]
+                    own = {"first": f, "n": k, "d": place[whole] - f, "q": m[whole], "c": kind.hashes(data, width, f, k), "content": [kind.content(data, width, x, y) for x, y in zip(f.tolist(), k.tolist(), strict=True)]}
+                    blocks = block_columns(kind, data, width, first[split], n[split], place[split])
+                    frames.append((k1, k2, {c: [own[c], blocks[c]] for c in own}))
             if frames:
-                frame = pd.concat(frames, ignore_index=True)
+                sizes = [len(x["content"][0]) + len(x["content"][1]) for _, _, x in frames]
+                columns = {c: np.concatenate([part for _, _, x in frames for part in x[c]]) for c in ("first", "n", "d", "q", "c")}
+                contents = [y for _, _, x in frames for part in x["content"] for y in part]
+                new = [not (x in seen or seen.add(x)) for x in zip(columns["q"].tolist(), columns["c"].tolist(), strict=True)]
                 if len(seen) > SEEN:
                     seen.clear()
-                new = [not (x in seen or seen.add(x)) for x in zip(frame["q"].tolist(), frame["c"].tolist(), strict=True)]
-                frame["content"] = frame["content"].where(pd.Series(new), None)
-                yield frame.astype({"first": "int32", "n": "int32", "d": "int32"})
+                yield pd.DataFrame(
+                    {
+                        "k1": np.repeat([k1 for k1, _, _ in frames], sizes), "k2": np.repeat([k2 for _, k2, _ in frames], sizes),
+                        **{c: v.astype(np.int32 if c in ("first", "n", "d") else np.int64) for c, v in columns.items()},
+                        "content": pd.Series([y if fresh else None for y, fresh in zip(contents, new, strict=True)], dtype=object),
+                    }
+                )
 
     return docs.mapInPandas(cut, f"k1 long, k2 long, {BLOCKS}")
 
@@ -211,12 +240,14 @@ def indexed(contents: DataFrame, kind: Windows, find, b: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for q, c, d, times, content in zip(batch["q"], batch["c"], batch["d"], batch["times"], batch["content"], strict=True):
-                width = kind.width
-                n = len(content) // width - kind.w + 1
-                blocks = block_columns(narrow, content, width, np.zeros(1, np.int64), np.array([n]), np.array([d]))
-                frame = pd.DataFrame({"q0": q, "c0": c, "times": times, **blocks})
-                yield frame.astype({"first": "int32", "n": "int32", "d": "int32"})
+            # the contents of a batch side by side, each a segment of its own
+            width, n = kind.width, batch["content"].str.len().to_numpy(np.int64) // kind.width
+            at = np.cumsum(n) - n
+            blocks = block_columns(narrow, b"".join(batch["content"]), width, at, n - kind.w + 1, at + batch["d"].to_numpy(np.int64))
+            own = blocks.pop("segment")
+            blocks["first"] = blocks["first"] - at[own]
+            frame = pd.DataFrame({"q0": batch["q"].to_numpy()[own], "c0": batch["c"].to_numpy()[own], "times": batch["times"].to_numpy()[own], **blocks})
+            yield frame.astype({"first": "int32", "n": "int32", "d": "int32"})
 
     pieces = materialize(contents.join(hot, "q", "left_semi").select("q", "c", "d", "times", "content").mapInPandas(cut, f"q0 long, c0 long, times long, {BLOCKS}"))
     again = materialize(pieces.groupBy("q", "c").agg(F.first("d").alias("d"), F.sum("times").alias("times"), F.first("content").alias("content")))
@@ -232,9 +263,11 @@ def repeated(docs: DataFrame, kind: Windows, find: Callable[[list[bytes], np.nda
     """
     small_batches(docs.sparkSession)
     rows = materialize(occurrences(docs, kind))
-    cores = rows.groupBy("q").count().where("count > 1").select("q")
-    met = rows.join(cores, "q", "left_semi")
-    contents = materialize(met.groupBy("q", "c").agg(F.first("d").alias("d"), F.count("*").alias("times"), F.first("content", ignorenulls=True).alias("content")))
+    # equal contents are one row from here on, before anything meets by core
+    kinds = materialize(rows.groupBy("q", "c").agg(F.count("*").alias("times")))
+    cores = kinds.groupBy("q").agg(F.sum("times").alias("rows")).where("rows > 1").select("q")
+    wanted = materialize(kinds.join(cores, "q", "left_semi"))
+    contents = materialize(rows.where("content IS NOT NULL").select("q", "c", "d", "content").join(wanted, ["q", "c"]).dropDuplicates(["q", "c"]))
     runs = materialize(indexed(contents, kind, find, kind.b))
     found = rows.select("k1", "k2", "first", "q", "c").join(runs, ["q", "c"]).select("k1", "k2", (F.col("first") + F.col("at")).alias("first"), F.col("count").alias("n"))
     return found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .repeats import Windows, removal, sha256
 from .suffixes import permuted_prefixes, suffix_array
 
-WINDOW, ANCHOR, BLOCK = 200, 32, 64
+WINDOW, ANCHOR, BLOCK = 200, 32, 96
 END = 0xFF  # no byte of UTF-8 text
 
 

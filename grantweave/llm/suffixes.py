@@ -1,7 +1,7 @@
 """Suffix arrays by induced sorting, in numpy: many suffixes are induced at once.
 
 ``suffix_array`` classifies suffixes as larger or smaller than their right neighbour, sorts the leftmost-smaller
-substrings by one induction, names them, sorts the string of names by the same procedure unless all names differ, and
+substrings by one induction, names them, sorts the string of names by the same procedure unless (nearly) all names differ, and
 induces the whole array from that order. A string over few symbols is induced bucket by bucket. The strings of
 names have thousands of symbols and next to nothing in a bucket; there all suffixes are induced together, along the runs of
 larger and of smaller ones, by doubling (runs are short, so two or three rounds do).
@@ -13,6 +13,8 @@ import numpy as np
 
 #: Symbols up to which buckets are induced one by one.
 NARROW = 1024
+#: The share of different names from which their string is sorted by rank doubling, which ends after a few rounds there.
+UNLIKE = 0.5
 
 
 def by_rank_doubling(s: np.ndarray) -> np.ndarray:
@@ -101,12 +103,11 @@ def dense(key: np.ndarray) -> np.ndarray:
 
 def refined(first: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Ranks of chains: a chain begins with ``first`` and goes on at the place ``after``; its last place leads to itself."""
-    rank, span = dense(first), len(first) + 1
-    while True:
-        new = dense(rank * span + rank[after])
-        if new.max() == rank.max():
-            return new
-        rank, after = new, after[after]
+    rank, span, kinds = dense(first), len(first) + 1, 0
+    while kinds < rank.max() + 1 < len(rank):
+        kinds = rank.max() + 1
+        rank, after = dense(rank * span + rank[after]), after[after]
+    return rank
 
 
 def induced_ranks(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, given: np.ndarray) -> np.ndarray:
@@ -159,7 +160,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         names = names_of(s, leftmost, ranked[ranked >= 0])
     else:
         names = dense(induced_ranks(s, small, leftmost, np.zeros(len(leftmost), np.int64))[leftmost])
-    final = np.argsort(names) if int(names.max()) + 1 == len(names) else suffix_array(names)
+    different = int(names.max()) + 1
+    final = np.argsort(names) if different == len(names) else suffix_array(names) if different < UNLIKE * len(names) else by_rank_doubling(names)
     if sigma <= NARROW:
         return induce(s, by_bucket(leftmost[final]), sigma)[1:]
     given = np.empty(len(leftmost), np.int64)

@@ -39,11 +39,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """One hash for every n consecutive symbols."""
+    """One hash for every n consecutive symbols: a polynomial in M1, put together from those of half as many symbols."""
     count = len(symbols) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    h = symbols[:count].astype(np.uint64)
-    for i in range(1, n):
-        h = h * M1 + symbols[i : i + count]
+    s = symbols.astype(np.uint64)
+    h, span, power = s, 1, M1  # power: M1 to the span
+    with np.errstate(over="ignore"):
+        for bit in bin(n)[3:]:
+            h, span, power = h[:-span] * power + h[span:], 2 * span, power * power
+            if bit == "1":
+                h, span, power = h[:-1] * M1 + s[span:], span + 1, power * M1
     return mixed(h)
