@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fm_dedup, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree
+from . import decontam, fm_dedup, id_files, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree
 from .common import table
 
 
@@ -54,7 +54,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing)}
+def op13_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.id_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing, op13_token_id_files)}
 
 SQL = {
     "op2_ngram_jaccard": jaccard.sql(),
