@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fm_dedup, id_files, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree, word_runs
+from . import align, decontam, fm_dedup, id_files, jaccard, lang_id, mixing, mtree, pii, suffix_dedup, tokens, url_tree, word_runs
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_digest(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing, op12_periodic_runs, op13_token_id_files)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_language_id, pages_language_id, op4_personal_data, op5_token_counts, op6_mtree_top_k, op7_suffix_array_dedup, op8_url_filter, op9_substring_dedup, op10_source_mixing, op11_tokenizer_alignment, op12_periodic_runs, op13_token_id_files)}
 
 SQL = {
     "op2_ngram_jaccard": jaccard.sql(),

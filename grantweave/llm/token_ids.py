@@ -8,9 +8,9 @@ bounded cache; a text that can't be cut safely is encoded whole. Ids are little-
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -19,10 +19,21 @@ from .tokens import BYTES, TwoTier
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Entries of a worker's cache of pieces, characters of its longest.
-CACHE, LONGEST = 1 << 17, 48
+CACHE, LONGEST = 1 << 18, 48
+#: Pieces encoded by one call, characters of the texts cut together; what parts the pieces of a call: the spelling of byte 0.
+GROUP, TOGETHER, BAR_TEXT, BAR = 64, 1 << 20, "\x00", BYTES[0]
 SPACE = "▁"  # how the piece vocabulary spells a space
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def spelt(piece: str) -> str:
+    """A piece as the byte-level vocabulary spells it; of printable ASCII, only the space differs."""
+    return piece.replace(" ", BYTES[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTES)
+
+
 class Known(dict):
     """Piece -> ids, filled by ``encode``. Of two generations, the older one is given up when the newer is full; what is met again moves over."""
 
@@ -33,14 +44,17 @@ class Known(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.encode(piece), "<u4").tobytes()
+            ids = packed(self.encode(piece))
         if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
+            self.keep(piece, ids)
         return ids
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+
 
 class ByteLevel(TwoTier):
     """Ids by a byte-level vocabulary of the tokenizers library. ``plain``: its special strings inside texts are ordinary text."""
@@ -51,13 +65,57 @@ class ByteLevel(TwoTier):
             self.encode = Tokenizer.from_file(path)  # not the shared one
             self.encode.encode_special_tokens = True
             self.merge, self.special = self.encode.model.tokenize, []
-        self.known = Known(lambda piece: [t.id for t in self.merge(piece.encode().decode("latin-1").translate(BYTES))])
+        self.known = Known(self.piece_ids)
+        alone = [w for w in self.encode.get_vocab() if BAR in w]
+        self.bar = self.encode.token_to_id(BAR) if alone == [BAR] else None
+
+    def piece_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.merge(spelt(piece))]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode many pieces with few calls: no merge reaches over a character that no longer word of the vocabulary holds."""
+        known, bar = self.known, self.bar
+        for a in range(0, len(new), GROUP):
+            part = new[a : a + GROUP]
+            joined = BAR.join([*map(spelt, part), ""])
+            ids = [t.id for t in self.merge(joined)]
+            at = 0
+            for p in part:
+                end = ids.index(bar, at)
+                known.keep(p, packed(ids[at:end]))
+                at = end + 1
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of many texts."""
+        out: list[bytes] = []
+        size, held = 0, []
+        for text in texts:
+            if held and size + len(text) > TOGETHER:
+                out += self._many(held)
+                size, held = 0, []
+            held.append(text)
+            size += len(text)
+        return out + self._many(held)
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(t) for t in texts]
+        known = self.known
+        if self.bar is not None:
+            new = [p for p in set().union(*filter(None, cut)) if p not in known and p not in known.older]
+            self.learn([p for p in new if len(p) <= LONGEST and BAR_TEXT not in p])
+        get = known.__getitem__
+        return [b"".join(map(get, p)) if p is not None else packed(self.encode.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, cut, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        if pieces is None:
-            return np.array(self.encode.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        return self._many([text])[0]
+
+    def safe(self, text: str) -> bool:
+        """Whether the pattern and the library class all characters of a text alike."""
+        if text.isascii():
+            return True
+        chars = set(text)
+        self.pieces("".join(chars.difference(self.alike, self.unlike)))  # meets the new ones
+        return chars.isdisjoint(self.unlike)
 
     def spelled(self) -> list[bytes]:
         """The bytes of every id."""
@@ -84,9 +142,17 @@ class Pieces:
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or SPACE in text or not text:
-            return np.array(self.model.encode(text, num_threads=1), "<u4").tobytes()
+            return packed(self.model.encode(text, num_threads=1))
         return b"".join(map(self.known.__getitem__, self.WORD.findall(f" {text}")))
 
+    def many(self, segments: list[str]) -> list[bytes]:
+        """Ids of many texts, each given with a space before it."""
+        known = self.known
+        new = [s for s in segments if s not in known and s not in known.older and 1 < len(s) <= LONGEST]
+        for s, ids in zip(new, self.model.encode([s[1:] for s in new], num_threads=1), strict=True):
+            known.keep(s, packed(ids))
+        return [known.get(s) or (self.ids(s[1:]) if s != " " else known[s]) for s in segments]
+
     def spelled(self) -> list[bytes]:
         byte = self.model.is_byte
         return [bytes([int(w[3:5], 16)]) if byte(i) else w.replace(SPACE, " ").encode() for i, w in enumerate(self.names)]
