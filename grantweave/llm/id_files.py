@@ -50,7 +50,7 @@ END = 0
 #: Documents the dictionary is trained on, ids of each, bytes of the dictionary; compression level.
 SAMPLE, STRETCH, DICTIONARY, LEVEL = 4000, 1024, 65536, 3
 #: Bytes and documents of a shard, at most (a longer document has a shard of its own); documents of a batch read back, and their ids.
-SHARD, DOCS, ROWS, IDS = 256 << 20, 1 << 20, 1000, 1 << 22
+SHARD, DOCS, ROWS, IDS = 64 << 20, 1 << 20, 1000, 1 << 22
 FORMAT = "token_ids"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -273,26 +273,26 @@ def register(spark: SparkSession) -> None:
 
 
 def serialized(texts: pd.Series, vocabulary: str) -> list[np.ndarray]:
-    ids = byte_level(vocabulary).ids
-    return [np.append(np.frombuffer(ids(t), "<u4"), np.uint32(END)) for t in texts]
+    end = struct.pack("<I", END)
+    return [np.frombuffer(ids + end, "<u4") for ids in byte_level(vocabulary).many(list(texts))]
 
 
 def samples(docs: DataFrame, vocabulary: str, number: int = SAMPLE, stretch: int = STRETCH) -> list[bytes]:
-    """What the dictionary is trained on: of ``number`` documents with the least hashes, a stretch of ids from a place given by the
-    hash. The bound holds for the dictionary alone; every document is encoded and written whole."""
-    h = F.xxhash64(F.lit(13), "text")
-    chosen = docs.where("text <> ''").select("text", h.alias("h")).orderBy("h").limit(number)
+    """What the dictionary is trained on: about ``number`` random documents, of each a stretch of ids from a random place. The bound holds
+    for the dictionary alone; every document is encoded and written whole."""
+    share = number / max(number, docs.count())
+    chosen = docs.where(F.rand(13) < share).select("text", (F.rand(7) * (1 << 62)).cast("long").alias("h"))
 
     def cut(batches):
         for b in batches:
             kind = f"<u{width(byte_level(vocabulary).encode.get_vocab_size())}"
             out = []
-            for ids, at in zip(serialized(b["text"], vocabulary), b["h"].astype("uint64"), strict=True):
+            for ids, at in zip(serialized(b["text"], vocabulary), b["h"], strict=True):
                 a = int(at) % max(1, len(ids) - stretch)
                 out.append(ids[a : a + stretch].astype(kind).tobytes())
             yield pd.DataFrame({"ids": out})
 
-    return [bytes(r.ids) for r in chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(cut, "ids binary").collect()]
+    return [bytes(r.ids) for r in chosen.mapInPandas(cut, "ids binary").collect()]
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = BYTE_LEVEL, shard_bytes: int = SHARD, shard_docs: int = DOCS) -> None:
