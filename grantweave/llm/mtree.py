@@ -16,8 +16,9 @@ what remains is one matrix product a page.
 Every row but the query's own is a candidate, repeated rows as often as they occur; a repeated query row gives its result
 as often. Rows without id are candidates (after all ids at equal scores) but no queries. Null vectors and those with null or
 non-finite components take no part; empty vectors do, with score 0. Vectors are compared with those of equal length. Extra
-columns are ignored. An empty table gives an empty result. Squared norms of scaled vectors must stay under 2^52; an id of
-2^63 - 1 reads as null.
+columns are ignored. An empty table gives an empty result. Vectors whose scaled squared norm reaches 2^52 stay out of the trees; pairs with
+one of them are scored as whole numbers, block by block (``long_vectors``). A score beyond a long stands at its bound, but ranks follow
+the exact scores. An id of 2^63 - 1 reads as null.
 """
 
 from __future__ import annotations
@@ -32,16 +33,31 @@ from pyspark.sql import functions as F
 
 from .common import materialize, whole_groups
 from .jaccard import groups_in
+from .long_vectors import key_column, scored
 
 SCALE, K, EVERY, PIVOTS, SHARD, PAGE, BLOCK = 256, 5, 50, 256, 8192, 64, 4096
 NO_ID, LOW = (1 << 63) - 1, -(1 << 62)
+LONG = float(1 << 52)
 
 
-def integers(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): usable rows, with whole components."""
-    x = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(vec_id, x, long): rows that take part, and whether their vector is too long for the trees."""
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return x.where(F.col("v").isNotNull() & F.forall("v", fine)).select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+    norm2 = F.aggregate("x", F.lit(0.0), lambda a, c: a + F.pow(F.least(F.abs(c), F.lit(1e9)) * SCALE + 1, F.lit(2.0)))  # no less than that of floor(256 x)
+    return rows.where(F.col("x").isNotNull() & F.forall("x", fine)).withColumn("long", norm2 >= LONG)
+
+
+def integers(rows: DataFrame) -> DataFrame:
+    """(vec_id, v): whole components of the rows that aren't too long."""
+    return rows.where(~F.col("long")).select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+
+
+def least_ids(rows: DataFrame, vector: str, k: int) -> DataFrame:
+    """Each vector once, with the k + 1 least ids of its rows."""
+    ids = rows.select(vector, F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"))
+    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy(vector).orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    return ranked.groupBy(vector).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,16 +203,13 @@ PAGES = "dim int, pivot int, chunk int, page int, leaf boolean, vectors binary,
 
 
 def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> tuple[DataFrame, DataFrame, float, dict]:
-    """(pages, rows (vec_id, v), M^2, pivots by length)."""
-    x = integers(df, vec_id, vector)
-    ids = x.select("v", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"))
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    once = ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1
+    """(pages, all usable rows, M^2, pivots by length)."""
+    every = usable(df, vec_id, vector)
+    x = integers(every)
+    once = least_ids(x, "v", k)
     once = materialize(once.withColumn("dim", F.size("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)))
     n, m2 = once.agg(F.count("*"), F.max("norm2")).first()
     m2 = float(m2 or 0)
-    if m2 >= 1 << 52:
-        raise ValueError("vectors are too long for exact scores")
     rows = once.orderBy(F.xxhash64("v"), "v").select("v").limit(min(PIVOTS, max(1, n // SHARD + 1))).collect()
     found: dict[int, list] = {}
     for r in rows:
@@ -227,13 +240,13 @@ def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: i
                     out.append((dim, pivot, chunk, i, p["leaf"], v[p["entry"]].tobytes(), p["apart"].tobytes(), p["radius"].tobytes(), p["child"].tobytes(), b"".join(x.tobytes() for x in mine), np.array([len(x) for x in mine], np.int32).tobytes(), v[0].tobytes(), reach))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGES.split(", ")])
 
-    return materialize(dealt.mapInPandas(trees, PAGES)), x, m2, pivots
+    return materialize(dealt.mapInPandas(trees, PAGES)), every, m2, pivots
 
 
 def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by ``every``."""
-    pages, x, m2, pivots = index(df, vec_id, vector, k)
-    asked = x.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).agg(F.count("*").alias("times"))
+    pages, rows, m2, pivots = index(df, vec_id, vector, k)
+    asked = integers(rows).where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).agg(F.count("*").alias("times"))
 
     def at_home(batches):
         for b in batches:
@@ -296,10 +309,22 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: i
     floors = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("qk", F.col("score").alias("floor"))
     todo = materialize(queries.join(floors, "qk", "left").withColumn("floor", F.coalesce("floor", F.lit(LOW))))
     rest = searched(todo, todo.select("dim", "block", "home", "q", "floor").mapInPandas(rooms, "dim int, block int, pivot int").distinct(), False)
-    found = near.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    both = near.unionByName(rest)
+    if rows.where("long").limit(1).count():
+        both, best = both.withColumn("key", key_column(F.col("score"))).unionByName(with_long(rows, queries, every, k)), Window.partitionBy("qk").orderBy(F.desc("key"), "vec_id")
+    found = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
 
+def with_long(rows: DataFrame, queries: DataFrame, every: int, k: int) -> DataFrame:
+    """What queries find where they or the vectors found are too long for the trees."""
+    usual = queries.select("qk", "query_id", F.transform("q", lambda c: c / SCALE).alias("x"), "times", F.lit(False).alias("long"))
+    own = rows.where(F.col("long") & (F.col("vec_id") % every == 0)).groupBy(F.col("vec_id").alias("query_id"), "x").agg(F.count("*").alias("times"))
+    own = own.select((-1 - F.monotonically_increasing_id()).alias("qk"), "query_id", "x", "times", F.lit(True).alias("long"))
+    vectors = [least_ids(rows.where(F.col("long") == flag), "x", k).withColumn("long", F.lit(flag)) for flag in (True, False)]
+    return scored(materialize(usual.unionByName(own)), materialize(vectors[0].unionByName(vectors[1])), k)
+
+
 def sql(table: str = "embeddings") -> str:
     return f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)) AS v FROM {table}
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
