@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual, WriterCommitMessage
 
 from ..storage import shared_path
 from .common import materialize, small_batches
@@ -183,17 +183,18 @@ class Reader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.low, self.high, self.wanted = None, None, None
+        self.low, self.high, self.wanted, self.known = None, None, None, False
 
     def pushFilters(self, filters):
         for f in filters:
             column = getattr(f, "attribute", None)
             if column != ("doc_id",):
                 yield f
-            elif isinstance(f, EqualTo):
-                self.wanted = {f.value} & (self.wanted or {f.value})
-            elif isinstance(f, In):
-                self.wanted = set(f.value) & (self.wanted if self.wanted is not None else set(f.value))
+            elif isinstance(f, EqualTo | In):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted = values if self.wanted is None else values & self.wanted
+            elif isinstance(f, IsNotNull):
+                self.known = True
             elif isinstance(f, GreaterThanOrEqual):
                 self.low = f.value if self.low is None else max(self.low, f.value)
             elif isinstance(f, LessThanOrEqual):
@@ -203,7 +204,7 @@ class Reader(DataSourceReader):
 
     def fits(self, least: int | None, most: int | None) -> bool:
         if self.low is None and self.high is None and self.wanted is None:
-            return True
+            return not self.known or least is not None
         if least is None or self.low is not None and most < self.low or self.high is not None and least > self.high:
             return False
         return self.wanted is None or any(least <= x <= most for x in self.wanted)
@@ -213,7 +214,7 @@ class Reader(DataSourceReader):
         return [Shard(s["file"], s["start"]) for s in shards if self.fits(s["least"], s["most"])] or [Shard("", 0)]
 
     def chosen(self, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-        take = np.ones(len(ids), bool)
+        take = known == 1 if self.known else np.ones(len(ids), bool)
         if self.wanted is not None:
             take &= np.isin(ids, np.array(sorted(self.wanted), np.int64)) & (known == 1)
         if self.low is not None:
