@@ -19,42 +19,69 @@ def united(column: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
 
 
+NO_METADATA = "map<string,string>"
+
+
+def merged_metadata(states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metadata: a map key by key, of unlike values the first (by ``seq``, then value)."""
+    each = states.select(*keys, "seq", F.explode("metadata").alias("k", "v")).groupBy(*keys, "k").agg(F.min(F.struct("seq", "v")).alias("x"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.col("x.v").alias("v"))))).alias("metadata"))
+
+
 def combine(states: DataFrame, keys: list[str] = AGENT) -> DataFrame:
-    """One row per key: privileges united; of differing metadata the first (by ``seq``) stands."""
-    first = F.min_by("metadata", "seq") if {"metadata", "seq"} <= set(states.columns) else None
-    return states.groupBy(*keys).agg(united("privileges").alias("privileges"), *([first.alias("metadata")] if first is not None else []))
+    """One row per key: privileges united, metadata merged key by key (where the table has ``metadata`` and ``seq``)."""
+    found = states.groupBy(*keys).agg(united("privileges").alias("privileges"))
+    if not {"metadata", "seq"} <= set(states.columns):
+        return found
+    return with_metadata(found, merged_metadata(states, keys), keys)
+
+
+def with_metadata(found: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
+    return found.join(metadata, keys, "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast(NO_METADATA)))
+
+
+def metadata_conflicts(states: DataFrame, keys: list[str] = AGENT) -> DataFrame:
+    """keys, key, kept, given up: metadata that ``combine`` can't keep, as another value came first."""
+    each = states.select(*keys, "seq", F.explode("metadata").alias("key", "v")).groupBy(*keys, "key").agg(F.min(F.struct("seq", "v")).alias("x"), F.array_sort(F.collect_set("v")).alias("values"))
+    return each.where(F.size("values") > 1).select(*keys, "key", F.col("x.v").alias("kept"), F.array_remove("values", F.col("x.v")).alias("given_up"))
 
 
 def last_in_file(states: DataFrame) -> DataFrame:
     """Within a file the last row of an (asset, agent) counts; files are combined afterwards."""
-    last = states.groupBy("file", *AGENT).agg(F.max_by(F.struct("privileges", "seq"), "seq").alias("s"))
-    return combine(last.select(*AGENT, "s.privileges", "s.seq"))
+    kept = ["privileges", "seq", *(["metadata"] if "metadata" in states.columns else [])]
+    last = states.groupBy("file", *AGENT).agg(F.max_by(F.struct(*kept), "seq").alias("s"))
+    return combine(last.select(*AGENT, *[f"s.{c}" for c in kept]))
 
 
 def expand(explicit: DataFrame, defaults: DataFrame) -> DataFrame:
     """Policies that hold for each (asset, agent): the explicit one, else the default of the highest priority.
 
     ``defaults`` are already expanded to assets: AGENT, root_depth, path, privileges. Equal priorities are united.
-    An explicit policy without privileges blocks defaults and stays, empty.
+    An explicit policy without privileges blocks defaults and stays, empty. Explicit policies keep their metadata (if the table has any); what a
+    default policy expands to has none.
     """
+    extra = ["metadata"] if "metadata" in explicit.columns else []
     levels = defaults.withColumn("level", priority(F.col("root_depth"), F.col("path"))).groupBy(*AGENT, "level").agg(united("privileges").alias("privileges"))
-    every = explicit.select(*AGENT, "privileges", F.lit(None).cast("string").alias("level"), F.lit(1).alias("explicit")).unionByName(
-        levels.select(*AGENT, "privileges", "level", F.lit(0).alias("explicit"))
+    every = explicit.select(*AGENT, "privileges", *extra, F.lit(None).cast("string").alias("level"), F.lit(1).alias("explicit")).unionByName(
+        levels.select(*AGENT, "privileges", *[F.create_map().cast(NO_METADATA).alias(c) for c in extra], "level", F.lit(0).alias("explicit"))
     )
     best = Window.partitionBy(*AGENT).orderBy(F.desc("explicit"), F.desc("level"))
     return every.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
 def compact(policies: DataFrame, expanded_defaults: DataFrame) -> DataFrame:
-    """What must be written besides the defaults: policies unlike the winning default, and empty ones that block it.
+    """What must be written besides the defaults: policies unlike the winning default or with metadata of their own, and empty ones
+    that block it.
 
-    Expanding the result over the same defaults gives the policies back.
+    Expanding the result over the same defaults gives the policies back, metadata included.
     """
-    empty = policies.limit(0)
-    winning = expand(empty, expanded_defaults).select(*AGENT, F.col("privileges").alias("given"))
-    x = policies.select(*AGENT, "privileges").join(winning, AGENT, "full_outer")
-    kept = x.where(F.col("given").isNull() | F.col("privileges").isNull() | (F.col("privileges") != F.col("given")))
-    return kept.select(*AGENT, F.coalesce("privileges", F.array().cast(NO_TEXT)).alias("privileges"))
+    extra = ["metadata"] if "metadata" in policies.columns else []
+    winning = expand(policies.limit(0), expanded_defaults).select(*AGENT, F.col("privileges").alias("given"))
+    x = policies.select(*AGENT, "privileges", *extra).join(winning, AGENT, "full_outer")
+    unlike = F.col("given").isNull() | F.col("privileges").isNull() | (F.col("privileges") != F.col("given"))
+    for c in extra:
+        unlike |= F.size(entries(c)) > 0
+    return x.where(unlike).select(*AGENT, F.coalesce("privileges", F.array().cast(NO_TEXT)).alias("privileges"), *[F.coalesce(c, F.create_map().cast(NO_METADATA)).alias(c) for c in extra])
 
 
 def fold(policies: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,19 +108,24 @@ def set_difference(wanted: str, have: str) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(w, h)), F.array_sort(F.array_except(h, w))
 
 
+def no_entries() -> Column:
+    return F.array().cast("array<struct<key:string,value:string>>")
+
+
 def entries(metadata: str) -> Column:
     """A map's entries, sorted; none for null."""
-    return F.array_sort(F.coalesce(F.map_entries(metadata), F.array().cast("array<struct<key:string,value:string>>")))
+    return F.array_sort(F.coalesce(F.map_entries(metadata), no_entries()))
 
 
 def diff(wanted: DataFrame, have: DataFrame, keys: list[str], value: str, flag: str | None = None) -> DataFrame:
     """Full-outer difference by key: change (add, remove, modify), to_add, to_remove; equal rows are left out.
 
-    Where both sides have a map ``metadata``, its entries are compared like privileges and reported as add_metadata and remove_metadata.
+    Where a side has a map ``metadata``, its entries are compared like privileges and reported as add_metadata and remove_metadata; a side without the
+    column has none.
     ``flag``: a boolean column whose change alone is a modification, reported as (flag): true, false or null if unchanged.
     """
-    extra, known = [flag] if flag else [], "metadata" in wanted.columns and "metadata" in have.columns
-    side = lambda df, s: df.select(*keys, F.col(value).alias(s), *[F.col(c).alias(f"{s}f") for c in extra], *([entries("metadata").alias(f"{s}m")] if known else []), F.lit(1).alias(f"in_{s}"))
+    extra, known = [flag] if flag else [], "metadata" in wanted.columns or "metadata" in have.columns
+    side = lambda df, s: df.select(*keys, F.col(value).alias(s), *[F.col(c).alias(f"{s}f") for c in extra], *([(entries("metadata") if "metadata" in df.columns else no_entries()).alias(f"{s}m")] if known else []), F.lit(1).alias(f"in_{s}"))
     add, remove = set_difference("w", "h")
     x = side(wanted, "w").join(side(have, "h"), keys, "full_outer").withColumn("to_add", add).withColumn("to_remove", remove)
     change = F.when(F.col("in_h").isNull(), "add").when(F.col("in_w").isNull(), "remove").otherwise("modify")
@@ -102,7 +134,7 @@ def diff(wanted: DataFrame, have: DataFrame, keys: list[str], value: str, flag:
         same &= F.col("wf").eqNullSafe(F.col("hf"))
         x = x.withColumn(flag, F.when(~F.col("wf").eqNullSafe(F.col("hf")), F.coalesce("wf", F.lit(False))))
     if known:
-        none = F.array().cast("array<struct<key:string,value:string>>")
+        none = no_entries()
         less = lambda a, b: F.array_except(F.coalesce(a, none), F.coalesce(b, none))
         x = x.withColumns({"add_metadata": less("wm", "hm"), "remove_metadata": less("hm", "wm")})
         same &= (F.size("add_metadata") == 0) & (F.size("remove_metadata") == 0)

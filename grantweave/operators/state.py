@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .policy import combine
 from .traverse import reach
 
 
@@ -16,24 +17,24 @@ def neighbours(edges: DataFrame, edge_type: str, *kinds: str) -> DataFrame:
 
 def observed_policies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(asset, agent_type, agent, privileges, and metadata if nodes have it): each policy over each of its agents and assets. Privileges
-    of several policies are united; of their metadata the first policy's stands (by id)."""
+    of several policies are united; their metadata is merged key by key, of unlike values the first policy's (by id)."""
     known = ["metadata"] if "metadata" in nodes.columns else []
     policies = nodes.where("node_type = 'policy'").select(F.col("node_id").alias("src_id"), "privileges", *known)
     agents = neighbours(edges.where("src_type = 'policy'"), "granted_to", "user", "group").select("src_id", F.col("dst_type").alias("agent_type"), F.col("dst_id").alias("agent"))
     assets = neighbours(edges.where("src_type = 'policy'"), "governs", "asset").select("src_id", F.col("dst_id").alias("asset"))
-    rows = policies.join(agents, "src_id").join(assets, "src_id")
-    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("privileges")))).alias("privileges")
-    return rows.groupBy("asset", "agent_type", "agent").agg(united, *[F.min_by(c, "src_id").alias(c) for c in known])
+    return combine(policies.join(agents, "src_id").join(assets, "src_id").withColumn("seq", F.col("src_id")))
 
 
 def observed_default_policies(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(defaults with root and agent, violations): a default policy must have exactly one root."""
+    """(defaults with root, agent, metadata if nodes have it, and connector_managed; violations): a default policy must have exactly one root. Only
+    default policies that their connector keeps are in the graph."""
     mine = edges.where("src_type = 'default_policy'")
     roots = neighbours(mine, "provided_default_for_children", "asset").select("src_id", F.col("dst_id").alias("root"))
-    counted = nodes.where("node_type = 'default_policy'").select(F.col("node_id").alias("src_id")).join(roots, "src_id", "left").groupBy("src_id").agg(F.count("root").alias("roots"), F.min("root").alias("root"))
+    known = ["metadata"] if "metadata" in nodes.columns else []
+    p = nodes.where("node_type = 'default_policy'").select(F.col("node_id").alias("src_id"), F.col("matching_path").alias("path"), "target_type", "privileges", *known)
+    counted = p.select("src_id").join(roots, "src_id", "left").groupBy("src_id").agg(F.count("root").alias("roots"), F.min("root").alias("root"))
     agents = neighbours(mine, "granted_to", "user", "group").select("src_id", F.col("dst_type").alias("agent_type"), F.col("dst_id").alias("agent"))
-    p = nodes.where("node_type = 'default_policy'").select(F.col("node_id").alias("src_id"), F.col("matching_path").alias("path"), "target_type", "privileges")
-    found = p.join(counted.where("roots = 1"), "src_id").join(agents, "src_id").select("root", "path", "target_type", "agent_type", "agent", "privileges")
+    found = p.join(counted.where("roots = 1"), "src_id").join(agents, "src_id").select("root", "path", "target_type", "agent_type", "agent", "privileges", *known, F.lit(True).alias("connector_managed"))
     return found, counted.where("roots != 1").select(F.col("src_id").alias("subject"), "roots")
 
 

@@ -51,7 +51,7 @@ DERIVED = {
       UNION ALL SELECT concat('region:', r_regionkey), 1, '/*/*', 'supplier', 'group:all', 'WRITE' FROM {region} WHERE r_regionkey < 3
       UNION ALL SELECT concat('nation:', n_nationkey), 2, '/*', 'supplier', 'group:all', 'OWN' FROM {nation} WHERE n_nationkey % 4 = 0
       UNION ALL SELECT concat('nation:', n_nationkey), 2, '/**', 'supplier', 'group:all', 'MONITOR' FROM {nation} WHERE n_nationkey % 2 = 0""",
-    "explicit_rows": "SELECT concat('supplier:', s_suppkey) AS asset, 'group' AS agent_type, 'group:all' AS agent, CASE WHEN s_suppkey % 3 = 0 THEN 'OWN' WHEN s_suppkey % 3 = 1 THEN 'READ' END AS privilege FROM {supplier} WHERE s_suppkey % 2 = 0",
+    "explicit_rows": "SELECT concat('supplier:', s_suppkey) AS asset, 'group' AS agent_type, 'group:all' AS agent, CASE WHEN s_suppkey % 3 = 0 THEN 'OWN' WHEN s_suppkey % 3 = 1 THEN 'READ' END AS privilege, CASE WHEN s_acctbal > 6000 THEN s_name END AS note FROM {supplier} WHERE s_acctbal > 1000",
 }
 
 

@@ -560,15 +560,15 @@ def op_j03_strict_prefixes(t: Tables) -> DataFrame:
     return build.resolve_prefix(t.pages.select("page_id", F.col("url").alias("cual")), spaces, strict=True).select("page_id", "connector")
 
 
-@query("""SELECT 'd' || r_regionkey AS id, 'region:' || r_regionkey AS root, '/*' AS path, 'user:' || r_regionkey AS agent, 'READ' AS privileges FROM {region} WHERE r_regionkey < 3""")
+@query("""SELECT 'd' || r_regionkey AS id, 'region:' || r_regionkey AS root, '/*' AS path, 'user:' || r_regionkey AS agent, 'READ' AS privileges, 'region=' || r_name AS metadata, true AS connector_managed FROM {region} WHERE r_regionkey < 3""")
 def op_j13_observed_defaults(t: Tables) -> DataFrame:
-    return observed_defaults(t)[0].select(F.concat(F.lit("d"), F.substring_index("root", ":", -1)).alias("id"), "root", "path", "agent", joined("privileges"))
+    return observed_defaults(t)[0].select(F.concat(F.lit("d"), F.substring_index("root", ":", -1)).alias("id"), "root", "path", "agent", joined("privileges"), flat("metadata"), "connector_managed")
 
 
 def observed_defaults(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Default policies of regions; those of region 3 on have two roots, a violation."""
     mine = F.concat(F.lit("d"), "r_regionkey")
-    nodes = t.region.select(F.lit("default_policy").alias("node_type"), mine.alias("node_id"), F.lit("/*").alias("matching_path"), F.lit("nation").alias("target_type"), F.array(F.lit("READ")).alias("privileges"))
+    nodes = t.region.select(F.lit("default_policy").alias("node_type"), mine.alias("node_id"), F.lit("/*").alias("matching_path"), F.lit("nation").alias("target_type"), F.array(F.lit("READ")).alias("privileges"), F.create_map(F.lit("region"), "r_name").alias("metadata"))
     edge = lambda df, kind, c, name: df.select(F.lit("default_policy").alias("src_type"), mine.alias("src_id"), F.lit(kind).alias("dst_type"), c.alias("dst_id"), F.lit(name).alias("edge_type"))
     root = F.concat(F.lit("region:"), "r_regionkey")
     edges = edge(t.region, "asset", root, "provided_default_for_children").union(edge(t.region.where("r_regionkey > 2"), "asset", F.lit("region:x"), "provided_default_for_children"))

@@ -116,30 +116,31 @@ def op_p06_include_list(t: Tables) -> DataFrame:
 
 EXPANDED = graph.COVERED + """, levels AS (SELECT node AS asset, 'group' AS agent_type, agent, lpad(root_depth::VARCHAR, 3, '0') || replace(replace(replace(path, '**', '1'), '*', '2'), '/', '') AS level, privilege FROM covered),
   lv AS (SELECT asset, agent_type, agent, level, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges, 0 AS explicit FROM levels GROUP BY asset, agent_type, agent, level),
-  ex AS (SELECT asset, agent_type, agent, coalesce(string_agg(DISTINCT privilege, ',' ORDER BY privilege), '') AS privileges FROM {explicit_rows} GROUP BY asset, agent_type, agent),
-  every AS (SELECT asset, agent_type, agent, level, privileges, explicit FROM lv UNION ALL SELECT asset, agent_type, agent, NULL, privileges, 1 FROM ex),
+  ex AS (SELECT asset, agent_type, agent, coalesce(string_agg(DISTINCT privilege, ',' ORDER BY privilege), '') AS privileges, coalesce('note=' || max(note), '') AS metadata FROM {explicit_rows} GROUP BY asset, agent_type, agent),
+  every AS (SELECT asset, agent_type, agent, level, privileges, '' AS metadata, explicit FROM lv UNION ALL SELECT asset, agent_type, agent, NULL, privileges, metadata, 1 FROM ex),
   won AS (SELECT *, row_number() OVER (PARTITION BY asset, agent_type, agent ORDER BY explicit DESC, level DESC) AS r FROM every)"""
 
 
 def explicit(t: Tables) -> DataFrame:
-    return t.explicit_rows.groupBy(*policy.AGENT).agg(F.array_sort(F.collect_set("privilege")).alias("privileges"))
+    note = F.max("note")
+    return t.explicit_rows.groupBy(*policy.AGENT).agg(F.array_sort(F.collect_set("privilege")).alias("privileges"), F.when(note.isNotNull(), F.create_map(F.lit("note"), note)).alias("metadata"))
 
 
 def expanded_defaults(t: Tables) -> DataFrame:
     return graph.covered(t).select(F.col("node").alias("asset"), F.lit("group").alias("agent_type"), "agent", "root_depth", "path", F.array("privilege").alias("privileges"))
 
 
-@query(EXPANDED + " SELECT asset, agent, privileges, level, explicit FROM won WHERE r = 1")
+@query(EXPANDED + " SELECT asset, agent, privileges, metadata, level, explicit FROM won WHERE r = 1")
 def op_a09_default_priority(t: Tables) -> DataFrame:
-    return policy.expand(explicit(t), expanded_defaults(t)).select("asset", "agent", joined("privileges"), "level", "explicit")
+    return policy.expand(explicit(t), expanded_defaults(t)).select("asset", "agent", joined("privileges"), flat("metadata"), "level", "explicit")
 
 
 @query(EXPANDED + """, d AS (SELECT asset, agent_type, agent, privileges, row_number() OVER (PARTITION BY asset, agent_type, agent ORDER BY level DESC) AS r FROM lv),
   g AS (SELECT * FROM d WHERE r = 1)
-  SELECT coalesce(ex.asset, g.asset) AS asset, coalesce(ex.agent, g.agent) AS agent, coalesce(ex.privileges, '') AS privileges FROM ex FULL JOIN g ON ex.asset = g.asset AND ex.agent_type = g.agent_type AND ex.agent = g.agent
-  WHERE ex.asset IS NULL OR g.asset IS NULL OR ex.privileges <> g.privileges""")
+  SELECT coalesce(ex.asset, g.asset) AS asset, coalesce(ex.agent, g.agent) AS agent, coalesce(ex.privileges, '') AS privileges, coalesce(ex.metadata, '') AS metadata FROM ex FULL JOIN g ON ex.asset = g.asset AND ex.agent_type = g.agent_type AND ex.agent = g.agent
+  WHERE ex.asset IS NULL OR g.asset IS NULL OR ex.privileges <> g.privileges OR ex.metadata <> ''""")
 def op_m08_compaction(t: Tables) -> DataFrame:
-    return policy.compact(explicit(t), expanded_defaults(t)).select("asset", "agent", joined("privileges"))
+    return policy.compact(explicit(t), expanded_defaults(t)).select("asset", "agent", joined("privileges"), flat("metadata"))
 
 
 def every_policy(t: Tables) -> DataFrame:
@@ -332,13 +333,34 @@ def op_m06_violations(t: Tables) -> DataFrame:
     )
 
 
-LAST = "WITH f AS (SELECT o_orderpriority AS file, o_custkey AS a, o_orderkey AS seq, o_orderstatus AS p FROM {orders}), l AS (SELECT file, a, arg_max(p, seq) AS p FROM f GROUP BY file, a)"
+ORDERED = """WITH f AS (SELECT o_orderpriority AS file, concat('customer:', o_custkey) AS asset, o_orderkey AS seq, o_orderstatus AS p, CAST(o_orderdate AS VARCHAR) AS d FROM {orders})"""
+LAST = ORDERED + ", l AS (SELECT file, asset, max(seq) AS seq, arg_max(p, seq) AS p, arg_max(d, seq) AS d FROM f GROUP BY file, asset)"
+#: Metadata of a row, from an entry that all have and one that its status names; then merged key by key.
+MERGING = """, e AS (SELECT asset, 'date' AS k, d AS v, seq FROM {} UNION ALL SELECT asset, concat('status ', p), file, seq FROM {}),
+  m AS (SELECT asset, string_agg(k || '=' || v, ',' ORDER BY k) AS metadata FROM (SELECT asset, k, arg_min(v, seq) AS v FROM e GROUP BY asset, k) GROUP BY asset)
+  SELECT asset, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges, any_value(metadata) AS metadata FROM {} JOIN m USING (asset) GROUP BY asset"""
 
 
-@query(LAST + " SELECT concat('customer:', a) AS asset, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges FROM l GROUP BY a")
+def in_files(t: Tables) -> DataFrame:
+    metadata = F.create_map(F.lit("date"), F.col("o_orderdate").cast("string"), F.concat(F.lit("status "), "o_orderstatus"), F.col("o_orderpriority"))
+    rows = t.orders.select(F.col("o_orderpriority").alias("file"), F.concat(F.lit("customer:"), "o_custkey").alias("asset"), F.array("o_orderstatus").alias("privileges"), F.col("o_orderkey").alias("seq"), metadata.alias("metadata"))
+    return rows.withColumns({"agent_type": F.lit("user"), "agent": F.lit("u")})
+
+
+@query(LAST + MERGING.replace("{}", "l"))
 def op_m07_last_in_file(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_orderpriority").alias("file"), F.concat(F.lit("customer:"), "o_custkey").alias("asset"), F.lit("user").alias("agent_type"), F.lit("u").alias("agent"), F.array("o_orderstatus").alias("privileges"), F.col("o_orderkey").alias("seq"))
-    return policy.last_in_file(rows).select("asset", joined("privileges"))
+    return policy.last_in_file(in_files(t)).select("asset", joined("privileges"), flat("metadata"))
+
+
+@query(ORDERED + MERGING.replace("{}", "f"))
+def op_a08_combined_policies(t: Tables) -> DataFrame:
+    return policy.combine(in_files(t)).select("asset", joined("privileges"), flat("metadata"))
+
+
+@query(ORDERED + """, e AS (SELECT asset, 'date' AS k, d AS v, seq FROM f UNION ALL SELECT asset, concat('status ', p), file, seq FROM f), c AS (SELECT asset, k, arg_min(v, seq) AS kept, list_sort(list_distinct(list(v))) AS vs FROM e GROUP BY asset, k)
+  SELECT asset, k AS "key", kept, array_to_string(list_filter(vs, lambda v: v <> kept), ',') AS given_up FROM c WHERE len(vs) > 1""")
+def op_a08_metadata_conflicts(t: Tables) -> DataFrame:
+    return policy.metadata_conflicts(in_files(t)).select("asset", "key", "kept", joined("given_up"))
 
 
 @query(FOLD + """, f AS (SELECT asset, privileges, list(CASE WHEN agent = 'user:1' THEN 'user:2' ELSE agent END) AS us FROM p GROUP BY asset, privileges)

@@ -1,5 +1,7 @@
 import json
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grantweave.operators import policy
@@ -42,10 +44,37 @@ def test_policy_diff(spark):
     assert found == {"a": ("modify", ["X"], ["Z"]), "b": ("add", ["X"], []), "c": ("remove", [], ["X"]), "d": ("remove", [], ["W"])}
 
 
-def test_combination(spark):
-    rows = spark.createDataFrame([("a", "user", "u", ["X"], {"k": "1"}, 1), ("a", "user", "u", ["Y"], {"k": "2"}, 2)], STATE + ", metadata map<string,string>, seq int")
-    row = policy.combine(rows).first()
-    assert row.privileges == ["X", "Y"] and row.metadata == {"k": "1"}
+WITH_METADATA = STATE + ", metadata map<string,string>, seq int"
+
+
+def test_metadata_merges_key_by_key(spark):
+    rows = spark.createDataFrame([("a", "user", "u", ["X"], {"k": "1"}, 1), ("a", "user", "u", ["Y"], {"k": "2", "y": "3"}, 2), ("b", "user", "u", ["Z"], None, 3)], WITH_METADATA)
+    found = {r.asset: (r.privileges, r.metadata) for r in policy.combine(rows).collect()}
+    assert found == {"a": (["X", "Y"], {"k": "1", "y": "3"}), "b": (["Z"], {})}
+    assert [tuple(r)[3:] for r in policy.metadata_conflicts(rows).collect()] == [("k", "1", ["2"])]
+
+
+def test_metadata_of_the_last_row_in_each_file(spark):
+    rows = [("f", "a", "user", "u", ["X"], {"x": "1"}, 1), ("f", "a", "user", "u", ["Y"], {"y": "2"}, 2), ("g", "a", "user", "u", ["Z"], {"y": "3", "z": "4"}, 3)]
+    r = policy.last_in_file(spark.createDataFrame(rows, "file string, " + WITH_METADATA)).first()
+    assert r.privileges == ["Y", "Z"] and r.metadata == {"y": "2", "z": "4"}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.sampled_from("stuvw"), st.tuples(st.sampled_from([["A"], ["B"], ["A", "B"]]), st.dictionaries(st.sampled_from("xy"), st.sampled_from("12"), max_size=2))))
+def test_expanding_what_was_compacted(spark, policies):
+    d = defaults(spark, ("s", "g", 2, "/*", ["A"]), ("s", "g", 1, "/**", ["B"]), ("t", "g", 1, "/*", ["B"]), ("u", "g", 1, "/*", ["A"]))
+    wanted = spark.createDataFrame([(a, "group", "g", p, m) for a, (p, m) in policies.items()], STATE + ", metadata map<string,string>")
+    small = policy.compact(wanted, d)
+    back = {r.asset: (r.privileges, r.metadata) for r in policy.expand(small, d).collect() if r.privileges}
+    assert back == policies
+    assert all(r.metadata or r.privileges != {"s": ["A"], "t": ["B"], "u": ["A"]}.get(r.asset) for r in small.collect())
+
+
+def test_metadata_on_one_side_is_a_difference(spark):
+    wanted = spark.createDataFrame([("a", "group", "g", ["X"], {"k": "1"})], STATE + ", metadata map<string,string>")
+    row = policy.policy_diff(wanted, state(spark, ("a", "g", ["X"]))).first()
+    assert row.change == "modify" and row.add_metadata == {"k": "1"} and row.remove_metadata == {}
 
 
 def test_missing_policies_become_empty_ones(spark):
