@@ -31,8 +31,8 @@ from .common import materialize, small_batches
 from .token_ids import BYTE_LEVEL, PIECES, SPACE, byte_level, pieces
 from .word_runs import Interned
 
-#: Pairs whose counts are broadcast (17 bytes each); bytes of the texts aligned together (a longer text goes alone).
-ENTRIES, TOGETHER = 1 << 17, 4 << 20
+#: Pairs whose counts are broadcast (17 bytes each); characters of the texts aligned together (a longer text goes alone); pieces remembered by each tokenizer.
+ENTRIES, TOGETHER, REMEMBERED = 1 << 17, 2 << 20, 1 << 17
 #: From the spaces before a word to the next space that follows something else than white space.
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, keys array<long>, ns array<long>"
@@ -60,10 +60,11 @@ FROM (SELECT doc, seg, count(*) AS n FROM occurs GROUP BY doc, seg) o JOIN links
 class Aligner:
     def __init__(self, first: str, second: str):
         self.a, self.b = byte_level(first, True), pieces(second)
+        self.a.known.size = self.b.known.size = REMEMBERED
         self.spelled_a, self.spelled_b = self.a.spelled(), self.b.spelled()
-        self.long_a, self.long_b = (np.array([len(x) for x in s], np.int64) for s in (self.spelled_a, self.spelled_b))
+        self.long_a, self.long_b = (np.array([len(x) for x in s], np.int32) for s in (self.spelled_a, self.spelled_b))
         self.names = [f"{i}{end}" for i in range(max(len(self.long_a), len(self.long_b))) for end in ",|;"]  # inside a group, after A's ids, after B's
-        self.base = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+        self.base = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         self.base.execute("SET preserve_insertion_order = false")
 
     def segments(self, text: str) -> list[str]:
@@ -76,9 +77,9 @@ class Aligner:
     def intervals(self, ids: list[bytes], long: np.ndarray) -> tuple[np.ndarray, pa.Table]:
         """Tokens of each segment, and all tokens with their byte range in the segments put one after another."""
         n = np.array([len(x) // 4 for x in ids], np.int64)
-        every = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        end = np.cumsum(long[every])
-        return n, pa.table({"seg": np.repeat(np.arange(len(ids)), n), "i": np.arange(len(every)), "id": every, "s": end - long[every], "e": end})
+        every = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        end = np.cumsum(long[every], dtype=np.int32)  # a batch of texts stays under 2^31 bytes
+        return n, pa.table({"seg": np.repeat(np.arange(len(ids), dtype=np.int32), n), "i": np.arange(len(every), dtype=np.int32), "id": every, "s": end - long[every], "e": end})
 
     def spelt(self, ids: list[bytes], spelled: list[bytes], segments: list[str]) -> np.ndarray:
         """Which segments their tokens spell; all are compared at once, and one by one only where that fails."""
@@ -93,7 +94,7 @@ class Aligner:
     def __call__(self, texts: list[str], shown: bool) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
         """Per text its columns; the pairs of all texts and their counts."""
         known = Interned()
-        parts = [np.fromiter(map(known.__getitem__, s), np.int64, len(s)) for s in map(self.segments, texts)]
+        parts = [np.fromiter(map(known.__getitem__, s), np.int32, len(s)) for s in map(self.segments, texts)]
         segments = list(known)
         ids_a, ids_b = self.a.many(segments), self.b.many(segments)
         fine = self.spelt(ids_a, self.spelled_a, segments) & self.spelt(ids_b, self.spelled_b, segments)
@@ -102,7 +103,7 @@ class Aligner:
         (n_a, a), (n_b, b) = self.intervals(ids_a, self.long_a), self.intervals(ids_b, self.long_b)
         parts = [p if fine[p].all() else p[:0] for p in parts]
         sizes = np.array([len(p) for p in parts], np.int64)
-        occurs = pa.table({"doc": np.repeat(np.arange(len(parts)), sizes), "seg": np.concatenate([*parts, np.empty(0, np.int64)])})
+        occurs = pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), sizes), "seg": np.concatenate([*parts, np.empty(0, np.int32)])})
         for name, rows in (("a", a), ("b", b), ("occurs", occurs)):
             self.base.register(f"{name}_rows", rows)
             self.base.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM {name}_rows")
@@ -116,6 +117,8 @@ class Aligner:
         self.base.execute(COUNTED.format(width=len(self.long_b)))
         found = self.base.execute("SELECT doc, pair, n FROM counted ORDER BY doc, pair").fetchnumpy()
         whole = self.base.execute("SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair ORDER BY pair").fetchnumpy()
+        for name in ("a", "b", "occurs", "links", "counted"):
+            self.base.execute(f"DROP TABLE {name}")
         cuts = np.searchsorted(found["doc"], np.arange(1, len(parts)))
         keys, ns = np.split(found["pair"], cuts), np.split(found["n"], cuts)
         lines = ["".join(map(strings.__getitem__, p.tolist()))[:-1] for p in parts]

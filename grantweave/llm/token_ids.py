@@ -39,7 +39,7 @@ class Known(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.size = encode, {}, CACHE
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -50,7 +50,7 @@ class Known(dict):
         return ids
 
     def keep(self, piece: str, ids: bytes) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
