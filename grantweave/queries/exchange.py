@@ -3,7 +3,7 @@ reads them back through the library. Documents hold a bounded number of rows eac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import capabilities
@@ -11,7 +11,7 @@ from ..functions import cual, names, paths
 from ..operators import assemble, build, explore, permissions, policy, state, traverse, validate, warehouse
 from ..plans import bi_rest, warehouse_sql
 from ..sinks import export
-from ..sources import bi, config_yaml, connector, exports, manifest
+from ..sources import bi, config_yaml, connector, exports, manifest, paged
 from ..storage import shared_path
 from . import governance
 from .derived import Tables
@@ -209,6 +209,35 @@ def op_s12_future_grants_scan(t: Tables) -> DataFrame:
     return warehouse.future_grants_to_defaults(warehouse.future_grant_scan(got)).select("role", "root", "path", "target_type", joined("privileges"))
 
 
+def saved_pages(rows: DataFrame, resource: str, place: str, size: int, key: str) -> str:
+    """The path of each resource's rows as pages of ``size`` entries, with their pagination."""
+    outer, inner = place.split(".")
+    total = rows.groupBy(resource).agg(F.count("*").alias("total"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(resource).orderBy(key))).join(total, resource)
+    fields = [c for c in rows.columns if c != resource]
+    pages = numbered.groupBy(F.col(resource).alias("resource"), F.ceil(F.col("n") / size).cast("int").alias("page"), "total").agg(F.collect_list(F.struct(*fields)).alias("items"))
+    info = F.struct(F.lit(str(size)).alias("pageSize"), F.col("total").cast("string").alias("totalAvailable"))
+    path = shared_path(rows.sparkSession)
+    pages.select("resource", "page", F.to_json(F.struct(info.alias("pagination"), F.struct(F.col("items").alias(inner)).alias(outer))).alias("value")).write.partitionBy("resource", "page").text(path)
+    return path
+
+
+@query("SELECT c_mktsegment AS resource, 'u' || c_custkey AS id, c_name AS name, c_acctbal < 0 AS disabled FROM {customer} WHERE c_acctbal >= 0")
+def op_s13_paged_users(t: Tables) -> DataFrame:
+    """Users of sites, page by page; disabled ones are left out by the reader."""
+    rows = t.customer.select("c_mktsegment", F.concat(F.lit("u"), "c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") < 0).alias("disabled"))
+    entries = paged.answers(t.spark, saved_pages(rows, "c_mktsegment", "users.user", 100, "id"), "users.user", "id string, name string, disabled boolean")
+    return entries.where("disabled = false").select("resource", "id", "name", "disabled")
+
+
+@query("SELECT p_brand AS role, p_name AS name, min(p_type) AS kind FROM {part} WHERE p_size <= 45 GROUP BY p_brand, p_name")
+def op_s12_grants_by_role(t: Tables) -> DataFrame:
+    """Grants of every role, a request list per role; grants that were taken back are left out by the reader."""
+    rows = t.part.select("p_brand", F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.when(F.col("p_size") > 45, "gone").alias("deleted_on"))
+    entries = paged.answers(t.spark, saved_pages(rows, "p_brand", "data.grants", 50, "id"), "data.grants", "id string, name string, kind string, deleted_on string")
+    return entries.where("deleted_on IS NULL").groupBy(F.col("resource").alias("role"), "name").agg(F.min("kind").alias("kind"))
+
+
 # BI answers
 
 

@@ -23,6 +23,14 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base}/grantweave-{uuid.uuid4().hex}"
 
 
+def filesystem(path: str):
+    """For tasks that read files themselves: a file system for a path or address, the path in it, and a function that lists a folder."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system, at, lambda folder: sorted(x.path for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: loops keep short plans, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession)

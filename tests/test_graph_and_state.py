@@ -47,7 +47,7 @@ def test_observed_state(spark):
     g = graph(spark)
     assert [tuple(r) for r in state.observed_policies(g.nodes, g.edges).collect()] == [("a", "group", "g1", ["P"])]
     found, wrong = state.observed_default_policies(g.nodes, g.edges)
-    assert [tuple(r) for r in found.collect()] == [("a", "/*", "table", "group", "g3", ["P"])] and not wrong.count()
+    assert [tuple(r) for r in found.collect()] == [("a", "/*", "table", "group", "g3", ["P"], True)] and not wrong.count()
     assert {r.name: r.groups for r in state.observed_memberships(spark.createDataFrame([("u",), ("x",)], "name string"), g.edges).collect()} == {"u": ["g1", "g2"], "x": []}
 
 
