@@ -7,22 +7,29 @@ directly tagged asset, walk a graph without the removed assets, and a base is ne
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .traverse import paths, reach
+from .traverse import MERGED, paths, reach
+
+#: Patterns that one automaton holds.
+SLICE = 100_000
 
 
 def spread(arcs: DataFrame, bases: DataFrame, removed: DataFrame) -> DataFrame:
     """(tag, base, asset) for every asset that (tag, base) reaches without touching the tag's removed assets."""
     frontier = stored(bases.select("tag", "base", F.col("base").alias("asset")))
-    seen = frontier
+    levels = [frontier]
     while not frontier.isEmpty():
+        seen = reduce(DataFrame.union, levels)
         step = frontier.join(arcs.withColumnRenamed("src", "asset"), "asset").select("tag", "base", F.col("dst").alias("asset")).distinct()
         frontier = stored(step.join(removed, ["tag", "asset"], "left_anti").join(seen, ["tag", "base", "asset"], "left_anti"))
-        seen = seen.union(frontier)
-    return seen.where("asset != base")
+        levels = [stored(seen), frontier] if len(levels) == MERGED else [*levels, frontier]
+    return reduce(DataFrame.union, levels).where("asset != base")
 
 
 def assets_for_tags(tags: DataFrame, applied: DataFrame, removed: DataFrame, hierarchy: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -85,14 +92,50 @@ def tag_paths(tags: DataFrame, applied: DataFrame, removed: DataFrame, hierarchy
     return clean.select("tag", "asset", F.concat(F.array(mark(F.col("tag"))), "path").alias("path")).distinct()
 
 
+def containing(names: DataFrame, column: str, patterns: DataFrame, most: int = SLICE) -> DataFrame:
+    """``names`` once for each of the patterns (column key) that its ``column`` contains, with that key.
+
+    Patterns are taken in slices of about ``most``; a slice is a trie with failure links (Aho-Corasick) in each task, which reads
+    every name once, whatever the number of patterns. An empty pattern is in every name; null names and patterns match nothing.
+    """
+    spark = names.sparkSession
+    known = stored(patterns.where("key IS NOT NULL").distinct())
+    slices = max(1, -(-known.count() // most))
+    schema = names.withColumn("key", F.lit("")).schema
+    found = []
+    for i in range(slices):
+        held = spark.sparkContext.broadcast([r.key for r in known.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i).collect()])
+
+        def search(batches, held=held):
+            import ahocorasick
+
+            trie, always = ahocorasick.Automaton(), [k for k in held.value if not k]
+            for k in held.value:
+                if k:
+                    trie.add_word(k, k)
+            if len(trie):
+                trie.make_automaton()
+            for b in batches:
+                at, keys = [], []
+                for place, text in enumerate(b[column]):
+                    if text is not None:
+                        hits = {*always, *(k for _, k in trie.iter(text))} if len(trie) else set(always)
+                        at += [place] * len(hits)
+                        keys += hits
+                yield b.iloc[at].assign(key=np.array(keys, object))
+
+        found.append(names.mapInPandas(search, schema))
+    return reduce(DataFrame.union, found)
+
+
 def match_targets(targets: DataFrame, assets: DataFrame) -> DataFrame:
     """(targets' columns, asset, outcome) for (pattern, kind or null) against assets (asset, kind).
 
     A pattern matches names that end with it; if none does, whatever the case; if that isn't exactly one, names that
     contain it. One match is accepted; none is "no match" ("bad type" if only other kinds match), more are "too many".
 
-    Endings are joined as keys: every name is cut at the lengths that patterns have. Only patterns that this leaves open are
-    compared with all names.
+    Endings are joined as keys: every name is cut at the lengths that patterns have. The patterns that this leaves open are looked for in all
+    names at once, by an automaton.
     """
     keys = targets.columns
     wanted = targets.distinct().withColumn("key", F.lower("pattern"))
@@ -107,8 +150,8 @@ def match_targets(targets: DataFrame, assets: DataFrame) -> DataFrame:
     settled = F.when(F.col("n1") == 1, F.col("a1")).when((F.col("n1") == 0) & (F.col("n2") == 1), F.col("a2"))
     done = got.where(settled.isNotNull()).select(*keys, settled.alias("asset"), F.lit("matched").alias("outcome"))
     left = got.where(settled.isNull()).select(*keys)
-    # patterns are configuration, so the few that are left are broadcast to the names
-    some = named.join(F.broadcast(left), F.contains(F.lower("asset"), F.lower("pattern"))).groupBy(*keys).agg(*one(F.lit(True), 3), F.count("*").alias("any"))
+    found = containing(named.withColumn("low", F.lower("asset")), "low", left.select(F.lower("pattern").alias("key")))
+    some = left.withColumn("key", F.lower("pattern")).join(found, "key").groupBy(*keys).agg(*one(F.lit(True), 3), F.count("*").alias("any"))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     held = left.alias("l").join(some.alias("s"), on, "left").select("l.*", F.coalesce("s.n3", F.lit(0)).alias("n3"), "s.a3", F.coalesce("s.any", F.lit(0)).alias("any"))
     asset = F.when(F.col("n3") == 1, F.col("a3"))

@@ -55,11 +55,13 @@ def hop(arcs: DataFrame, sources: DataFrame, target: DataFrame | None = None) ->
     return found if target is None else found.join(target.select("node"), "node", "left_semi").select("source", "node")
 
 
-def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = None, target: DataFrame | None = None, stop: DataFrame | None = None, min_depth: int = 1, max_depth: int | None = None, most: int = MOST) -> DataFrame:
+def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = None, target: DataFrame | None = None, stop: DataFrame | None = None, min_depth: int = 1, max_depth: int | None = None, most: int = MOST, useful: DataFrame | None = None) -> DataFrame:
     """(source, node, path, depth): all simple paths, ends included, to every target.
 
     Their number can grow without bound where nodes have many ways to each other: more than ``most`` are an error, never a cut.
     ``stop`` (source, node): a path that meets its source's stop node ends there, and only such paths are returned.
+    ``useful`` (source, node, left): the nodes that a source's paths may enter, with the hops they need from there at least; no step to another node, or
+    to one too far for ``max_depth``, is stored.
     """
     arcs = arcs.select("src", "dst").distinct()
     through = None if passthrough is None else passthrough.select("node").distinct()
@@ -69,6 +71,9 @@ def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = N
         depth += 1
         step = frontier.join(arcs.withColumnRenamed("src", "node"), "node").where(~F.array_contains("path", F.col("dst")))
         step = step.select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        if useful is not None:
+            near = useful if max_depth is None else useful.where(F.col("left") <= max_depth - depth)
+            step = step.join(near.select("source", "node"), ["source", "node"], "left_semi")
         if stop is not None:
             ends = stop.select("source", "node", F.lit(True).alias("ends"))
             step = step.join(ends, ["source", "node"], "left")
@@ -94,8 +99,17 @@ def paths(arcs: DataFrame, sources: DataFrame, passthrough: DataFrame | None = N
 
 
 def paths_between(arcs: DataFrame, pairs: DataFrame, passthrough: DataFrame | None = None, min_depth: int = 1, max_depth: int | None = None) -> DataFrame:
-    """All simple paths from ``source`` to ``node`` for each pair; a path ends at its first visit."""
-    return paths(arcs, pairs.select("source"), passthrough, None, pairs.select("source", "node").distinct(), min_depth, max_depth)
+    """All simple paths from ``source`` to ``node`` for each pair; a path ends at its first visit.
+
+    The hops from every node to the targets are found first, against the arcs, so paths only enter nodes from which their source's target
+    can still be reached in time.
+    """
+    pairs = pairs.select("source", "node").distinct()
+    back = reach(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("node").alias("source")).distinct(), passthrough, max_depth=max_depth)
+    ends = pairs.select("source", "node", F.lit(0).alias("left"))
+    before = pairs.withColumnRenamed("node", "end").join(back.select(F.col("source").alias("end"), "node", F.col("depth").alias("left")), "end").select("source", "node", "left")
+    useful = stored(ends.union(before).groupBy("source", "node").agg(F.min("left").alias("left")))
+    return paths(arcs, pairs.select("source"), passthrough, None, pairs, min_depth, max_depth, useful=useful)
 
 
 def subgraph(arcs: DataFrame, centre: Column | str, max_depth: int) -> DataFrame:
@@ -125,11 +139,23 @@ def default_targets(parents: DataFrame, policies: DataFrame, kinds: DataFrame) -
 
 
 def ancestor_chain(parent_of: DataFrame) -> DataFrame:
-    """(node, chain): ancestors of each node of (child, parent), the nearest first; roots have an empty chain."""
-    up = paths(parent_of.select(F.col("child").alias("src"), F.col("parent").alias("dst")), parent_of.select(F.col("child").alias("source")))
-    longest = up.groupBy(F.col("source").alias("node")).agg(F.max_by(F.slice("path", 2, 1 << 30), "depth").alias("chain"))
+    """(node, chain): ancestors of each node of (child, parent), the nearest first; roots have an empty chain. Of several parents the least
+    counts; on a cycle a chain ends before it meets a node again.
+
+    Chains double: with 2^k ancestors known, the chain of the last of them is put on, so rounds are the logarithm of the depth. Only
+    chains that may go on are looked up.
+    """
+    up = parent_of.where("child IS NOT NULL AND parent IS NOT NULL").groupBy("child").agg(F.min("parent").alias("parent"))
+    chains = stored(up.select(F.col("child").alias("node"), F.when(F.col("child") == F.col("parent"), F.array().cast("array<string>")).otherwise(F.array("parent")).alias("chain"), (F.col("child") != F.col("parent")).alias("open")))
+    while not chains.where("open").isEmpty():
+        further = chains.select(F.col("node").alias("last"), F.col("chain").alias("more"), F.col("open").alias("further"))
+        grown = chains.where("open").withColumn("last", F.element_at("chain", -1)).join(further, "last", "left")
+        whole = F.concat(F.array("node"), "chain", F.coalesce("more", F.array().cast("array<string>")))
+        grown = grown.select("node", whole.alias("whole"), F.array_distinct(whole).alias("once"), F.coalesce("further", F.lit(False)).alias("further"))
+        grown = grown.select("node", F.slice("once", 2, 1 << 30).alias("chain"), (F.col("further") & (F.size("once") == F.size("whole"))).alias("open"))
+        chains = stored(chains.where("NOT open").union(grown))
     every = parent_of.select(F.col("child").alias("node")).union(parent_of.select(F.col("parent").alias("node"))).where("node IS NOT NULL").distinct()
-    return every.join(longest, "node", "left").select("node", F.coalesce("chain", F.array().cast("array<string>")).alias("chain"))
+    return every.join(chains.select("node", "chain"), "node", "left").select("node", F.coalesce("chain", F.array().cast("array<string>")).alias("chain"))
 
 
 def contract(arcs: DataFrame, ephemeral: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ from itertools import product
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from grantweave.operators import tags
 
 
@@ -77,3 +79,20 @@ def test_target_matching(spark):
     assert one(target(("A", None)), assets("::a", "::b")) == [("::a", "matched")]
     assert one(target(("b", "view")), assets("::a", "::b")) == [(None, "bad type")]
     assert one(target(("zz", None)), assets("::a")) == [(None, "no match")]
+
+
+def test_thousands_of_patterns_in_one_pass(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    names = sorted({word(rng.randrange(3, 14)) for _ in range(400)})
+    patterns = sorted({word(rng.randrange(1, 7)) for _ in range(1500)} | {""})
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "low string").withColumn("extra", F.lit(1))
+    expected = {(n, p) for n in names for p in patterns if p in n}
+    for most in (100_000, 300):
+        found = tags.containing(df, "low", spark.createDataFrame([(p,) for p in patterns] + [(None,)], "key string"), most)
+        rows = [(r.low, r.key) for r in found.collect()]
+        assert set(rows) == expected and len(rows) == len(expected)
+    assets = spark.createDataFrame([(n, "t") for n in names], "asset string, kind string")
+    targets = spark.createDataFrame([(p, k) for p in patterns for k in (None, "t", "v")], "pattern string, kind string")
+    plan = tags.match_targets(targets, assets)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -94,3 +94,56 @@ def test_reach_agrees_with_paths(spark, seed):
     for r in traverse.paths(g, sources).collect():
         shortest[r.source, r.node] = min(r.depth, shortest.get((r.source, r.node), 99))
     assert all(reached[k] == d for k, d in shortest.items())
+
+
+def test_paths_do_not_enter_dead_ends(spark, monkeypatch):
+    trunk = [("s", "a"), ("a", "b"), ("b", "t")]
+    dead = [("s", f"x{i}") for i in range(20)] + [(f"x{i}", f"y{j}") for i in range(20) for j in range(20)] + [("t", "z"), ("z", "z2")]
+    steps, keep = [], traverse.stored
+
+    def counted(df):
+        out = keep(df)
+        if "path" in out.columns:
+            steps.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "stored", counted)
+    pairs = spark.createDataFrame([("s", "t")], "source string, node string")
+    found = traverse.paths_between(arcs(spark, trunk + dead), pairs)
+    assert [r.path for r in found.collect()] == [["s", "a", "b", "t"]]
+    assert sum(steps) == 3
+    steps.clear()
+    assert traverse.paths_between(arcs(spark, trunk + dead), pairs, max_depth=2).count() == 0
+    assert sum(steps) == 0  # the first step is too far from the target already
+
+
+def test_paths_between_on_random_graphs(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        names = "abcdefg"
+        pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(12)})
+        inner = [n for n in names if rng.random() < 0.7]
+        ends = [("a", "e"), ("a", "f"), ("b", "a")]
+
+        def walk(path, stops, pairs=pairs, inner=inner):
+            for s, d in pairs:
+                if s == path[-1] and d not in path:
+                    if d in stops:
+                        yield (*path, d)
+                    elif d in inner:
+                        yield from walk((*path, d), stops)
+
+        expected = {p for s in {s for s, _ in ends} for p in walk((s,), {e for x, e in ends if x == s}) if len(p) <= 5}
+        found = traverse.paths_between(arcs(spark, pairs), spark.createDataFrame(ends, "source string, node string"), nodes(spark, *inner), max_depth=4)
+        assert {tuple(r.path) for r in found.collect()} == expected
+
+
+def test_chains_double(spark, monkeypatch):
+    rounds, keep = [], traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df: rounds.append(1) or keep(df))
+    depth = 40
+    rows = [(f"n{i + 1}", f"n{i}") for i in range(depth)] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("into", "c1"), ("self", "self"), ("two", "n5"), ("two", "n3"), (None, "n1"), ("n0", None)]
+    chain = {r.node: r.chain for r in traverse.ancestor_chain(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    assert all(chain[f"n{i}"] == [f"n{j}" for j in range(i - 1, -1, -1)] for i in range(depth + 1))
+    assert chain["c1"] == ["c2", "c3"] and chain["into"] == ["c1", "c2", "c3"] and chain["self"] == [] and chain["two"] == ["n3", "n2", "n1", "n0"]
+    assert len(rounds) <= 8  # 40 ancestors: 1, 2, 4, ... 64
