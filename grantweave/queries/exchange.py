@@ -424,6 +424,34 @@ def op_s19_yaml_users(t: Tables) -> DataFrame:
     return found.select("name", F.col("identifiers")["crm"].alias("local"), joined("groups"))
 
 
+def nation_files(t: Tables) -> str:
+    """A file of users for each nation: where a name is missing, in the region 3, or a list is never closed, in the region 2."""
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when((F.col("n_regionkey") == 3) & (F.col("c_acctbal") < 0), "- groups: [none]").otherwise(F.concat(F.lit("- name: "), "c_name"))
+    entries = rows.groupBy(F.col("n_nationkey").alias("doc"), "n_regionkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", name.alias("x")))).alias("xs"))
+    text = F.array_join(F.transform("xs", lambda x: x["x"]), "\n")
+    return landed(entries.select("doc", F.when(F.col("n_regionkey") == 2, F.concat(F.lit("- name: [\n"), text)).otherwise(text).alias("value")))
+
+
+CONFIGURED = "WITH c AS (SELECT n_nationkey AS doc, n_regionkey AS r, c_name, c_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS line FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey)"
+
+
+def document_number() -> Column:
+    return F.regexp_extract("file", "doc=([0-9]+)", 1).cast("long").alias("doc")
+
+
+@query(CONFIGURED + """ SELECT doc, line::INTEGER AS line, 3 AS "column", 'name is missing' AS message, '- groups: [none]' AS context FROM c WHERE r = 3 AND c_acctbal < 0
+  UNION ALL SELECT doc, 2, 1, 'while parsing a flow node expected the node content', '- name: ' || c_name FROM c WHERE r = 2 AND line = 1""")
+def op_f24_configuration_errors(t: Tables) -> DataFrame:
+    found = config_yaml.problems(t.spark, nation_files(t), files="*", required=("name",))
+    return found.select(document_number(), "line", "column", F.substring_index("message", ",", 1).alias("message"), "context")
+
+
+@query(CONFIGURED + " SELECT doc, c_name AS name FROM c WHERE r <> 2 AND NOT (r = 3 AND c_acctbal < 0)")
+def op_s19_files_beside_broken_ones(t: Tables) -> DataFrame:
+    return config_yaml.read(t.spark, nation_files(t), config_yaml.USERS, files="*", required=("name",), strict=False).select(document_number(), "name")
+
+
 @query("SELECT n_name AS name, 'REGION ' || n_regionkey AS member_of FROM {nation}")
 def op_s20_yaml_groups(t: Tables) -> DataFrame:
     item = F.struct(F.col("n_name").alias("name"), F.array(F.concat(F.lit("REGION "), "n_regionkey")).alias("member of"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 USERS = "array<struct<name:string, identifiers:map<string,string>, groups:array<string>>>"
 GROUPS = "array<struct<name:string, identifiers:map<string,string>, `member of`:array<string>>>"
@@ -18,23 +18,83 @@ TAGS = """map<string, struct<description:string, value:string, pass_through_line
   apply_to:array<string>, remove_from:array<string>>>"""
 
 
-@F.pandas_udf(T.StringType())
-def yaml_to_json(texts: pd.Series) -> pd.Series:
+PARSED = "json string, problems array<struct<line:int, column:int, message:string, context:string>>"
+FILES = "*.y*ml"
+
+
+def parse(text: str | None, many: bool, required: list[str]) -> tuple[str | None, list[dict]]:
+    """A document's entries as JSON, without broken ones, and what is wrong: place (lines and columns count from 1), message and the line itself."""
     import yaml
 
-    return texts.map(lambda t: None if t is None else json.dumps(yaml.safe_load(t)))
+    if text is None:
+        return None, []
+    lines, problems = text.splitlines(), []
+
+    def problem(mark, message: str) -> None:
+        problems.append({"line": mark.line + 1, "column": mark.column + 1, "message": message, "context": lines[mark.line] if mark.line < len(lines) else ""})
+
+    try:
+        root = yaml.compose(text, yaml.SafeLoader)
+    except yaml.MarkedYAMLError as e:
+        problem(e.problem_mark or e.context_mark, " ".join(filter(None, (e.context, e.problem))))
+        return None, problems
+    except yaml.YAMLError as e:  # characters that no document may hold
+        return None, [{"line": None, "column": None, "message": str(e).splitlines()[0], "context": ""}]
+    if root is None:
+        return ("[]" if many else "{}"), []
+    make, out = yaml.SafeLoader(""), []
+    value = lambda node: make.construct_object(node, deep=True)
+    if not many:
+        if not isinstance(root, yaml.MappingNode):
+            problem(root.start_mark, "expected a mapping")
+            return None, problems
+        entries = root.value
+    else:
+        entries = [(None, node) for node in (root.value if isinstance(root, yaml.SequenceNode) else [root])]
+    for key, node in entries:
+        if not isinstance(node, yaml.MappingNode):
+            problem(node.start_mark, "expected a mapping")
+            continue
+        missing = [name for name in required if name not in {k.value for k, _ in node.value}]
+        for name in missing:
+            problem(node.start_mark, f"{name} is missing")
+        try:
+            made = (None if key is None else value(key), value(node))
+        except yaml.MarkedYAMLError as e:
+            problem(e.problem_mark, e.problem)
+            continue
+        if not missing:
+            out.append(made)
+    return json.dumps([v for _, v in out] if many else dict(out)), problems
+
+
+def parsed(spark: SparkSession, path: str, many: bool, files: str, required: tuple[str, ...]) -> DataFrame:
+    """(file, json, problems): a row per file."""
+
+    @F.pandas_udf(PARSED)
+    def parser(texts: pd.Series) -> pd.DataFrame:
+        found = [parse(t, many, list(required)) for t in texts]
+        return pd.DataFrame({"json": np.array([j for j, _ in found], object), "problems": [p for _, p in found]})
 
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
+    # not input_file_name(): beside a Python function it can name the file of a later row
+    return raw.select(F.col("_metadata.file_path").alias("file"), parser("value").alias("p")).select("file", "p.*")
 
-FILES = "*.y*ml"
 
+def read(spark: SparkSession, path: str, schema: str, many: bool = True, files: str = FILES, required: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """(file, entry...): a row per entry of each file; a file with one mapping counts as a list of one. ``strict``: anything wrong is an error that
+    tells its place; else broken files and entries are left out, and ``problems`` lists them."""
+    docs = parsed(spark, path, many, files, required)
+    first = F.get("problems", F.lit(0))
+    text = F.concat("file", F.lit(":"), F.coalesce(first["line"], F.lit(0)), F.lit(":"), F.coalesce(first["column"], F.lit(0)), F.lit(": "), first["message"])
+    value = F.when(F.size("problems") > 0, F.raise_error(text).cast("string")).otherwise(F.col("json")) if strict else F.col("json")
+    entries = docs.select("file", F.from_json(value, schema, {"mode": "FAILFAST"}).alias("x"))
+    return entries.select("file", F.explode("x")) if not many else entries.select("file", F.explode("x").alias("x")).select("file", "x.*")
 
-def read(spark: SparkSession, path: str, schema: str, many: bool = True, files: str = FILES) -> DataFrame:
-    """(file, entry...): a row per entry of each file; a file with one mapping counts as a list of one."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
-    doc = yaml_to_json("value")
-    doc = F.when(doc.startswith("["), doc).otherwise(F.concat(F.lit("["), doc, F.lit("]"))) if many else doc
-    parsed = raw.select(F.input_file_name().alias("file"), F.from_json(doc, schema, {"mode": "FAILFAST"}).alias("x"))
-    return parsed.select("file", F.explode("x")) if not many else parsed.select("file", F.explode("x").alias("x")).select("file", "x.*")
+
+def problems(spark: SparkSession, path: str, many: bool = True, files: str = FILES, required: tuple[str, ...] = ()) -> DataFrame:
+    """(file, line, column, message, context): what is wrong with configuration files; the other files can still be read."""
+    return parsed(spark, path, many, files, required).select("file", F.explode("problems").alias("p")).select("file", "p.*")
 
 
 def users(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:

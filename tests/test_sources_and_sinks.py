@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from grantweave.sinks import export
@@ -36,6 +37,26 @@ def test_configuration_files(spark, tmp_path):
     assert (tag.tag, tag.pass_through_lineage, tag.apply_to, tag.remove_from) == ("pii", True, ["a1"], ["a2"])
 
 
+def test_broken_configuration_files(spark, tmp_path):
+    (tmp_path / "fine.yaml").write_text("- name: a\n- name: b\n  groups: [g]\n")
+    (tmp_path / "open.yaml").write_text("- name: c\n- name: [x\n- y: 1\n")
+    (tmp_path / "tab.yaml").write_text("- name: d\n\tx: 1\n")
+    (tmp_path / "mixed.yaml").write_text("- name: e\n- just text\n- groups: []\n- name: f\n")
+    (tmp_path / "one.yaml").write_text("name: single\n")
+    (tmp_path / "empty.yaml").write_text("")
+    found = {(r.file.rsplit("/", 1)[1], r.line, r.column, r.context) for r in config_yaml.problems(spark, str(tmp_path), required=("name",)).collect()}
+    assert {x for x in found if x[0] == "mixed.yaml"} == {("mixed.yaml", 2, 3, "- just text"), ("mixed.yaml", 3, 3, "- groups: []")}
+    assert {x[:2] for x in found if x[0] != "mixed.yaml"} == {("open.yaml", 3), ("tab.yaml", 2)}
+    rows = config_yaml.read(spark, str(tmp_path), config_yaml.USERS, required=("name",), strict=False)
+    assert {r.name for r in rows.collect()} == {"a", "b", "e", "f", "single"}
+    with pytest.raises(Exception, match=r"open.yaml:3:\d+:|tab.yaml:2:\d+:|mixed.yaml:2:3:"):
+        config_yaml.read(spark, str(tmp_path), config_yaml.USERS).collect()
+    (tmp_path / "tags").mkdir()
+    (tmp_path / "tags" / "t.yaml").write_text("pii:\n  apply_to: [a]\nbad: 3\n")
+    assert [r.key for r in config_yaml.read(spark, str(tmp_path / "tags"), config_yaml.TAGS, many=False, strict=False).collect()] == ["pii"]
+    assert [(r.line, r.message) for r in config_yaml.problems(spark, str(tmp_path / "tags"), many=False).collect()] == [(3, "expected a mapping")]
+
+
 def test_warehouse_answers(spark, tmp_path):
     (tmp_path / "roles.json").write_text(json.dumps({"resultSetMetaData": {"rowType": [{"name": "NAME"}, {"name": "OWNER"}]}, "data": [["my_role", None]]}))
     assert [tuple(r) for r in exports.warehouse_rows(spark, str(tmp_path / "roles.json"), ["name", "owner"]).collect()] == [("my_role", "")]
