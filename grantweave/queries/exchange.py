@@ -592,10 +592,11 @@ def op_m11_plan_defaults(t: Tables) -> DataFrame:
     return bi_rest.default_policies(t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("asset_id"), F.lit("flow").alias("target_type"), F.lit("group").alias("agent_type"), F.col("n_name").alias("agent"), one("AllowRead").alias("to_add"), one("DenyWrite").alias("to_remove")))
 
 
-@query("""SELECT 1 AS stage, 1::BIGINT AS seq, 'CREATE ROLE "' || r_name || '";' AS statement FROM {region} WHERE r_regionkey = 0""")
+@query("""SELECT 1 AS stage, row_number() OVER (ORDER BY c_name) AS seq, 'CREATE ROLE "' || c_name || '";' AS statement FROM {customer}""")
 def op_s25_connector_plan(t: Tables) -> DataFrame:
+    """A role for every customer, planned by the connector from its own saved table."""
     path = shared_path(t.spark)
-    t.region.where("r_regionkey = 0").select(F.col("r_name").alias("name")).write.parquet(f"{path}/roles")
+    t.customer.select(F.col("c_name").alias("name")).write.parquet(f"{path}/roles")
     w = connector.Warehouse(t.spark, path, ("roles",))
     none = F.array().cast("array<string>")
     return w.plan({"groups": w.tables()["roles"].where(F.lit(w.check())).select("name", F.lit("add").alias("change"), none.alias("to_add"), none.alias("to_remove"))})
@@ -604,11 +605,15 @@ def op_s25_connector_plan(t: Tables) -> DataFrame:
 # Names, joins and sets
 
 
-@query("SELECT connector, asset_type, count(*) AS n FROM (SELECT 'snowflake' AS connector, 'TABLE' AS asset_type FROM range(8) UNION ALL SELECT 'snowflake', 'DATABASE' FROM range(7) UNION ALL SELECT 'tableau', 'lens' FROM range(10)) x GROUP BY connector, asset_type")
+@query("""WITH k AS (SELECT CASE WHEN p_size > 40 THEN 'DATABASE' WHEN p_size > 20 THEN 'TABLE' ELSE 'lens' END AS asset_type, p_brand FROM {part}),
+  c AS (SELECT 'snowflake' AS connector, 'TABLE' AS asset_type, 8 AS n UNION ALL SELECT 'snowflake', 'DATABASE', 7 UNION ALL SELECT 'tableau', 'lens', 10)
+  SELECT connector, asset_type, p_brand AS brand, count(*) AS assets, sum(n)::BIGINT AS privileges FROM k JOIN c USING (asset_type) GROUP BY connector, asset_type, p_brand""")
 def op_p13_capabilities(t: Tables) -> DataFrame:
-    rows = capabilities.catalogue(t.spark).where("asset_type IN ('TABLE', 'DATABASE', 'lens')")
-    writers = capabilities.group_writers(t.spark).where("nested OR NOT nested").select("connector")
-    return rows.join(writers, "connector", "left_semi").groupBy("connector", "asset_type").agg(F.count("*").alias("n"))
+    """What connectors that write groups allow on the parts as assets."""
+    kind = F.when(F.col("p_size") > 40, "DATABASE").when(F.col("p_size") > 20, "TABLE").otherwise("lens")
+    assets = t.part.select("p_partkey", F.col("p_brand").alias("brand"), kind.alias("asset_type"))
+    allowed = capabilities.catalogue(t.spark).join(capabilities.group_writers(t.spark), "connector").select("connector", "asset_type", "privilege")
+    return assets.join(allowed, "asset_type").groupBy("connector", "asset_type", "brand").agg(F.countDistinct("p_partkey").alias("assets"), F.count("*").alias("privileges"))
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https') THEN 'secure' END AS connector FROM {pages}")
