@@ -16,6 +16,7 @@ Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,21 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
-from .token_ids import BYTE_LEVEL, PIECES, SPACE, byte_level, pieces
+from .token_ids import BYTE_LEVEL, LONGEST, PIECES, SPACE, byte_level, pieces
 from .word_runs import Interned
 
-#: Pairs whose counts are broadcast (17 bytes each); characters of the texts aligned together (a longer text goes alone); pieces remembered by each tokenizer.
-ENTRIES, TOGETHER, REMEMBERED = 1 << 17, 2 << 20, 1 << 17
+#: Pairs whose counts are broadcast (17 bytes each); characters of the texts aligned together (a longer text goes alone); pieces remembered by each tokenizer (twice as many segments).
+ENTRIES, TOGETHER, REMEMBERED = 1 << 17, 2 << 20, 1 << 16
 #: From the spaces before a word to the next space that follows something else than white space.
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, keys array<long>, ns array<long>"
 
-LINKS = """CREATE OR REPLACE TEMP TABLE links AS
-WITH met AS (
+LINKS = """WITH met AS (
     SELECT a.seg, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s
     UNION ALL
     SELECT a.seg, a.id AS a, b.id AS b FROM a JOIN b ON b.s > a.s AND b.s < a.e)
-SELECT seg, a, b, count(*) AS n FROM met GROUP BY seg, a, b"""
+SELECT seg, a * {width}::BIGINT + b AS pair, count(*) AS n FROM met GROUP BY seg, pair ORDER BY seg"""
 
 GROUPS = """WITH ends AS (
     SELECT a.seg, 0 AS side, a.i, a.id, b.e IS NOT NULL AS cut FROM a LEFT JOIN b ON a.e = b.e
@@ -53,7 +53,7 @@ numbered AS (
 SELECT seg, side, id, cut FROM numbered ORDER BY g, side, i"""
 
 COUNTED = """CREATE OR REPLACE TEMP TABLE counted AS
-SELECT doc, a * {width}::BIGINT + b AS pair, sum(o.n * l.n)::BIGINT AS n
+SELECT doc, pair, sum(o.n * l.n)::BIGINT AS n
 FROM (SELECT doc, seg, count(*) AS n FROM occurs GROUP BY doc, seg) o JOIN links l USING (seg) GROUP BY doc, pair"""
 
 
@@ -65,6 +65,8 @@ class Aligner:
         self.long_a, self.long_b = (np.array([len(x) for x in s], np.int32) for s in (self.spelled_a, self.spelled_b))
         self.names = [f"{i}{end}" for i in range(max(len(self.long_a), len(self.long_b))) for end in ",|;"]  # inside a group, after A's ids, after B's
         self.base = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.recent: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.base.execute("SET preserve_insertion_order = false")
 
     def segments(self, text: str) -> list[str]:
@@ -91,38 +93,74 @@ class Aligner:
             return np.ones(len(segments), bool)
         return np.array([text(x) == s.encode() for s, x in zip(segments, ids, strict=True)], bool)
 
-    def __call__(self, texts: list[str], shown: bool) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
-        """Per text its columns; the pairs of all texts and their counts."""
-        known = Interned()
-        parts = [np.fromiter(map(known.__getitem__, s), np.int32, len(s)) for s in map(self.segments, texts)]
-        segments = list(known)
+    def loaded(self, **tables: pa.Table) -> None:
+        for name, rows in tables.items():
+            self.base.register(f"{name}_rows", rows)
+            self.base.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM {name}_rows")
+            self.base.unregister(f"{name}_rows")
+
+    def dropped(self, *names: str) -> None:
+        for name in names:
+            self.base.execute(f"DROP TABLE {name}")
+
+    def aligned(self, segments: list[str]) -> list[tuple]:
+        """Of each segment: whether its tokens spell it, tokens of A and B, groups, the groups shown, pairs and their links (whole numbers of 8 bytes)."""
         ids_a, ids_b = self.a.many(segments), self.b.many(segments)
         fine = self.spelt(ids_a, self.spelled_a, segments) & self.spelt(ids_b, self.spelled_b, segments)
         for i in np.flatnonzero(~fine).tolist():
             ids_a[i] = ids_b[i] = b""
         (n_a, a), (n_b, b) = self.intervals(ids_a, self.long_a), self.intervals(ids_b, self.long_b)
-        parts = [p if fine[p].all() else p[:0] for p in parts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        occurs = pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), sizes), "seg": np.concatenate([*parts, np.empty(0, np.int32)])})
-        for name, rows in (("a", a), ("b", b), ("occurs", occurs)):
-            self.base.register(f"{name}_rows", rows)
-            self.base.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM {name}_rows")
-            self.base.unregister(f"{name}_rows")
-        self.base.execute(LINKS)
+        self.loaded(a=a, b=b)
+        links = self.base.execute(LINKS.format(width=len(self.long_b))).fetchnumpy()
         groups = self.base.execute(GROUPS).fetchnumpy()
+        self.dropped("a", "b")
+        every = np.arange(len(segments) + 1)
         n_groups = np.bincount(groups["seg"][groups["cut"] & (groups["side"] == 0)], minlength=len(segments))
-        bounds = np.searchsorted(groups["seg"], np.arange(len(segments) + 1)).tolist()
         names = list(map(self.names.__getitem__, (3 * groups["id"] + np.where(groups["cut"], 1 + groups["side"], 0)).tolist()))
-        strings = ["".join(names[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.base.execute(COUNTED.format(width=len(self.long_b)))
+        bounds = np.searchsorted(groups["seg"], every).tolist()
+        cuts = (8 * np.searchsorted(links["seg"], every)).tolist()
+        pair, n = links["pair"].astype(np.int64).tobytes(), links["n"].astype(np.int64).tobytes()
+        parts = zip(fine.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), bounds[:-1], bounds[1:], cuts[:-1], cuts[1:], strict=True)
+        return [(f, x, y, g, "".join(names[i:j]), pair[u:v], n[u:v]) for f, x, y, g, i, j, u, v in parts]
+
+    def remembered(self, segments: list[str]) -> list[tuple]:
+        """``aligned``, but for what the worker aligned lately. Of two generations of segments, the older one is given up when the newer is full."""
+        found = [self.recent.get(s) or self.older.get(s) for s in segments]
+        new = [i for i, r in enumerate(found) if r is None]
+        for i, r in zip(new, self.aligned([segments[i] for i in new]), strict=True):
+            found[i] = r
+        if len(self.recent) + len(segments) > 2 * REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        self.recent.update((s, r) for s, r in zip(segments, found, strict=True) if len(s) <= LONGEST)
+        return found
+
+    def __call__(self, texts: list[str], shown: bool) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
+        """Per text its columns; the pairs of all texts and their counts."""
+        gc.disable()  # many small objects, but no cycles: looking for them takes a sixth of the time
+        try:
+            return self.batch(texts, shown)
+        finally:
+            gc.enable()
+
+    def batch(self, texts: list[str], shown: bool) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
+        known = Interned()
+        parts = [np.fromiter(map(known.__getitem__, s), np.int32, len(s)) for s in map(self.segments, texts)]
+        records = self.remembered(list(known))
+        fine, n_a, n_b, n_groups, strings, pairs, ns = map(list, zip(*records, strict=True)) if records else ([],) * 7
+        fine, *sums = np.array(fine, bool), *(np.array(x, np.int64) for x in (n_a, n_b, n_groups))
+        parts = [p if fine[p].all() else p[:0] for p in parts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        seg = np.repeat(np.arange(len(records), dtype=np.int32), np.array([len(x) // 8 for x in pairs], np.int64))
+        links = pa.table({"seg": seg, "pair": np.frombuffer(b"".join(pairs), np.int64), "n": np.frombuffer(b"".join(ns), np.int64)})
+        self.loaded(links=links, occurs=pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), sizes), "seg": np.concatenate([*parts, np.empty(0, np.int32)])}))
+        self.base.execute(COUNTED)
         found = self.base.execute("SELECT doc, pair, n FROM counted ORDER BY doc, pair").fetchnumpy()
         whole = self.base.execute("SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair ORDER BY pair").fetchnumpy()
-        for name in ("a", "b", "occurs", "links", "counted"):
-            self.base.execute(f"DROP TABLE {name}")
+        self.dropped("links", "occurs", "counted")
         cuts = np.searchsorted(found["doc"], np.arange(1, len(parts)))
         keys, ns = np.split(found["pair"], cuts), np.split(found["n"], cuts)
         lines = ["".join(map(strings.__getitem__, p.tolist()))[:-1] for p in parts]
-        columns = {name: [int(x[p].sum()) for p in parts] for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups))}
+        columns = {name: [int(x[p].sum()) for p in parts] for name, x in zip(("n_a", "n_b", "n_groups"), sums, strict=True)}
         columns |= {"n_links": [int(x.sum()) for x in ns], "groups": lines if shown else [None] * len(lines), "groups_sha256": [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines]}
         return columns | {"keys": keys, "ns": ns}, whole["pair"], whole["n"]
 

@@ -25,8 +25,12 @@ GROUP, TOGETHER, BAR_TEXT, BAR = 64, 1 << 20, "\x00", BYTES[0]
 SPACE = "▁"  # how the piece vocabulary spells a space
 
 
+SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return SHORT[n](*ids) if n < 32 else struct.pack(f"<{n}I", *ids)
 
 
 def spelt(piece: str) -> str:
