@@ -103,3 +103,8 @@ def overlay_tags(edges: DataFrame, applied: DataFrame, removed: DataFrame) -> Da
 
     one = lambda df, kind: df.select(F.lit("asset").alias("src_type"), F.col("asset").alias("src_id"), F.lit("tag").alias("dst_type"), F.col("tag").alias("dst_id"), F.lit(kind).alias("edge_type"))
     return edges.unionByName(with_inverses(one(applied, "tagged_as").union(one(removed, "untagged_as")))).distinct()
+
+
+def identities(rows: DataFrame) -> DataFrame:
+    """(user_name, ids): every user's names on the connectors as ``connector=name``, sorted, from (user_name, connector, local)."""
+    return rows.groupBy("user_name").agg(F.array_sort(F.collect_set(F.concat_ws("=", "connector", "local"))).alias("ids"))

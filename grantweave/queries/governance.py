@@ -163,10 +163,14 @@ def op_a11_fold_defaults(t: Tables) -> DataFrame:
     return policy.fold(rows, ["root", "path", "target_type"]).select("root", "path", "target_type", joined("privileges"), joined("groups"))
 
 
-@query("SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS ids FROM {customer}")
+@query("""SELECT user_name, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT concat('user:', c_custkey) AS user_name, concat('crm=', c_name) AS id FROM {customer}
+  UNION ALL SELECT concat('user:', s_suppkey), concat('dw=', s_name) FROM {supplier}) x GROUP BY user_name""")
 def op_a12_identity_state(t: Tables) -> DataFrame:
-    rows = t.customer.select(F.concat(F.lit("user:"), "c_custkey").alias("user_name"), F.concat_ws("=", F.lit("crm"), "c_name").alias("id"))
-    return state(rows, ["user_name"], "id", "ids").select("user_name", joined("ids"))
+    from ..operators import state as S
+
+    names = lambda df, connector, key, name: df.select(F.concat(F.lit("user:"), key).alias("user_name"), F.lit(connector).alias("connector"), F.col(name).alias("local"))
+    rows = names(t.customer, "crm", "c_custkey", "c_name").union(names(t.supplier, "dw", "s_suppkey", "s_name"))
+    return S.identities(rows).select("user_name", joined("ids"))
 
 
 @query(graph.COVERED + " SELECT concat_ws('-', c.node, c.agent) AS name, c.node AS asset, c.agent FROM (SELECT DISTINCT node, agent FROM covered) c WHERE NOT EXISTS (SELECT 1 FROM {explicit_rows} x WHERE x.asset = c.node AND x.agent = c.agent)")

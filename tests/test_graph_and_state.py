@@ -75,3 +75,8 @@ def test_checks(spark):
     assert values(state.content_permission_conflicts(defaults), "root") == ["p"]
     tagged = state.overlay_tags(graph(spark).edges, spark.createDataFrame([("t2", "b")], "tag string, asset string"), spark.createDataFrame([("t", "b")], "tag string, asset string"))
     assert tagged.where("dst_id = 't2' OR src_id = 't2'").count() == 2
+
+
+def test_identities(spark):
+    rows = spark.createDataFrame([("u", "b", "x"), ("u", "a", "y"), ("u", "b", "x"), ("v", "a", "z")], "user_name string, connector string, local string")
+    assert {r.user_name: r.ids for r in state.identities(rows).collect()} == {"u": ["a=y", "b=x"], "v": ["a=z"]}
