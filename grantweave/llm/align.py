@@ -32,7 +32,7 @@ from .common import materialize, small_batches
 from .token_ids import BYTE_LEVEL, LONGEST, PIECES, SPACE, byte_level, pieces
 from .word_runs import Interned
 
-#: Pairs whose counts are broadcast (17 bytes each); characters of the texts aligned together (a longer text goes alone); pieces remembered by each tokenizer (twice as many segments).
+#: Pairs whose counts are broadcast (17 bytes each); characters of the texts aligned together (a longer text goes alone); pieces remembered by each tokenizer (three times as many segments).
 ENTRIES, TOGETHER, REMEMBERED = 1 << 17, 2 << 20, 1 << 16
 #: From the spaces before a word to the next space that follows something else than white space.
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
@@ -129,7 +129,7 @@ class Aligner:
         new = [i for i, r in enumerate(found) if r is None]
         for i, r in zip(new, self.aligned([segments[i] for i in new]), strict=True):
             found[i] = r
-        if len(self.recent) + len(segments) > 2 * REMEMBERED:
+        if len(self.recent) + len(segments) > 3 * REMEMBERED:
             self.recent, self.older = {}, self.recent
         self.recent.update((s, r) for s, r in zip(segments, found, strict=True) if len(s) <= LONGEST)
         return found
@@ -154,8 +154,8 @@ class Aligner:
         links = pa.table({"seg": seg, "pair": np.frombuffer(b"".join(pairs), np.int64), "n": np.frombuffer(b"".join(ns), np.int64)})
         self.loaded(links=links, occurs=pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), sizes), "seg": np.concatenate([*parts, np.empty(0, np.int32)])}))
         self.base.execute(COUNTED)
-        found = self.base.execute("SELECT doc, pair, n FROM counted ORDER BY doc, pair").fetchnumpy()
-        whole = self.base.execute("SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair ORDER BY pair").fetchnumpy()
+        found = self.base.execute("SELECT doc, pair, n FROM counted ORDER BY doc").fetchnumpy()
+        whole = self.base.execute("SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair").fetchnumpy()
         self.dropped("links", "occurs", "counted")
         cuts = np.searchsorted(found["doc"], np.arange(1, len(parts)))
         keys, ns = np.split(found["pair"], cuts), np.split(found["n"], cuts)
