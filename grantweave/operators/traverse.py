@@ -160,7 +160,24 @@ def ancestor_chain(parent_of: DataFrame) -> DataFrame:
 
 def contract(arcs: DataFrame, ephemeral: DataFrame) -> DataFrame:
     """(src, dst) between lasting nodes, with chains of ephemeral ones (column node) replaced by direct edges."""
-    inner = ephemeral.select("node").distinct()
-    lasting = lambda df, c: df.join(inner.select(F.col("node").alias(c)), c, "left_anti")
-    starts = lasting(arcs.select(F.col("src").alias("source")).distinct(), "source")
-    return lasting(reach(arcs, starts, passthrough=inner).select(F.col("source").alias("src"), F.col("node").alias("dst")), "dst").select("src", "dst")
+    inner = stored(ephemeral.select("node").distinct())
+    known = lambda c, flag: inner.select(F.col("node").alias(c), F.lit(True).alias(flag))
+    marked = arcs.select("src", "dst").join(known("src", "leaves_inner"), "src", "left").join(known("dst", "meets_inner"), "dst", "left")
+    return contract_marked(marked)
+
+
+def contract_marked(arcs: DataFrame) -> DataFrame:
+    """As ``contract``, of (src, dst, leaves_inner, meets_inner): the flags (null: false) tell which ends are ephemeral. Arcs between lasting nodes are results as they stand; only pairs that end at an ephemeral node are walked on and remembered."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    arcs = stored(arcs.where("src IS NOT NULL").select("src", "dst", flag("leaves_inner"), flag("meets_inner")))
+    starts, through = arcs.where("NOT leaves_inner"), arcs.where("leaves_inner").select(F.col("src").alias("node"), "dst", "meets_inner")
+    found = [starts.where("NOT meets_inner").select("src", "dst")]
+    frontier = stored(starts.where("meets_inner").select("src", F.col("dst").alias("node")).distinct())
+    seen = [frontier]
+    while not frontier.isEmpty():
+        step = stored(frontier.join(through, "node").select("src", "dst", "meets_inner"))
+        found.append(step.where("NOT meets_inner").select("src", "dst"))
+        ahead = step.where("meets_inner").select("src", F.col("dst").alias("node")).distinct()
+        frontier = stored(ahead.join(reduce(DataFrame.union, seen), ["src", "node"], "left_anti"))
+        seen = [stored(reduce(DataFrame.union, seen)), frontier] if len(seen) == MERGED else [*seen, frontier]
+    return reduce(DataFrame.union, found).distinct()

@@ -37,6 +37,13 @@ def landed(docs: DataFrame) -> str:
     return path
 
 
+def lined(docs: DataFrame) -> str:
+    """The path of documents (doc, value), each a line: a file each would cost more than its rows once there are tens of thousands."""
+    path = shared_path(docs.sparkSession)
+    docs.select("value").write.text(path)
+    return path
+
+
 def batch(key: str, size: int = 500) -> Column:
     """The number of the document that a row goes to."""
     return F.floor(F.col(key) / size).cast("string")
@@ -89,7 +96,7 @@ def part_manifest(t: Tables) -> DataFrame:
     every = docs[0]
     for d in docs[1:]:
         every = every.union(d)
-    return manifest.read(t.spark, landed(every))
+    return manifest.read(t.spark, lined(every), lines=True)
 
 
 @query(MODELS + " SELECT unique_id, relation, ephemeral, enabled, description FROM m")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cual as C
-from ..operators.traverse import contract
+from ..operators.traverse import contract_marked
+from ..storage import stored
 
 SCHEMA = """nodes map<string, struct<unique_id:string, relation_name:string, resource_type:string,
   config:struct<enabled:boolean, materialized:string>, fqn:array<string>, database:string, schema:string, description:string, tags:array<string>>>,
@@ -16,8 +20,9 @@ KINDS = ("model", "snapshot", "seed")
 SKIPPED = ("test", "analysis", "exposure")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path, multiLine=True)
+def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row per manifest: each a file as the tool writes it, or (``lines``) a line of files that hold many."""
+    return spark.read.schema(SCHEMA).json(path, multiLine=not lines)
 
 
 def models(manifest: DataFrame) -> DataFrame:
@@ -33,14 +38,29 @@ def sources(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode("sources").alias("unique_id", "s")).select("unique_id", F.replace("s.relation_name", F.lit('"'), F.lit("")).alias("relation"))
 
 
+def named(manifest: DataFrame) -> DataFrame:
+    """(unique_id, relation, inner): models and sources; inner: whether an ephemeral model goes by that relation."""
+    own = models(manifest).select("unique_id", "relation", "ephemeral")
+    names = stored(own.union(sources(manifest).select("unique_id", "relation", F.lit(False))))
+    inner = names.where("ephemeral").select("relation", F.lit(True).alias("inner")).distinct()
+    return names.select("unique_id", "relation").join(inner, "relation", "left").select("unique_id", "relation", F.coalesce("inner", F.lit(False)).alias("inner"))
+
+
+def derivations(manifest: DataFrame, shown: Callable[[Column], Column]) -> DataFrame:
+    """(src, dst) between relations, ephemeral models contracted; ``dst`` as ``shown``, which is worked out once a name instead of once a pair."""
+    starts = lambda c: reduce(Column.__or__, [F.startswith(c, F.lit(prefix)) for prefix in SKIPPED])
+    names = named(manifest)
+    names = stored(names.withColumn("dst", F.when(F.col("inner"), F.col("relation")).otherwise(shown(F.col("relation")))))
+    # parents get their relation before their children are spread
+    parents = manifest.select(F.explode("child_map").alias("p", "cs")).where(~starts("p"))
+    parents = parents.join(names.select(F.col("unique_id").alias("p"), F.col("relation").alias("src"), F.col("inner").alias("leaves_inner")), "p")
+    pairs = parents.select("src", "leaves_inner", F.explode("cs").alias("c")).where(~starts("c"))
+    return contract_marked(pairs.join(names.select(F.col("unique_id").alias("c"), "dst", F.col("inner").alias("meets_inner")), "c"))
+
+
 def lineage(manifest: DataFrame) -> DataFrame:
     """(src, dst) between relations, ephemeral models contracted."""
-    pairs = manifest.select(F.explode("child_map").alias("p", "cs")).select("p", F.explode("cs").alias("c"))
-    for prefix in SKIPPED:
-        pairs = pairs.where(~F.startswith("p", F.lit(prefix)) & ~F.startswith("c", F.lit(prefix)))
-    names = models(manifest).select("unique_id", "relation").union(sources(manifest).select("unique_id", "relation"))
-    arcs = pairs.join(names.select(F.col("unique_id").alias("p"), F.col("relation").alias("src")), "p").join(names.select(F.col("unique_id").alias("c"), F.col("relation").alias("dst")), "c")
-    return contract(arcs.select("src", "dst").distinct(), models(manifest).where("ephemeral").select(F.col("relation").alias("node")))
+    return derivations(stored(manifest), lambda c: c)
 
 
 def references(manifest: DataFrame, account: str) -> DataFrame:
