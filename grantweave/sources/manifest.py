@@ -65,7 +65,8 @@ def lineage(manifest: DataFrame) -> DataFrame:
 
 def references(manifest: DataFrame, account: str) -> DataFrame:
     """(cual, enabled, description, tags, derived_to): asset references with what derives from them; sources carry no metadata."""
-    cual = lambda c: C.relation(F.lit(account), F.col(c))
-    to = lineage(manifest).groupBy(F.col("src").alias("relation")).agg(F.array_sort(F.collect_set(cual("dst"))).alias("derived_to"))
+    cual = lambda c: C.relation(F.lit(account), F.col(c) if isinstance(c, str) else c)
+    manifest = stored(manifest)  # files are parsed once
+    to = derivations(manifest, cual).groupBy(F.col("src").alias("relation")).agg(F.array_sort(F.collect_set("dst")).alias("derived_to"))
     own = models(manifest).where("NOT ephemeral").select("relation", "enabled", "description", "tags").unionByName(sources(manifest).select("relation"), allowMissingColumns=True)
     return own.join(to, "relation", "left").select(cual("relation").alias("cual"), "enabled", "description", "tags", F.coalesce("derived_to", F.array().cast("array<string>")).alias("derived_to"))

@@ -29,3 +29,11 @@ def test_lineage_reads_its_manifest_once(spark):
     found, counter = ticking(small_manifest(spark))
     assert sorted(map(tuple, manifest.lineage(found).collect())) == [("raw.s.s", "db.s.a"), ("raw.s.s", "db.s.b")]
     assert counter.value == 1
+
+
+def test_references_read_their_manifest_once(spark):
+    found, counter = ticking(small_manifest(spark))
+    base = "snowflake://acct.snowflakecomputing.com/"
+    refs = {r.cual: r.derived_to for r in manifest.references(found, "acct").collect()}
+    assert refs == {base + "RAW/S/S": [base + "DB/S/A", base + "DB/S/B"], base + "DB/S/A": [], base + "DB/S/B": []}
+    assert counter.value == 1
