@@ -81,7 +81,7 @@ def part_manifest(t: Tables) -> DataFrame:
     brand = node(brand_id, s(None), "snapshot", config(F.lit(None).cast("boolean"), s(None)), F.array("p_brand"), F.lit("brands"), s(None))
     test = node(F.concat(F.lit("test.p"), "p_partkey"), s(None), "test", config(F.lit(True), s(None)), F.array(F.lit("t")), F.lit("x"), s(None))
     source = F.struct(F.concat(F.lit("source.s"), "s_suppkey").alias("key"), F.struct(F.concat(F.lit('"raw"."s"."'), "s_suppkey", F.lit('"')).alias("relation_name")).alias("value"))
-    feeds = t.lineitem.select("l_suppkey", F.concat(F.lit("model.p"), "l_partkey").alias("c")).distinct().groupBy("l_suppkey").agg(F.collect_list("c").alias("cs"))  # a supplier's parts
+    feeds = t.lineitem.select("l_suppkey", "l_partkey").repartition("l_suppkey").distinct().groupBy("l_suppkey").agg(F.transform(F.collect_list("l_partkey"), lambda x: F.concat(F.lit("model.p"), x)).alias("cs"))  # a supplier's parts
     arcs = lambda items: F.struct(F.map_from_entries(items).alias("child_map"))
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     down = entry(part_id, F.array(brand_id, F.concat(F.lit("test.p"), "p_partkey")))

@@ -1,5 +1,8 @@
 """Steps that must not repeat work as tables grow: sources are read once, files stay few."""
 
+from pyspark.sql import functions as F
+
+from grantweave.queries import exchange
 from grantweave.sources import manifest
 
 
@@ -37,3 +40,25 @@ def test_references_read_their_manifest_once(spark):
     refs = {r.cual: r.derived_to for r in manifest.references(found, "acct").collect()}
     assert refs == {base + "RAW/S/S": [base + "DB/S/A", base + "DB/S/B"], base + "DB/S/A": [], base + "DB/S/B": []}
     assert counter.value == 1
+
+
+class Parts:
+    def __init__(self, spark):
+        self.spark = spark
+        self.part = spark.range(3000).selectExpr("id AS p_partkey", "concat('Brand#', id % 5) AS p_brand", "'LARGE' AS p_type", "CAST(id % 50 AS INT) AS p_size")
+        self.supplier = spark.range(400).selectExpr("id AS s_suppkey")
+        self.lineitem = spark.range(4000).selectExpr("id % 400 AS l_suppkey", "id % 3000 AS l_partkey")
+
+
+def test_manifests_of_many_documents_are_few_files(spark):
+    t = Parts(spark)
+    found = exchange.part_manifest(t)
+    documents = found.count()
+    assert documents == 3 * 6 + 1 + 1 + 20
+    assert len(found.inputFiles()) < documents
+    dsts = {r.src: r.dsts.split(",") for r in exchange.op_s07_child_map(t).collect()}
+    expected = {}
+    for x in t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).collect():
+        to = f"db.brands.{x.p_brand}" if x.p_size > 40 else f"db.LARGE.p{x.p_partkey}"
+        expected.setdefault(f"raw.s.{x.l_suppkey}", set()).add(to)
+    assert {k: v for k, v in dsts.items() if k.startswith("raw.")} == {k: sorted(v) for k, v in expected.items()}
