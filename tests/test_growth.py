@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from grantweave.operators import traverse
 from grantweave.queries import exchange
 from grantweave.sources import manifest
 
@@ -62,3 +63,11 @@ def test_manifests_of_many_documents_are_few_files(spark):
         to = f"db.brands.{x.p_brand}" if x.p_size > 40 else f"db.LARGE.p{x.p_partkey}"
         expected.setdefault(f"raw.s.{x.l_suppkey}", set()).add(to)
     assert {k: v for k, v in dsts.items() if k.startswith("raw.")} == {k: sorted(v) for k, v in expected.items()}
+
+
+def test_contraction_works_out_its_arcs_once(spark):
+    pairs = [("a", "e"), ("a", "b"), ("e", "f"), ("f", "e"), ("f", "c"), ("e", "a"), ("b", "c"), ("a", "e"), ("g", None), (None, "b")]
+    found, counter = ticking(spark.createDataFrame(pairs, "src string, dst string"))
+    rows = traverse.contract(found, spark.createDataFrame([("e",), ("f",)], "node string")).collect()
+    assert sorted((r.src, r.dst or "") for r in rows) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "c"), ("g", "")]
+    assert counter.value == len(pairs)
