@@ -33,39 +33,71 @@ def parse(text: str | None, many: bool, required: list[str]) -> tuple[str | None
     def problem(mark, message: str) -> None:
         problems.append({"line": mark.line + 1, "column": mark.column + 1, "message": message, "context": lines[mark.line] if mark.line < len(lines) else ""})
 
+    make, out, failed = yaml.SafeLoader(""), [], None
+    value = lambda node: make.construct_object(node, deep=True)
     try:
-        root = yaml.compose(text, yaml.SafeLoader)
+        for key, node in entries_of(text, many):
+            if not isinstance(node, yaml.MappingNode):
+                problem(node.start_mark, "expected a mapping")
+                if node is key:  # of the whole document
+                    out = None
+                continue
+            make.constructed_objects.clear()  # else it holds all nodes
+            try:
+                missing = [name for name in required if name not in {k.value for k, _ in node.value}]
+                for name in missing:
+                    problem(node.start_mark, f"{name} is missing")
+                made = (None if key is None else value(key), value(node))
+            except yaml.MarkedYAMLError as e:
+                problem(e.problem_mark, e.problem)
+                continue
+            except Exception as e:  # raised once the rest is known to be YAML
+                failed = failed or e
+                continue
+            if not missing:
+                out.append(json.dumps(made[1]) if many else made)
     except yaml.MarkedYAMLError as e:
+        problems.clear()
         problem(e.problem_mark or e.context_mark, " ".join(filter(None, (e.context, e.problem))))
         return None, problems
     except yaml.YAMLError as e:  # characters that no document may hold
         return None, [{"line": None, "column": None, "message": str(e).splitlines()[0], "context": ""}]
-    if root is None:
-        return ("[]" if many else "{}"), []
-    make, out = yaml.SafeLoader(""), []
-    value = lambda node: make.construct_object(node, deep=True)
-    if not many:
-        if not isinstance(root, yaml.MappingNode):
-            problem(root.start_mark, "expected a mapping")
-            return None, problems
-        entries = root.value
-    else:
-        entries = [(None, node) for node in (root.value if isinstance(root, yaml.SequenceNode) else [root])]
-    for key, node in entries:
-        if not isinstance(node, yaml.MappingNode):
-            problem(node.start_mark, "expected a mapping")
-            continue
-        missing = [name for name in required if name not in {k.value for k, _ in node.value}]
-        for name in missing:
-            problem(node.start_mark, f"{name} is missing")
-        try:
-            made = (None if key is None else value(key), value(node))
-        except yaml.MarkedYAMLError as e:
-            problem(e.problem_mark, e.problem)
-            continue
-        if not missing:
-            out.append(made)
-    return json.dumps([v for _, v in out] if many else dict(out)), problems
+    if failed:
+        raise failed
+    if out is None:
+        return None, problems
+    return f"[{', '.join(out)}]" if many else json.dumps(dict(out)), problems
+
+
+def entries_of(text: str, many: bool):
+    """(key or null, node): a document's entries. Of a list, one node at a time is held; a document that is no mapping where one is expected is its own key."""
+    import yaml
+
+    loader = yaml.SafeLoader(text)
+    try:
+        loader.get_event()
+        if loader.check_event(yaml.StreamEndEvent):
+            return
+        loader.get_event()
+        first = loader.peek_event()
+        if many and isinstance(first, yaml.SequenceStartEvent) and first.anchor is None:
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield None, loader.compose_node(None, None)
+            loader.get_event()
+            rest = []
+        else:
+            root = loader.compose_node(None, None)
+            if many:
+                rest = [(None, node) for node in (root.value if isinstance(root, yaml.SequenceNode) else [root])]
+            else:
+                rest = root.value if isinstance(root, yaml.MappingNode) else [(root, root)]
+        loader.get_event()
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise yaml.composer.ComposerError("expected a single document in the stream", first.start_mark, "but found another document", loader.get_event().start_mark)
+        yield from rest
+    finally:
+        loader.dispose()
 
 
 def parsed(spark: SparkSession, path: str, many: bool, files: str, required: tuple[str, ...]) -> DataFrame:

@@ -1,10 +1,13 @@
 """Steps that must not repeat work as tables grow: sources are read once, files stay few."""
 
+import json
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from grantweave.operators import traverse
 from grantweave.queries import exchange
-from grantweave.sources import manifest
+from grantweave.sources import config_yaml, manifest
 
 
 def ticking(df):
@@ -71,3 +74,20 @@ def test_contraction_works_out_its_arcs_once(spark):
     rows = traverse.contract(found, spark.createDataFrame([("e",), ("f",)], "node string")).collect()
     assert sorted((r.src, r.dst or "") for r in rows) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "c"), ("g", "")]
     assert counter.value == len(pairs)
+
+
+def test_parsing_a_list_holds_one_entry_at_a_time():
+    text = "".join(f"- name: user{i}\n" for i in range(3000))
+    config_yaml.parse("- name: a\n", True, [])
+    tracemalloc.start()
+    found, problems = config_yaml.parse(text, True, ["name"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert json.loads(found) == [{"name": f"user{i}"} for i in range(3000)] and not problems
+    assert peak < 40 * len(text)
+
+
+def test_entries_of_a_broken_list_are_left_out():
+    assert config_yaml.parse("- name: a\n- groups: [g]\n- name: [\n", True, ["name"])[0] is None
+    assert [p["line"] for p in config_yaml.parse("- groups: [g]\n--- \n- name: b\n", True, ["name"])[1]] == [2]
+    assert json.loads(config_yaml.parse("- &x {name: a}\n- {<<: *x, k: 1}\n", True, [])[0]) == [{"name": "a"}, {"name": "a", "k": 1}]
