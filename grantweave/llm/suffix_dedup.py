@@ -43,7 +43,14 @@ def repeated_windows(contents: list[bytes], counts: np.ndarray, window: int = WI
     rows = np.repeat(np.minimum(counts, 2), lengths)
     repeated = long | follows | (rows > 1)
     starts = np.cumsum(lengths) - lengths
-    return [runs_of(repeated[a : a + n - window]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    # places where a content's windows start; behind them is at least its end, so no run goes on into the next content
+    repeated &= np.arange(len(data)) < np.repeat(starts + lengths - window, lengths)
+    found: list[list[tuple[int, int]]] = [[] for _ in contents]
+    runs = runs_of(repeated)
+    owners = np.searchsorted(starts, [a for a, _ in runs], "right") - 1
+    for i, first, (a, n) in zip(owners.tolist(), starts[owners].tolist(), runs, strict=True):
+        found[i].append((a - first, n))
+    return found
 
 
 def kept(text: str, covered: list[tuple[int, int]]) -> tuple[int, int, int, str]:

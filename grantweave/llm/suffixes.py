@@ -17,6 +17,15 @@ NARROW = 1024
 UNLIKE = 0.5
 
 
+def sorting(key: np.ndarray) -> np.ndarray:
+    """As argsort of whole numbers from 0 on: with their places in the low bits they are sorted as values, which is faster, where 63 bits are enough."""
+    n = len(key)
+    bits = n.bit_length()
+    if not n or int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key.astype(np.int64) << bits | np.arange(n)) & ((1 << bits) - 1)
+
+
 def by_rank_doubling(s: np.ndarray) -> np.ndarray:
     """Suffix array of integers of any range; log(longest repeat) sorts."""
     n = len(s)
@@ -26,7 +35,7 @@ def by_rank_doubling(s: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-span] = rank[span:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key)
+        order = sorting(key)
         new = np.empty(n, np.int64)
         sorted_key = key[order]
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
@@ -98,7 +107,11 @@ def names_of(s: np.ndarray, leftmost: np.ndarray, ranked: np.ndarray) -> np.ndar
 
 
 def dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+    order = sorting(key)
+    ranked, rank = key[order], np.empty(len(key), np.int64)
+    rank[order[:1]] = 0
+    rank[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
+    return rank
 
 
 def refined(first: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -161,12 +174,12 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     else:
         names = dense(induced_ranks(s, small, leftmost, np.zeros(len(leftmost), np.int64))[leftmost])
     different = int(names.max()) + 1
-    final = np.argsort(names) if different == len(names) else suffix_array(names) if different < UNLIKE * len(names) else by_rank_doubling(names)
+    final = sorting(names) if different == len(names) else suffix_array(names) if different < UNLIKE * len(names) else by_rank_doubling(names)
     if sigma <= NARROW:
         return induce(s, by_bucket(leftmost[final]), sigma)[1:]
     given = np.empty(len(leftmost), np.int64)
     given[final] = np.arange(len(leftmost))
-    return np.argsort(induced_ranks(s, small, leftmost, given))[1:]
+    return sorting(induced_ranks(s, small, leftmost, given))[1:]
 
 
 def common_prefixes(data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:

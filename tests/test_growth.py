@@ -3,8 +3,10 @@
 import json
 import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from grantweave.llm import suffix_dedup, suffixes
 from grantweave.operators import traverse
 from grantweave.queries import exchange
 from grantweave.sources import config_yaml, manifest
@@ -91,3 +93,16 @@ def test_entries_of_a_broken_list_are_left_out():
     assert config_yaml.parse("- name: a\n- groups: [g]\n- name: [\n", True, ["name"])[0] is None
     assert [p["line"] for p in config_yaml.parse("- groups: [g]\n--- \n- name: b\n", True, ["name"])[1]] == [2]
     assert json.loads(config_yaml.parse("- &x {name: a}\n- {<<: *x, k: 1}\n", True, [])[0]) == [{"name": "a"}, {"name": "a", "k": 1}]
+
+
+def test_runs_of_a_shard_are_found_together(monkeypatch):
+    calls, runs_of = [], suffix_dedup.runs_of
+    monkeypatch.setattr(suffix_dedup, "runs_of", lambda flags: calls.append(1) or runs_of(flags))
+    found = suffix_dedup.repeated_windows([b"abcdab", b"xbcdx", b"ab", b"q", b"zzzz"], np.array([1, 1, 2, 1, 1]), 2)
+    assert found == [[(0, 3), (4, 1)], [(1, 2)], [(0, 1)], [], [(0, 3)]]
+    assert len(calls) == 1
+
+
+def test_whole_numbers_are_sorted_with_their_places():
+    for key in (np.array([], np.int64), np.array([3, 0, 3, 1, 0]), np.array([1 << 61, 0, 1 << 62, 1 << 61])):
+        assert suffixes.sorting(key).tolist() == np.argsort(key, kind="stable").tolist()
